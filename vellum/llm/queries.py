@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import budget, hilbert
+from vellum.llm import bloom_cascade, budget, fm_index, hilbert, kd_search
 from vellum.llm.runtime import written
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = kd_search.quantised(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+    return kd_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -24,6 +29,27 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "curve_index", "lang", "source")
 
 
+#: (verdict, host, path): the longest that fits a url decides.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: The block list holds the hosts with one of these words in a label.
+LISTED_WORDS = r"(^|[.-])(spam|casino|adult|porn|phish|malware|pills)([.-]|$)"
+
+
+def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    pages = _table(spark, sf_dir, "pages", "page_id", "url").select("page_id", bloom_cascade.host_of(url).alias("host"), bloom_cascade.path_of(url).alias("path"))
+    judged = bloom_cascade.mark_listed(pages, F.col("host").rlike(LISTED_WORDS))
+    rule, verdict = bloom_cascade.rule_of(F.col("host"), F.col("path"), URL_RULES)
+    method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "listed")
+
+
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = fm_index.verdicts(fm_index.contamination(docs, benchmark))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 #: Target weights of the production mixture; a value that is not named weighs 1.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {}}
 
@@ -35,7 +61,7 @@ def op10_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_hilbert_sharding, op10_hierarchical_budget)}
+    return {f.__name__: f for f in (op2_kd_search, op4_hilbert_sharding, op7_bloom_cascade, op8_fm_index, op10_hierarchical_budget)}
 
 
 _OP10 = r"""
@@ -78,5 +104,43 @@ FROM taken
 """
 
 
+_OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+_OP7 = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+h AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+             CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+             regexp_matches(host, '(^|[.-])(spam|casino|adult|porn|phish|malware|pills)([.-]|$)') AS listed FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM r
+"""
+
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 13) AS width, list_slice(w, k, k + least(len(w), 13) - 1) AS phrase
+      FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT width FROM p),
+windows AS (SELECT row, k, width, list_slice(w, k, k + width - 1) AS phrase FROM d, sizes, unnest(range(1, len(w) - width + 2)) AS t(k)),
+hits AS (SELECT row, k, p.width, item_id FROM windows JOIN p ON windows.width = p.width AND windows.phrase = p.phrase),
+covered AS (SELECT row, count(DISTINCT x) AS n_hit FROM hits, unnest(range(k, k + width)) AS t(x) GROUP BY row),
+items AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS names FROM hits GROUP BY row)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_hierarchical_budget": _OP10}
+    return {"op2_kd_search": _OP2, "op7_bloom_cascade": _OP7, "op8_fm_index": _OP8, "op10_hierarchical_budget": _OP10}
