@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bloom_cascade, budget, fm_index, hilbert, kd_search
+from vellum.llm import attention_mil, bloom_cascade, budget, fm_index, hilbert, kd_search, ppm
 from vellum.llm.runtime import written
 
 
@@ -29,6 +29,18 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "curve_index", "lang", "source")
 
 
+def _fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo the number of folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    trees = ppm.fit(docs.where(_fold(5) != 0))
+    found = ppm.predict(docs.drop("lang"), trees)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 #: (verdict, host, path): the longest that fits a url decides.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: The block list holds the hosts with one of these words in a label.
@@ -50,6 +62,14 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = attention_mil.fit(docs, labels.where(_fold(4) != 2))
+    found = attention_mil.score(docs, model)
+    predicted = (F.col("score") >= attention_mil.THRESHOLD).cast("int")
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 #: Target weights of the production mixture; a value that is not named weighs 1.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {}}
 
@@ -61,7 +81,7 @@ def op10_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kd_search, op4_hilbert_sharding, op7_bloom_cascade, op8_fm_index, op10_hierarchical_budget)}
+    return {f.__name__: f for f in (op2_kd_search, op4_hilbert_sharding, op5_ppm_language, op7_bloom_cascade, op8_fm_index, op9_attention_mil, op10_hierarchical_budget)}
 
 
 _OP10 = r"""
