@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import attention_mil, bloom_cascade, budget, fm_index, hilbert, hyperminhash, kd_search, ppm
+from vellum.llm import attention_mil, bloom_cascade, budget, context_mixing, fm_index, hilbert, hyperminhash, kd_search, ppm
 from vellum.llm.runtime import written
 
 
@@ -45,6 +45,13 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = context_mixing.fit(docs.where(_fold(7) != 2).select("text"))
+    found = context_mixing.score(docs, model)
+    return found.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: (verdict, host, path): the longest that fits a url decides.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: The block list holds the hosts with one of these words in a label.
@@ -85,7 +92,7 @@ def op10_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kd_search, op3_hyperminhash, op4_hilbert_sharding, op5_ppm_language, op7_bloom_cascade, op8_fm_index, op9_attention_mil, op10_hierarchical_budget)}
+    return {f.__name__: f for f in (op2_kd_search, op3_hyperminhash, op4_hilbert_sharding, op5_ppm_language, op6_context_mixing, op7_bloom_cascade, op8_fm_index, op9_attention_mil, op10_hierarchical_budget)}
 
 
 _OP10 = r"""
