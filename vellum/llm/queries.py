@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import attention_mil, bloom_cascade, budget, context_mixing, fm_index, hilbert, hyperminhash, kd_search, ppm
+from vellum.llm import attention_mil, bloom_cascade, budget, context_mixing, fm_index, hilbert, hyperminhash, kd_search, patience, ppm
 from vellum.llm.runtime import written
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = patience.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    partners = F.array_sort(F.array_distinct(F.transform(F.coalesce("removed", F.array()), lambda r: r["partner"])))
+    return found.select("doc_id", "n_lines", "n_removed", partners.alias("partners"), "text")
+
+
 def op2_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = kd_search.quantised(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
     return kd_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -92,7 +98,7 @@ def op10_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kd_search, op3_hyperminhash, op4_hilbert_sharding, op5_ppm_language, op6_context_mixing, op7_bloom_cascade, op8_fm_index, op9_attention_mil, op10_hierarchical_budget)}
+    return {f.__name__: f for f in (op1_patience_lines, op2_kd_search, op3_hyperminhash, op4_hilbert_sharding, op5_ppm_language, op6_context_mixing, op7_bloom_cascade, op8_fm_index, op9_attention_mil, op10_hierarchical_budget)}
 
 
 _OP10 = r"""
