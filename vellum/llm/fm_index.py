@@ -217,12 +217,23 @@ def _search(key: str, phrases):
     return kernel
 
 
+def _blocks(benchmark: DataFrame, item: str) -> tuple[DataFrame, int]:
+    """Items with a text, and into how many broadcasts they are to be split."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return items, max(1, -(-2 * size // MAX_PHRASE_BYTES))
+
+
+def _phrases(items: DataFrame, width: int) -> Phrases:
+    table = items.toArrow()
+    names, texts = (pa.concat_arrays(table[c].chunks) if table.num_rows else pa.array([], pa.string()) for c in ("item", "text"))
+    return Phrases(names, texts, width)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", width: int = WIDTH) -> DataFrame:
     """key, n_words, spans (merged, in words, end excluded) and items (their ids as strings, sorted) of every document."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("item"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // MAX_PHRASE_BYTES))
+    items, blocks = _blocks(benchmark, item)
     texts = docs.select(key, "text")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
@@ -232,10 +243,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         texts = written(texts, "decontaminate-texts")
         key, schema = "_row", schema.replace(f"`{key}` {kind}", "_row bigint")
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        table = own.toArrow().combine_chunks()
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table["item"], table["text"])]
-        phrases = Phrases(columns[0].cast(pa.string()), columns[1], width)
+        phrases = _phrases(items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items, width)
         part = texts.select(key, "text").mapInArrow(_search(key, spark.sparkContext.broadcast(phrases)), schema)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
@@ -249,3 +257,28 @@ def verdicts(found: DataFrame) -> DataFrame:
     """Add n_hit, n_items, items_sha256 and contaminated: at least a twentieth of the words are hit."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256)}).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
+def _clean(phrases, at: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Phrases = phrases.value
+        for batch in batches:
+            for lo, hi, data, offsets in tb.text_chunks(batch.column(at), SHARD_BYTES):
+                first, hit, _, _ = known.occurrences(data, offsets)
+                total = np.concatenate(([0], np.cumsum(hit)))
+                n_hit, n_words = total[first[1:]] - total[first[:-1]], np.diff(first)
+                yield batch.slice(lo, hi - lo).filter(pa.array((n_hit == 0) | (20 * n_hit < n_words)))
+
+    return kernel
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", width: int = WIDTH) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated.
+
+    A benchmark in several blocks is judged by key: rows without one then stay."""
+    items, blocks = _blocks(benchmark, item)
+    if blocks > 1:
+        found = verdicts(contamination(docs, benchmark, key=key, item=item, width=width))
+        return docs.join(found.where("contaminated").select(key).distinct(), key, "left_anti").select(docs.columns)
+    read = docs.sparkSession.sparkContext.broadcast(_phrases(items, width))
+    return docs.mapInArrow(_clean(read, docs.columns.index("text")), docs.schema)
