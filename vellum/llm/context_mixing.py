@@ -11,8 +11,8 @@ The code length in bits gives the text's probability.
 Training: each task reduces its texts to distinct (context, byte) codes with
 counts; these fill the tables, which are summed over all tasks in two steps;
 then the weights are learned online over the codes of each task, from the
-tables less the code's own count, and averaged by evidence; then the refining
-map is counted. All training texts are used; the model's size is fixed by
+tables less the code's own count, while the refining map counts what they lead
+to; weights are averaged by evidence, maps are summed. All training texts are used; the model's size is fixed by
 TABLE_BITS. When scoring, all statistics are frozen and a code that a task has
 met before is looked up.
 
@@ -29,6 +29,7 @@ by one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,13 +56,15 @@ BLOCK = 512
 #: Most codes kept by a task before it passes them on.
 MOST_CODES = 1 << 20
 BATCH_CODES = 1 << 14
+#: Positions coded at once: their arrays stay in a core's cache.
+WINDOW = 1 << 17
 #: Evidence behind an entry: none, little, some, much.
 EVIDENCE = (1, 4, 32)
 GATES = 8 * (len(EVIDENCE) + 1) ** 2
 BINS = 33
 RATE = 0.4
 PRIOR = 0.4
-CACHE_BITS = 20
+CACHE_BITS = 22
 HOT_WORDS = 4096
 _END_WORD = np.uint64(0xE4D5F1A2B3C49687)
 #: Stands for a null doc_id while ids travel as bytes.
@@ -78,7 +81,7 @@ def closed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def coded(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first position, end, codes): a byte, ORDER bytes before it, and a hash of its word so far."""
-    for a, b, codes in windows(data, offsets, ORDER):
+    for a, b, codes in windows(data, offsets, ORDER, WINDOW):
         lo = max(0, a - WORD_BYTES)
         own = data[lo:b]
         here = np.arange(len(own))
@@ -110,13 +113,12 @@ def _bits(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def table_counts(codes: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
-    """Add zeros and ones of every entry to two columns."""
-    contexts = _slots(codes)
+    """Add zeros and ones of every entry to two columns of 64-bit counts."""
+    contexts, flat, counts = _slots(codes), out.reshape(-1), counts.astype(np.int64)
     for _, node, bit in _bits(codes):
-        one = bit == 1
+        one = bit.astype(np.int64)
         for k, context in enumerate(contexts):
-            at = _entry(context, node, k)
-            np.add.at(out, (at, one.astype(np.int64)), counts)
+            np.add.at(flat, 2 * _entry(context, node, k) + one, counts)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -127,64 +129,72 @@ class Mixer:
     """Tables of counts, weights by gate, and the refining map."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
+        counts = np.minimum(counts, (1 << 32) - 2).astype(np.uint64)
+        #: Zeros in the low 32 bits, ones in the high.
+        self.packed = counts[:, 0] | counts[:, 1] << np.uint64(32)
         self.weights = np.full((GATES, PREDICTORS), 0.3, np.float32)
         self.refined = np.zeros((256, BINS), np.float32)
         self.odds: np.ndarray | None = None
         self.evidence: np.ndarray | None = None
+        self.columns: list[np.ndarray] = []
+        self.name = ""
 
     def freeze(self) -> Mixer:
         """Keep log odds in place of counts, for scoring."""
-        self.odds = np.log((self.counts[:, 1] + np.float32(PRIOR)) / (self.counts[:, 0] + np.float32(PRIOR))).astype(np.float32)
-        self.evidence = np.searchsorted(EVIDENCE, self.counts.sum(axis=1), "right").astype(np.uint8)
-        self.counts = self.counts[:0]
+        zeros, ones = (self.packed & np.uint64(0xFFFFFFFF)).astype(np.float32), (self.packed >> np.uint64(32)).astype(np.float32)
+        self.odds = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
+        self.evidence = np.searchsorted(EVIDENCE, zeros + ones, "right").astype(np.uint8)
+        self.columns = [np.ascontiguousarray(self.weights[:, k]) for k in range(PREDICTORS)]
+        self.name = uuid.uuid4().hex
+        self.packed = self.packed[:0]
         return self
 
-    def _inputs(self, contexts: list[np.ndarray], node: np.ndarray, bit: np.ndarray | None, position: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log odds by predictor, gate); with bit, one event of that bit less than was counted."""
-        out, gate = np.empty((len(node), PREDICTORS), np.float32), np.zeros(len(node), np.int64)
+    def _gate(self, evidence: list[np.ndarray], position: int) -> np.ndarray:
+        gate = np.zeros(len(evidence[0]), np.int64)
+        for known in evidence:
+            gate = gate * (len(EVIDENCE) + 1) + known
+        return gate * 8 + position
+
+    def _frozen_inputs(self, contexts: list[np.ndarray], node: np.ndarray, position: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(log odds by predictor, gate)."""
+        at = [_entry(context, node, k) for k, context in enumerate(contexts)]
+        return [self.odds[x] for x in at], self._gate([self.evidence[x] for x in at[-2:]], position)
+
+    def _own_inputs(self, contexts: list[np.ndarray], node: np.ndarray, bit: np.ndarray, position: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The same from counts, with one event of that bit less than was counted."""
+        out, evidence = [], []
+        less = np.where(bit == 1, np.uint64(1 << 32), np.uint64(1))
         for k, context in enumerate(contexts):
-            at = _entry(context, node, k)
-            if bit is None:
-                out[:, k] = self.odds[at]
-                known = self.evidence[at] if k >= PREDICTORS - 2 else None
-            else:
-                own = self.counts[at].astype(np.float32)
-                one = bit.astype(np.float32)
-                zeros, ones = np.maximum(own[:, 0] - (1 - one), 0), np.maximum(own[:, 1] - one, 0)
-                out[:, k] = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
-                known = np.searchsorted(EVIDENCE, zeros + ones, "right")
+            own = self.packed[_entry(context, node, k)] - less
+            zeros, ones = (own & np.uint64(0xFFFFFFFF)).astype(np.float32), (own >> np.uint64(32)).astype(np.float32)
+            out.append(np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))))
             if k >= PREDICTORS - 2:
-                gate = gate * (len(EVIDENCE) + 1) + known
-        return out, gate * 8 + position
+                seen = zeros + ones
+                evidence.append(sum((seen >= e).astype(np.int64) for e in EVIDENCE))
+        return out, self._gate(evidence, position)
+
+    def _mixed(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return sum(self.weights[gate, k] * x for k, x in enumerate(inputs))
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(x * 2) + BINS // 2, 0, BINS - 1).astype(np.int64)
 
-    def learn(self, codes: np.ndarray, counts: np.ndarray, curvature: np.ndarray) -> None:
-        """One online pass over a batch of codes."""
+    def learn(self, codes: np.ndarray, counts: np.ndarray, curvature: np.ndarray, seen: np.ndarray) -> None:
+        """One online pass over a batch of codes; seen counts all and ones by cell of the refining map."""
         contexts, weight = _slots(codes), np.minimum(counts, 64).astype(np.float32)
+        before = ((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64) * BINS
         for position, node, bit in _bits(codes):
-            inputs, gate = self._inputs(contexts, node, bit, position)
-            p = _squash((self.weights[gate] * inputs).sum(axis=1))
-            slope = ((bit.astype(np.float32) - p) * weight)[:, None] * inputs
-            bend = ((p * (1 - p) + 1e-3) * weight)[:, None] * inputs**2
-            for k in range(PREDICTORS):
-                pull = np.bincount(gate, slope[:, k], GATES)
-                curvature[:, k] += np.bincount(gate, bend[:, k], GATES)
-                self.weights[:, k] += (RATE * pull / (0.1 * curvature[:, k] + np.bincount(gate, bend[:, k], GATES) + 1e-3)).astype(np.float32)
-
-    def map_counts(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(all, ones) of the refining map's cells."""
-        out = np.zeros((2, 256 * BINS))
-        contexts, before = _slots(codes), ((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-        for position, node, bit in _bits(codes):
-            inputs, gate = self._inputs(contexts, node, bit, position)
-            mixed = (self.weights[gate] * inputs).sum(axis=1)
-            cell = before * BINS + self._bin(mixed)
-            out[0] += np.bincount(cell, counts, 256 * BINS)
-            out[1] += np.bincount(cell, counts * (bit == 1), 256 * BINS)
-        return out
+            inputs, gate = self._own_inputs(contexts, node, bit, position)
+            mixed = self._mixed(inputs, gate)
+            p, one = _squash(mixed), bit.astype(np.float32)
+            cell = before + self._bin(mixed)
+            seen[0] += np.bincount(cell, counts, 256 * BINS)
+            seen[1] += np.bincount(cell, counts * one, 256 * BINS)
+            slope, bend = (one - p) * weight, (p * (1 - p) + np.float32(1e-3)) * weight
+            for k, x in enumerate(inputs):
+                own = np.bincount(gate, bend * x * x, GATES)
+                curvature[:, k] += own
+                self.weights[:, k] += (RATE * np.bincount(gate, slope * x, GATES) / (0.1 * curvature[:, k] + own + 1e-3)).astype(np.float32)
 
     def set_map(self, seen: np.ndarray) -> None:
         centre = _squash((np.arange(BINS) - BINS // 2) / 2)
@@ -197,8 +207,8 @@ class Mixer:
             own = codes[at : at + BATCH_CODES]
             contexts, before = _slots(own), ((own >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
             for position, node, bit in _bits(own):
-                inputs, gate = self._inputs(contexts, node, None, position)
-                mixed = (self.weights[gate] * inputs).sum(axis=1)
+                inputs, gate = self._frozen_inputs(contexts, node, position)
+                mixed = sum(column[gate] * x for column, x in zip(self.columns, inputs, strict=True))
                 p = (_squash(mixed) + self.refined[before, self._bin(mixed)]) / 2
                 p = np.clip(p, 1e-6, 1 - 1e-6)
                 out[at : at + BATCH_CODES] -= np.log2(np.where(bit == 1, p, 1 - p))
@@ -233,6 +243,16 @@ class Pricer:
         return out
 
 
+#: A worker process prices several tasks of one model; what it knows of the last model stays.
+_pricer: list[Pricer] = []
+
+
+def pricer_of(mixer: Mixer) -> Pricer:
+    if not _pricer or _pricer[0].mixer.name != mixer.name:
+        _pricer[:] = [Pricer(mixer)]
+    return _pricer[0]
+
+
 def _tallied(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with their counts summed."""
     key, n = np.concatenate(keys), np.concatenate(counts)
@@ -317,9 +337,14 @@ def _statistics(ranges: int):
             for lo, hi, data, offsets in tb.text_chunks(column):
                 hashes, _ = _word_hashes(data, offsets)
                 yield from words(vocabulary.add(np.concatenate((hashes, np.full(hi - lo, _END_WORD)))))
-            data, offsets = closed(column)
-            for _, _, own in coded(data, offsets):
-                yield from contexts(codes.add(own))
+            group: list[np.ndarray] = []
+            for _, _, own in coded(*closed(column)):
+                group.append(own)
+                if len(group) * WINDOW >= MOST_CODES:
+                    yield from contexts(codes.add(np.concatenate(group)))
+                    group = []
+            if group:
+                yield from contexts(codes.add(np.concatenate(group)))
         yield from words(vocabulary.take())
         yield from contexts(codes.take())
 
@@ -361,33 +386,22 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learned(mixer):
-    """Weights after one pass over a task's codes, and the evidence behind them."""
+    """Weights and refining counts after one pass over a task's codes, and the evidence behind the weights."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Mixer = mixer.value
-        own = Mixer(known.counts)
-        curvature, n = np.zeros(own.weights.shape), 0
+        own: Mixer = mixer.value
+        own.weights = own.weights.copy()
+        own.weights[:] = 0.3
+        curvature, seen, n = np.zeros(own.weights.shape), np.zeros((2, 256 * BINS)), 0
         for batch in batches:
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint32)
                 # codes come sorted; a fixed stride mixes them
                 for k in range(4):
-                    own.learn(codes[k::4], counts[k::4], curvature)
-                n += int(counts.sum())
+                    own.learn(codes[k::4], counts[k::4], curvature, seen)
+                n += 1
         if n:
-            yield _rows([(3, 0, 0, own.weights.astype(np.float64).tobytes(), curvature.tobytes(), n)])
-
-    return kernel
-
-
-def _mapped(mixer):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Mixer = mixer.value
-        seen = np.zeros((2, 256 * BINS))
-        for batch in batches:
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                seen += known.map_counts(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint32).astype(np.float64))
-        yield _rows([(2, 0, TaskContext.get().partitionId(), _narrow(seen.astype(np.int64)), None, 0)])
+            yield _rows([(3, 0, 0, own.weights.astype(np.float64).tobytes() + seen.tobytes(), curvature.tobytes(), n)])
 
     return kernel
 
@@ -400,14 +414,17 @@ def _sum_by_slot(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights averaged by curvature, passed on with its sum."""
-    top = bottom = None
+    """Weights averaged by curvature, passed on with its sum; refining counts summed."""
+    size = GATES * PREDICTORS
+    top = bottom = seen = None
     for batch in batches:
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
             w, c = np.frombuffer(a.as_buffer(), np.float64), np.frombuffer(b.as_buffer(), np.float64)
-            top, bottom = (w * c, c.copy()) if top is None else (top + w * c, bottom + c)
+            w, m = w[:size], w[size:]
+            top, bottom, seen = (w * c, c.copy(), m.copy()) if top is None else (top + w * c, bottom + c, seen + m)
     if top is not None:
-        yield _rows([(3, 0, 0, np.where(bottom > 0, top / np.maximum(bottom, 1e-9), 0.3).tobytes(), bottom.tobytes(), 0)])
+        weights = np.where(bottom > 0, top / np.maximum(bottom, 1e-9), 0.3)
+        yield _rows([(3, 0, 0, weights.tobytes() + seen.tobytes(), bottom.tobytes(), 0)])
 
 
 class Model:
@@ -455,13 +472,9 @@ def fit(texts: DataFrame) -> Model:
     read = context.broadcast(mixer)
     fan = max(1, int(parts**0.5))
     trained = codes.mapInArrow(_learned(read), _ROW).repartition(fan).mapInArrow(_averaged, _ROW).coalesce(1).mapInArrow(_averaged, _ROW).collect()
-    if trained:
-        mixer.weights = np.frombuffer(trained[0]["a"], np.float64).reshape(mixer.weights.shape).astype(np.float32)
-        read = context.broadcast(mixer)
-        seen = _sum_by_slot(codes.mapInArrow(_mapped(read), _ROW), parts).collect()
-        mixer.set_map(_widened(seen[0]["a"]).reshape(2, -1).astype(np.float64))
-    else:
-        mixer.set_map(np.zeros((2, 256 * BINS)))
+    found = np.frombuffer(trained[0]["a"], np.float64) if trained else np.concatenate((np.full(GATES * PREDICTORS, 0.3), np.zeros(2 * 256 * BINS)))
+    mixer.weights = found[: GATES * PREDICTORS].reshape(mixer.weights.shape).astype(np.float32)
+    mixer.set_map(found[GATES * PREDICTORS :].reshape(2, -1))
     return Model(mixer.freeze(), vocabulary, ranges, tokens, words, (hot_words[order], hot_counts[order]))
 
 
@@ -473,7 +486,7 @@ def _score_kernel(model, ranges: int):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, hot_words, hot_counts = model.value
-        pricer, number = Pricer(mixer), TaskContext.get().partitionId() << 32
+        pricer, number = pricer_of(mixer), TaskContext.get().partitionId() << 32
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             column, n = batch.column(1), batch.num_rows
