@@ -202,6 +202,29 @@ _SQL: dict[str, tuple[str, str]] = {
            SELECT doc_id, page_idx, index, CASE WHEN abs(x0 - l - (r1 - x1)) < 12 AND n_lines <= 2 THEN 'center' ELSE 'quote' END AS kind, round_even(x0 - l, 0)::bigint AS left_indent, round_even(r1 - x1, 0)::bigint AS right_indent
            FROM body JOIN a USING (doc_id, page_idx) JOIN b USING (doc_id, page_idx) WHERE a.r = 1 AND b.r = 1 AND n_lines >= 2 AND type = 'text' AND x0 - l > 10""",
     ),
+    "rendered_blocks": (
+        _B + _P + _E,
+        """, walk AS (SELECT doc_id, src_page AS head_page, src_index AS head_index, dst_page AS page_idx, dst_index AS index, 1::bigint AS depth FROM edge e
+             WHERE NOT EXISTS (SELECT 1 FROM edge t WHERE t.doc_id = e.doc_id AND t.dst_page = e.src_page AND t.dst_index = e.src_index)
+             UNION ALL SELECT w.doc_id, head_page, head_index, e.dst_page, e.dst_index, depth + 1 FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.src_page = w.page_idx AND e.src_index = w.index),
+           o AS (SELECT doc_id, page_idx AS head_page, index AS head_index, page_idx, index, 0 AS depth FROM body b WHERE NOT EXISTS (SELECT 1 FROM edge t WHERE t.doc_id = b.doc_id AND t.dst_page = b.page_idx AND t.dst_index = b.index)
+             UNION ALL SELECT doc_id, head_page, head_index, page_idx, index, depth FROM walk),
+           c AS (SELECT o.*, unnest(range(1, length(text) + 1)) AS k, unnest(string_split(text, '')) AS ch FROM o JOIN body USING (doc_id, page_idx, index)),
+           u AS (SELECT *, regexp_matches(ch, '^[①-⑳]$') AS m, sum(regexp_matches(ch, '^[①-⑳]$')::bigint) OVER (PARTITION BY doc_id ORDER BY head_page, head_index, depth, k) AS nth FROM c),
+           x AS (SELECT doc_id, head_page, head_index, page_idx, index, depth, string_agg(CASE WHEN m THEN '[^' || nth || ']' ELSE ch END, '' ORDER BY k) AS text FROM u GROUP BY ALL),
+           t AS (SELECT * FROM (SELECT *, bool_or(n_lines >= 2) OVER (PARTITION BY doc_id, page_idx) AS several FROM body WHERE type = 'text') WHERE (n_lines >= 2) = several),
+           a AS (SELECT doc_id, page_idx, x0 AS l, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY count(*) DESC, x0) AS r FROM t GROUP BY doc_id, page_idx, x0),
+           b AS (SELECT doc_id, page_idx, x1 AS r1, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY count(*) DESC, x1 DESC) AS r FROM t GROUP BY doc_id, page_idx, x1),
+           h AS (SELECT doc_id, page_idx, index, level, CASE WHEN regexp_matches(text, '^第一章') THEN 1 WHEN regexp_matches(text, '^一、') THEN 3 WHEN regexp_matches(text, '^1[.]') THEN 5 END AS shape FROM body WHERE type = 'title'),
+           f AS (SELECT doc_id FROM h GROUP BY doc_id HAVING count(DISTINCT level) = 1 AND count(*) > 5),
+           s AS (SELECT doc_id, shape, row_number() OVER (PARTITION BY doc_id ORDER BY shape) AS rank FROM (SELECT DISTINCT doc_id, shape FROM h WHERE shape IS NOT NULL)),
+           lev AS (SELECT h.doc_id, page_idx, index, CASE WHEN f.doc_id IS NOT NULL AND rank IS NOT NULL THEN least(rank + 1, 6) ELSE level END AS lv FROM h LEFT JOIN f ON f.doc_id = h.doc_id LEFT JOIN s ON s.doc_id = h.doc_id AND s.shape = h.shape),
+           y AS (SELECT x.*, CASE WHEN depth > 0 THEN '<!--p.' || pnum || '-->' ELSE '' END || CASE WHEN type = 'title' THEN repeat('#', lv::int) || ' ' || trim(x.text)
+                   WHEN n_lines >= 2 AND x0 - l > 10 THEN '<!--?' || CASE WHEN abs(x0 - l - (r1 - x1)) < 12 AND n_lines <= 2 THEN 'center' ELSE 'quote' END || '--> ' || x.text ELSE x.text END AS md
+                 FROM x JOIN body USING (doc_id, page_idx, index) LEFT JOIN pnum USING (doc_id, page_idx) LEFT JOIN lev USING (doc_id, page_idx, index)
+                 LEFT JOIN (SELECT * FROM a WHERE r = 1) a USING (doc_id, page_idx) LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (doc_id, page_idx))
+           SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY head_page, head_index) AS pos, head_page, head_index, trim(string_agg(md, '' ORDER BY depth)) AS md FROM y GROUP BY doc_id, head_page, head_index""",
+    ),
     "join_lines": (
         "",
         r""", j AS (SELECT doc_id, page_idx, line_no, trim(regexp_replace(line, '[.,!?|]+\s*$', '')) AS line FROM L),
