@@ -15,12 +15,15 @@ next MANTISSA bits. Empty registers borrow from the next filled one for banding.
    chance, is within MARGIN standard errors of the threshold; then it is
    confirmed on the full sets. First the best pair of every class is confirmed,
    then those that still cross components.
-4. Components by minimum label and pointer jumping, all as DataFrames.
+4. Components of the links: in one task up to LOCAL_LINKS of them, beyond by
+   minimum label and pointer jumping over DataFrames.
 
-A pair at the threshold shares a band with probability above 1 - 1e-10. In a
+Joins that carry texts or sets are always by shuffle, whatever their size.
+
+A pair at the threshold shares a band with probability above 1 - 5e-7. In a
 bucket of more than SMALL_BUCKET classes a link may also be found through third
-classes; what is missed there must evade all random members of some 17 buckets
-in every round.
+classes; what is missed there must evade the random members of all buckets that
+the two share, in every round.
 
 Defined results: null, empty and wordless texts have no shingle and are linked
 with nothing; rows that repeat a doc_id are in one component if their texts
@@ -30,6 +33,7 @@ link; rows without doc_id are linked with nothing and kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +48,12 @@ THRESHOLD_PERCENT = 85
 REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
-BAND = 4
-SMALL_BUCKET = 8
-QUIET_ROUNDS = 2
+BAND = 5
+#: The registers beyond the last whole band serve the estimate only.
+BANDS = REGISTERS // BAND
+SMALL_BUCKET = 4
+#: Links whose components one task works out.
+LOCAL_LINKS = 200_000
 MARGIN = 5.0
 _EMPTY = 0xFFFF
 #: Chance that two registers agree though their smallest hashes differ: 0.17 * 2**-MANTISSA (Yu and Weber 2020).
@@ -101,9 +108,9 @@ def bands(registers: np.ndarray) -> np.ndarray:
     nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
     distance = np.minimum(nearest - np.arange(REGISTERS), REGISTERS)
     values = np.take_along_axis(registers, nearest % REGISTERS, axis=1).astype(np.uint64) << np.uint64(8) | distance.astype(np.uint64)
-    keys = np.zeros((n, REGISTERS // BAND), np.uint64) + tb.mix(np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64))[None, :]
+    keys = np.zeros((n, BANDS), np.uint64) + tb.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :]
     for k in range(BAND):
-        keys = tb.mix(keys ^ values[:, k::BAND])
+        keys = tb.mix(keys ^ values[:, k : BANDS * BAND : BAND])
     return keys
 
 
@@ -179,9 +186,29 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def components(links: DataFrame) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of one task's links, by union-find."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    nodes = sorted(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """node and label (the smallest node of its component) of all nodes in links (a, b)."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    links = links.select("a", "b")
+    if links.count() <= local:
+        return written(links.coalesce(1).mapInArrow(_united, "node bigint, label bigint"), "labels")
+    both = written(links.union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         heard = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
@@ -199,11 +226,19 @@ def _pairs_in_small(rows: DataFrame) -> DataFrame:
     return left.select("a", F.explode(F.expr("slice(reps, at + 2, size(reps))")).alias("b"))
 
 
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Each class with a random member of its bucket; another one each turn.
+
+    The random order is of classes, not of buckets: the buckets that two classes share then mostly give the same pair."""
+    centres = rows.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("b"))
+    return rows.join(centres, "bucket").select(F.col("rep").alias("a"), "b")
+
+
 class _Linker:
-    """Classes, their sketches and sets, and the links found so far."""
+    """Classes, their sketches and sets, and the components of the links found so far."""
 
-    def __init__(self, classes: DataFrame, docs: DataFrame) -> None:
-        self.classes, self.docs = classes, docs
+    def __init__(self, classes: DataFrame, sets: DataFrame) -> None:
+        self.classes, self.sets = classes, sets
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -221,10 +256,9 @@ class _Linker:
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return False
-        nodes = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(nodes, "rep", "left_semi")
-        sets = written(texts.mapInArrow(_sets, "rep bigint, shingles binary"), "shingle-sets")
-        joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
+        joined = pairs
+        for end in ("a", "b"):
+            joined = joined.hint("merge").join(self.sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"set_{end}")), end)
         found = written(joined.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
         if found.isEmpty():
             return False
@@ -236,7 +270,7 @@ class _Linker:
         """Estimate, then confirm the best pair of each class and what still crosses components."""
         pairs = self._crossing(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         for end in ("a", "b"):
-            pairs = pairs.join(self.classes.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+            pairs = pairs.hint("merge").join(self.classes.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
         good = written(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_promising, "a bigint, b bigint, share double"), "promising")
         ends = good.select(F.col("a").alias("node"), "a", "b", "share").union(good.select("b", "a", "b", "share"))
         best = ends.groupBy("node").agg(F.max_by("a", "share").alias("a"), F.max_by("b", "share").alias("b")).select("a", "b").distinct()
@@ -258,16 +292,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(rows, "bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(sizes, "bucket"), "buckets")
-    linker = _Linker(classes, docs.where("doc_id is not null"))
-    linker.compare(_pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(shared.select("rep").distinct(), "rep", "left_semi")
+    sets = written(texts.mapInArrow(_sets, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
+    linker = _Linker(classes, sets)
     large = shared.where(F.col("n") > SMALL_BUCKET)
-    quiet, turn = 0, 0
-    while quiet < QUIET_ROUNDS and not large.isEmpty():
-        order = F.xxhash64("rep", "bucket", F.lit(turn))
-        centres = large.groupBy("bucket").agg(F.min_by("rep", order).alias("c1"), F.max_by("rep", order).alias("c2"))
-        stars = large.join(centres, "bucket")
-        pairs = stars.select(F.col("rep").alias("a"), F.col("c1").alias("b")).union(stars.select("rep", "c2"))
-        quiet, turn = (0 if linker.compare(pairs) else quiet + 1), turn + 1
+    turn = 0
+    pairs = _pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)).union(_stars(large, turn))
+    while linker.compare(pairs) and not large.isEmpty():
+        turn += 1
+        pairs = _stars(large, turn)
     placed = all_rows.select("doc_id", "n_shingles", "d1", "d2").join(by_set.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"], "left")
     if linker.labels is not None:
         placed = placed.join(linker.labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
