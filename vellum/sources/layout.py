@@ -7,6 +7,7 @@ always-empty array would change type from corpus to corpus.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,9 +58,10 @@ ARTIFACTS = (
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """doc (folder under root), path, name, depth and size of every file under root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    # the reader gives paths as file:/a for file:///a
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
-    inside = F.substring_index(F.concat(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.lit("")), F.concat(base, F.lit("/")), -1)
+    # the reader gives file:/a for file:///a, so schemes are left out on both sides
+    base = "/" + re.sub(r"^[a-z]+:/*", "", root).strip("/") + "/"
+    plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    inside = F.get(F.split(plain, rf"^\Q{base}\E", 2), F.lit(1))
     parts = F.split(inside, "/")
     return files.select(F.get(parts, F.lit(0)).alias("doc"), "path", F.element_at(parts, -1).alias("name"), (F.size(parts) - 2).alias("depth"), F.element_at(parts, -2).alias("folder"), F.col("length").alias("size"))
 
@@ -174,4 +176,4 @@ def merge_connections(lists: DataFrame) -> DataFrame:
 
 def read_markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path and text of whole files; missing patterns are an error of the reader."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,16 @@ def write_findings(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("doc_id").json(path)
 
 
+def _line(rows: DataFrame) -> Column:
+    """The text without its last newline, which the writer adds."""
+    return F.regexp_replace(rows["text"], r"\n\z", "").alias("text")
+
+
 def write_documents(rows: DataFrame, path: str) -> None:
-    """doc_id, text: a folder for each document."""
-    rows.select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "").text(path)
+    """doc_id, text: a folder for each document; a file ends with one newline at least."""
+    rows.select("doc_id", _line(rows)).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def write_chapters(files: DataFrame, path: str) -> None:
     """A folder for each document and file."""
-    files.select("doc_id", "file", "text").write.mode("overwrite").partitionBy("doc_id", "file").option("lineSep", "").text(path)
+    files.select("doc_id", "file", _line(files)).write.mode("overwrite").partitionBy("doc_id", "file").text(path)
