@@ -161,5 +161,6 @@ def dedup_lines(docs: DataFrame, rare_share: float = RARE_SHARE, least_bytes: in
     cut = F.expr(r"array_join(transform(kept, s -> array_join(slice(split(text, '\n', -1), s.start, s.n), '\n')), '\n')")
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
     n_removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["n"]), F.lit(0).cast("long"))
-    whole = docs.join(spans, "doc_id", "left")
+    # by shuffle at every size: what is to be cut grows with the corpus
+    whole = docs.hint("merge").join(spans, "doc_id", "left")
     return whole.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), "removed", F.when(F.col("kept").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut).alias("text"))
