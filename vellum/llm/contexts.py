@@ -21,6 +21,8 @@ def windows(data: np.ndarray, offsets: np.ndarray, order: int, size: int = WINDO
         codes = data[a:b].astype(np.uint64)
         for back in range(1, order + 1):
             first = max(a, back)
+            if first >= b:
+                break
             codes[first - a :] |= data[first - back : b - back].astype(np.uint64) << np.uint64(8 * back)
         near = starts[np.searchsorted(starts, a - order) : np.searchsorted(starts, b)]
         for r in range(order):
