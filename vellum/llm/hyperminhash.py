@@ -18,7 +18,9 @@ next MANTISSA bits. Empty registers borrow from the next filled one for banding.
 4. Components of the links: in one task up to LOCAL_LINKS of them, beyond by
    minimum label and pointer jumping over DataFrames.
 
-Joins that carry texts or sets are always by shuffle, whatever their size.
+Sketches and sets are dealt by class once and kept on the executors' disks (a
+lost part is computed again from written tables), so that each comparison only
+moves its pairs. Texts are joined by shuffle whatever their size.
 
 A pair at the threshold shares a band with probability above 1 - 5e-7. In a
 bucket of more than SMALL_BUCKET classes a link may also be found through third
@@ -37,6 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,11 +230,13 @@ def _pairs_in_small(rows: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class with a random member of its bucket; another one each turn.
+    """Each class with two random members of its bucket; other ones each turn.
 
     The random order is of classes, not of buckets: the buckets that two classes share then mostly give the same pair."""
-    centres = rows.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("b"))
-    return rows.join(centres, "bucket").select(F.col("rep").alias("a"), "b")
+    order = F.xxhash64("rep", F.lit(turn))
+    centres = rows.groupBy("bucket").agg(F.min_by("rep", order).alias("c0"), F.max_by("rep", order).alias("c1"))
+    stars = rows.join(centres, "bucket")
+    return stars.select(F.col("rep").alias("a"), F.col("c0").alias("b")).union(stars.select("rep", "c1"))
 
 
 class _Linker:
@@ -258,7 +263,7 @@ class _Linker:
             return False
         joined = pairs
         for end in ("a", "b"):
-            joined = joined.hint("merge").join(self.sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+            joined = joined.join(self.sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"set_{end}")), end)
         found = written(joined.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
         if found.isEmpty():
             return False
@@ -266,12 +271,14 @@ class _Linker:
         self.labels = components(self.links)
         return True
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Estimate, then confirm the best pair of each class and what still crosses components."""
+    def compare(self, pairs: DataFrame, many: bool) -> bool:
+        """Estimate and confirm; of many pairs first the best of each class, then what still crosses components."""
         pairs = self._crossing(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         for end in ("a", "b"):
-            pairs = pairs.hint("merge").join(self.classes.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+            pairs = pairs.join(self.classes.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
         good = written(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_promising, "a bigint, b bigint, share double"), "promising")
+        if not many:
+            return self._confirm(good.select("a", "b"))
         ends = good.select(F.col("a").alias("node"), "a", "b", "share").union(good.select("b", "a", "b", "share"))
         best = ends.groupBy("node").agg(F.max_by("a", "share").alias("a"), F.max_by("b", "share").alias("b")).select("a", "b").distinct()
         best = written(best, "pairs")
@@ -294,13 +301,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = written(rows.join(sizes, "bucket"), "buckets")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(shared.select("rep").distinct(), "rep", "left_semi")
     sets = written(texts.mapInArrow(_sets, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
-    linker = _Linker(classes, sets)
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    turn = 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [table.repartition(parts, "rep").persist(StorageLevel.DISK_ONLY) for table in (classes, sets)]
+    linker = _Linker(*kept)
+    large = written(shared.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep"), "large-buckets")
+    turn, more = 0, not large.isEmpty()
     pairs = _pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)).union(_stars(large, turn))
-    while linker.compare(pairs) and not large.isEmpty():
+    while linker.compare(pairs, many=turn == 0) and more:
         turn += 1
         pairs = _stars(large, turn)
+    for table in kept:
+        table.unpersist()
     placed = all_rows.select("doc_id", "n_shingles", "d1", "d2").join(by_set.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"], "left")
     if linker.labels is not None:
         placed = placed.join(linker.labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
