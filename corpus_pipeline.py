@@ -11,7 +11,7 @@ shard. Stages keep all columns of what they keep, whatever their names.
 3. decontamination: FM-index search for the benchmark's phrases; documents that
    are contaminated (hit words are a twentieth or more) go, others stay as they are.
 4. source_mixture: hierarchical budgeting towards MIX_WEIGHTS; one epoch at most,
-   so each document stays once or goes.
+   so each document stays once or goes; rows without doc_id cannot be chosen and go.
 5. sharding: Hilbert curve over source, language and size; equal counts.
 
 An empty or null text passes each stage by the operators' own rules; an empty
