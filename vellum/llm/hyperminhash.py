@@ -8,9 +8,10 @@ next MANTISSA bits. Empty registers borrow from the next filled one for banding.
 1. Texts with equal sets form a class; the smallest doc_id stands for it.
 2. Registers are banded; a bucket is all classes with equal bands. Buckets of up
    to SMALL_BUCKET classes give all their pairs. Larger ones give stars: every
-   class with two random members of its bucket, in rounds with new members,
-   until QUIET_ROUNDS rounds in a row have found no new link. Classes already
-   in one component are not compared again.
+   class with four random members of its bucket. Then these buckets are cut
+   finer by a second band, in several ways, and give stars again, in rounds with
+   new members until a round has found no new link. Classes already in one
+   component are not compared again.
 3. A pair is kept if its Jaccard estimate, corrected for registers that agree by
    chance, is within MARGIN standard errors of the threshold; then it is
    confirmed on the full sets. First the best pair of every class is confirmed,
@@ -22,7 +23,7 @@ Sketches and sets are dealt by class once and kept on the executors' disks (a
 lost part is computed again from written tables), so that each comparison only
 moves its pairs. Texts are joined by shuffle whatever their size.
 
-A pair at the threshold shares a band with probability above 1 - 5e-7. In a
+A pair at the threshold shares a band with probability above 1 - 1e-6. In a
 bucket of more than SMALL_BUCKET classes a link may also be found through third
 classes; what is missed there must evade the random members of all buckets that
 the two share, in every round.
@@ -35,7 +36,6 @@ link; rows without doc_id are linked with nothing and kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +48,14 @@ from vellum.llm.runtime import written
 
 WIDTH = 5
 THRESHOLD_PERCENT = 85
-REGISTER_BITS = 7
+REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
-BAND = 5
-#: The registers beyond the last whole band serve the estimate only.
-BANDS = REGISTERS // BAND
+#: Registers of a band: texts that share a passage only should not share a bucket.
+BAND = 8
+#: Bands of neighbouring registers, then bands over the registers in another order.
+BAND_ORDERS = np.concatenate((np.arange(REGISTERS), np.arange(REGISTERS // 2) * 37 % REGISTERS))
+BANDS = len(BAND_ORDERS) // BAND
 SMALL_BUCKET = 4
 #: Links whose components one task works out.
 LOCAL_LINKS = 200_000
@@ -110,10 +112,11 @@ def bands(registers: np.ndarray) -> np.ndarray:
     place = np.where(np.concatenate((filled, filled), axis=1), np.arange(2 * REGISTERS), 4 * REGISTERS)
     nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
     distance = np.minimum(nearest - np.arange(REGISTERS), REGISTERS)
-    values = np.take_along_axis(registers, nearest % REGISTERS, axis=1).astype(np.uint64) << np.uint64(8) | distance.astype(np.uint64)
+    values = np.take_along_axis(registers, nearest % REGISTERS, axis=1).astype(np.uint64) << np.uint64(REGISTER_BITS + 1) | distance.astype(np.uint64)
+    values = values[:, BAND_ORDERS]
     keys = np.zeros((n, BANDS), np.uint64) + tb.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :]
     for k in range(BAND):
-        keys = tb.mix(keys ^ values[:, k : BANDS * BAND : BAND])
+        keys = tb.mix(keys ^ values[:, k::BAND])
     return keys
 
 
@@ -142,6 +145,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), sketch], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
 
+#: How far on the second band is that cuts a bucket finer.
+FINER = (1, 7, 19, 34)
+
+
+def _finer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bands of each class, each with its keys together with a second band."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            keys = bands(_registers(part.column(1)))
+            rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+            finer = np.stack([tb.mix(keys ^ tb.mix(np.roll(keys, -step, axis=1))) for step in FINER], axis=2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, finer.size + 1, len(FINER)), pa.int32()), pa.array(finer.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep), lists], names=["bucket", "rep", "finer"])
+
+
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
@@ -229,14 +248,14 @@ def _pairs_in_small(rows: DataFrame) -> DataFrame:
     return left.select("a", F.explode(F.expr("slice(reps, at + 2, size(reps))")).alias("b"))
 
 
-def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class with two random members of its bucket; other ones each turn.
+def _stars(rows: DataFrame, turn: int, centres: int) -> DataFrame:
+    """Each class with random members of its bucket; other ones each turn.
 
-    The random order is of classes, not of buckets: the buckets that two classes share then mostly give the same pair."""
-    order = F.xxhash64("rep", F.lit(turn))
-    centres = rows.groupBy("bucket").agg(F.min_by("rep", order).alias("c0"), F.max_by("rep", order).alias("c1"))
-    stars = rows.join(centres, "bucket")
-    return stars.select(F.col("rep").alias("a"), F.col("c0").alias("b")).union(stars.select("rep", "c1"))
+    The random orders are of classes, not of buckets: the buckets that two classes share then mostly give the same pair."""
+    orders = [F.xxhash64("rep", F.lit(2 * turn + k)) for k in range(centres // 2)]
+    picks = [pick("rep", order) for order in orders for pick in (F.min_by, F.max_by)]
+    chosen = rows.groupBy("bucket").agg(F.array(*picks).alias("centres"))
+    return rows.join(chosen, "bucket").select(F.col("rep").alias("a"), F.explode("centres").alias("b"))
 
 
 class _Linker:
@@ -304,12 +323,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [table.repartition(parts, "rep").persist(StorageLevel.DISK_ONLY) for table in (classes, sets)]
     linker = _Linker(*kept)
-    large = written(shared.where(F.col("n") > SMALL_BUCKET).select("bucket", "rep"), "large-buckets")
+    large = shared.where(F.col("n") > SMALL_BUCKET)
+    buckets, reps = large.select("bucket").distinct(), large.select("rep").distinct()
+    finer = classes.join(reps, "rep", "left_semi").select("rep", "sketch").mapInArrow(_finer_rows, "bucket bigint, rep bigint, finer array<bigint>")
+    large = written(finer.join(buckets, "bucket", "left_semi"), "large-buckets")
     turn, more = 0, not large.isEmpty()
-    pairs = _pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)).union(_stars(large, turn))
+    pairs = _pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)).union(_stars(large, turn, 4))
     while linker.compare(pairs, many=turn == 0) and more:
         turn += 1
-        pairs = _stars(large, turn)
+        pairs = _stars(large.select(F.explode("finer").alias("bucket"), "rep"), turn, 4)
     for table in kept:
         table.unpersist()
     placed = all_rows.select("doc_id", "n_shingles", "d1", "d2").join(by_set.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"], "left")
