@@ -236,3 +236,14 @@ def test_states(spark):
     actions = ingest.reconcile(results, previous, parts)
     assert listed(actions, "file", "action") == [("a", "fetch"), ("b", "missing_url"), ("c", "failed"), ("d", "keep"), ("e", "wait")]
     assert ingest.exit_code(actions).first()["code"] == 2
+
+
+def test_submission_tables(spark):
+    files = spark.createDataFrame([("a.PDF", 5), ("b.pdf", 0), ("c.txt", 9)], "path string, size long")
+    assert listed(ingest.valid_inputs(files), "path") == [("a.PDF",)]
+    parts = spark.createDataFrame([("s", "/x", "a", "i", 0, 0)], "source string, path string, upload_name string, data_id string, batch long, place long")
+    assert ingest.public_part(parts).columns == ["source", "upload_name", "data_id"]
+    urls = spark.createDataFrame([(0, 0, "u")], "batch long, place long, url string")
+    assert ingest.assign_urls(parts, urls).first()["url"] == "u"
+    jobs = spark.createDataFrame([("b", "x", True), ("b", "y", None), ("c", "z", None)], "batch_id string, file string, downloaded boolean")
+    assert listed(ingest.resumable(jobs, "b"), "file") == [("y",)]

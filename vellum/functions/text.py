@@ -188,3 +188,9 @@ def member_is_inside(path: Column) -> Column:
     parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != "") & (p != "."))
     depth = F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, p: F.struct((a["d"] + F.when(p == "..", -1).otherwise(1)).alias("d"), F.least(a["low"], a["d"] + F.when(p == "..", -1).otherwise(1)).alias("low")), lambda a: a["low"])
     return ~path.rlike(r"^([/\\]|[A-Za-z]:)") & (depth >= 0)
+
+
+def parse_rect(x: Column) -> Column:
+    """array of the four numbers of a crop rectangle; the full-width comma separates too; null if they are not four."""
+    parts = F.transform(F.split(F.translate(x, "，", ","), ","), lambda p: strip(p).try_cast("double"))
+    return F.when((F.size(parts) == 4) & ~F.exists(parts, lambda p: p.isNull()), parts)

@@ -207,3 +207,16 @@ def checks(blocks: DataFrame, pages: DataFrame, numbers: DataFrame, edges: DataF
     }
     rows = [df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(name).alias("check"), "n") for name, df in found.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def preview(findings: DataFrame, order: list[str], most: int = 12) -> DataFrame:
+    """The first findings of each document."""
+    place = Window.partitionBy("doc_id").orderBy(*order)
+    return findings.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most).drop("_n")
+
+
+def inventory(pages: DataFrame, blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """doc_id, n_pages, first and last printed page, n_blocks, n_notes."""
+    spans = pages.join(numbers, ["doc_id", "page_idx"], "left").groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.min_by("pnum", "page_idx").alias("first_pnum"), F.max_by("pnum", "page_idx").alias("last_pnum"))
+    counts = blocks.groupBy("doc_id").agg(F.count_if(F.col("zone") == "body").alias("n_blocks"), F.count_if((F.col("zone") == "discarded") & (F.col("type") == "page_footnote")).alias("n_notes"))
+    return spans.join(counts, "doc_id", "left").na.fill(0, ["n_blocks", "n_notes"])

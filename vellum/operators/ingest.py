@@ -59,7 +59,7 @@ def unique_names(files: DataFrame) -> DataFrame:
 
 
 def batches(parts: DataFrame, order: list[str], per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Parts with their batch, from 0, in order."""
+    """Parts with their batch, from 0, in order. One sequence over a submission, which its quota bounds."""
     place = F.row_number().over(Window.orderBy(*order))
     return parts.withColumn("batch", ((place - 1) / per_batch).cast("long"))
 
@@ -116,3 +116,35 @@ def reconcile(results: DataFrame, previous: DataFrame, parts: DataFrame) -> Data
 def exit_code(actions: DataFrame) -> DataFrame:
     """One row: 2 if anything failed, else 0."""
     return actions.agg(F.when(F.count_if(F.col("action").isin("failed", "missing_url")) > 0, 2).otherwise(0).alias("code"))
+
+
+def valid_inputs(files: DataFrame) -> DataFrame:
+    """Files (path, size) that can be submitted: PDFs that are not empty."""
+    return files.where(F.lower("path").endswith(".pdf") & (F.col("size") > 0))
+
+
+def preflight(parts: DataFrame) -> DataFrame:
+    """One row: files, parts and pages of a submission, and how many parts are too large."""
+    return parts.agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("parts"), F.sum("pages").alias("pages"), F.count_if("oversize").alias("oversize"))
+
+
+def public_part(parts: DataFrame) -> DataFrame:
+    """What a report may show of a part: no local path."""
+    return parts.select(*[c for c in ("source", "upload_name", "data_id", "pages", "page_start", "page_end", "is_ocr") if c in parts.columns])
+
+
+def assign_urls(parts: DataFrame, urls: DataFrame) -> DataFrame:
+    """Parts with the upload url of the same place (both have batch and place); a batch whose counts differ is an error."""
+    joined = parts.join(urls.select("batch", "place", "url"), ["batch", "place"], "full")
+    short = F.col("url").isNull() | F.col("data_id").isNull()
+    return joined.withColumn("url", F.when(short, F.raise_error(F.concat(F.lit("urls and parts differ in number in batch "), F.col("batch").cast("string")))).otherwise(F.col("url")))
+
+
+def resumable(jobs: DataFrame, batch_id: str) -> DataFrame:
+    """The parts of a job that are not down yet (batch_id, file, downloaded)."""
+    return jobs.where((F.col("batch_id") == batch_id) & ~F.coalesce("downloaded", F.lit(False)))
+
+
+def residual_text(pages: DataFrame) -> DataFrame:
+    """file_id, n_chars: characters that a stripped text layer still holds (pages: file_id, text)."""
+    return pages.groupBy("file_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"))

@@ -93,6 +93,34 @@ _SQL: dict[str, tuple[str, str]] = {
              SELECT doc_id, 'body' AS zone, type AS key, page_idx, index AS ord FROM body UNION ALL SELECT doc_id, 'discarded', 'page_footnote', page_idx, ord FROM fnote
              UNION ALL SELECT doc_id, 'discarded', 'page_number', page_idx, 9 FROM own) GROUP BY ALL)""",
     ),
+    "inventory": (
+        _B + _N + _P,
+        """SELECT p.doc_id, n_pages, first_pnum, last_pnum, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_notes, 0) AS n_notes
+           FROM (SELECT doc_id, count(*) AS n_pages, arg_min(pnum, page_idx) AS first_pnum, arg_max(pnum, page_idx) AS last_pnum FROM pnum GROUP BY doc_id) p
+           LEFT JOIN (SELECT doc_id, count(*) AS n_blocks FROM body GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_notes FROM fnote GROUP BY doc_id) USING (doc_id)""",
+    ),
+    "orphan_preview": (
+        _N + _P,
+        """SELECT doc_id, page_idx, ord, pnum, text FROM (SELECT doc_id, page_idx, ord, pnum, left(text, 60) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, ord) AS k
+           FROM fnote LEFT JOIN pnum USING (doc_id, page_idx) WHERE text <> '' AND NOT regexp_matches(text, '^[①-⑳]') AND text NOT LIKE '收稿日期%') WHERE k <= 3""",
+    ),
+    "alignment_rows": (_B + _N + _P + _ALIGN, "SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM aligned) WHERE n <= 4 OR marks <> numbered"),
+    "upload_batches": (_FILES, "SELECT file_id, (row_number() OVER (ORDER BY file_id) - 1) // 50 AS batch FROM files"),
+    "needs_ocr": (
+        "",
+        r""", f AS (SELECT doc_id AS file_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), p AS (SELECT file_id, len(s) AS n, unnest(range(0, len(s))) AS page, unnest(s) AS text FROM f),
+           c AS (SELECT file_id, sum(length(regexp_replace(text, '\s', '', 'g')))::bigint AS n_chars FROM p WHERE page IN (0, n // 2, n - 1) GROUP BY file_id)
+           SELECT file_id, n_chars, n_chars < 120 AS is_ocr FROM c""",
+    ),
+    "context_breaks": (
+        _B,
+        r""", n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY page_idx, index) AS nxt FROM body)
+           SELECT doc_id, page_idx, index, right(text, 10) AS before FROM n
+           WHERE nxt IS NOT NULL AND text <> '' AND nxt <> '' AND NOT regexp_matches(text, '^(#|<!--|!\[|\*|<small>)') AND NOT regexp_matches(nxt, '^(#|<!--|!\[|\*|<small>)')
+             AND rtrim(text) <> '' AND right(rtrim(text), 1) NOT IN ('.', '!', '?', '…', ':', ';')
+             AND NOT regexp_matches(nxt, '^\s*(第[一二三四五六七八九十百]+[章节編编篇]|[一二三四五六七八九十]+[、．.]|[（(]\s*\d+\s*[)）]|\d+\s*[.．、]|附录|绪论|结语|参考|思考题|本章|学术)')""",
+    ),
+    "cut_text": (_B, "SELECT doc_id, page_idx, index, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 20) || '……〔中略 ' || (length(text) - 40) || ' 字〕……' || right(text, 20) END AS text FROM body"),
     "header_counts": (_P, "SELECT * FROM (SELECT doc_id, '- ' || v || ' -' AS key, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(page_idx)) AS rank FROM own GROUP BY doc_id, v) WHERE rank <= 6"),
     "media_counts": (_B, "SELECT doc_id, 'image' AS type, count(*) AS n FROM body WHERE type = 'title' GROUP BY doc_id"),
     "confidence": (_B, "SELECT doc_id, count(*) AS n_spans, min(score) AS min_score, count(*) FILTER (score < 0.9::double) AS n_low FROM body GROUP BY doc_id"),
@@ -177,7 +205,7 @@ _SQL: dict[str, tuple[str, str]] = {
            f AS (SELECT doc_id FROM t GROUP BY doc_id HAVING count(DISTINCT level) = 1 AND count(*) > 5),
            s AS (SELECT doc_id, shape, row_number() OVER (PARTITION BY doc_id ORDER BY shape) AS rank FROM (SELECT DISTINCT doc_id, shape FROM t WHERE shape IS NOT NULL))
            SELECT t.doc_id, page_idx, index, CASE WHEN f.doc_id IS NOT NULL AND rank IS NOT NULL THEN least(rank + 1, 6) ELSE level END::bigint AS level
-           FROM t LEFT JOIN f ON f.doc_id = t.doc_id LEFT JOIN s ON s.doc_id = t.doc_id AND s.shape = t.shape""".replace("\\\\", "\\"),
+           FROM t LEFT JOIN f ON f.doc_id = t.doc_id LEFT JOIN s ON s.doc_id = t.doc_id AND s.shape = t.shape""",
     ),
     "footnotes_expanded": (
         _N + _P,
@@ -260,7 +288,7 @@ _SQL: dict[str, tuple[str, str]] = {
            UNION ALL SELECT doc_id, 'tags', len(regexp_extract_all(text, '</?su[bp]>'))::varchar FROM md WHERE regexp_matches(text, '</?su[bp]>')
            UNION ALL SELECT doc_id, 'pending_quote', len(regexp_extract_all(text, '<!--\\?quote-->'))::varchar FROM md WHERE contains(text, '<!--?quote-->')
            UNION ALL SELECT doc_id, 'repeated_anchor', string_agg(shown, ',' ORDER BY shown) FROM rep GROUP BY doc_id
-           UNION ALL SELECT doc_id, 'falling_anchor', count(*)::varchar FROM fall WHERE falls GROUP BY doc_id""".replace("\\\\", "\\"),
+           UNION ALL SELECT doc_id, 'falling_anchor', count(*)::varchar FROM fall WHERE falls GROUP BY doc_id""",
     ),
     "chapters": (
         _MD + _CHAPTERS,

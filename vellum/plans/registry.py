@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -106,6 +106,51 @@ def type_histogram(c: Corpus) -> DataFrame:
     return audit.type_histogram(c.blocks)
 
 
+@_query
+def inventory(c: Corpus) -> DataFrame:
+    return audit.inventory(c.pages, c.blocks, c.numbers)
+
+
+@_query
+def orphan_preview(c: Corpus) -> DataFrame:
+    return audit.preview(audit.orphan_notes(c.blocks, c.numbers), ["page_idx", "ord"], 3)
+
+
+@_query
+def alignment_rows(c: Corpus) -> DataFrame:
+    return audit.alignment_rows(c.aligned, 4)
+
+
+@_query
+def preflight(c: Corpus) -> DataFrame:
+    return ingest.preflight(ingest.upload_parts(c.files))
+
+
+@_query
+def upload_batches(c: Corpus) -> DataFrame:
+    return ingest.batches(ingest.upload_parts(c.files).where("part = 1"), ["file_id"]).select("file_id", "batch")
+
+
+@_query
+def needs_ocr(c: Corpus) -> DataFrame:
+    """A document's lines stand in for the pages of a file."""
+    lines = c.documents.where("text is not null").select(F.col("doc_id").alias("file_id"), F.size(F.split("text", "\n")).alias("n_pages"), F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    return ingest.needs_ocr(lines)
+
+
+@_query
+def context_breaks(c: Corpus) -> DataFrame:
+    """Neighbouring body blocks that the rebuild's rule would join."""
+    after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("page_idx", "index"))
+    rows = pages.body(c.blocks).withColumn("after", after).where("after is not null")
+    return rows.where(tx.is_break(F.col("text"), F.col("after"), LATIN_PROFILE)).select("doc_id", "page_idx", "index", F.right("text", F.lit(10)).alias("before"))
+
+
+@_query
+def cut_text(c: Corpus) -> DataFrame:
+    return pages.body(c.blocks).select("doc_id", "page_idx", "index", tx.cut(F.col("text"), 40).alias("text"))
+
+
 @_query
 def header_counts(c: Corpus) -> DataFrame:
     """Page numbers stand in for headers, which the derived layout lacks."""
