@@ -164,6 +164,46 @@ def test_later_copies_of_lines_go(spark):
     assert patience.dedup_lines(frame(spark, texts).where("false")).count() == 0
 
 
+def shared_stretches(texts, least):
+    """Lines of each text in a stretch of that many bytes that an earlier text holds."""
+    lines = [t.split("\n") for t in texts]
+    gone = []
+    for k, own in enumerate(lines):
+        out = set()
+        for other in lines[:k]:
+            for a in range(len(own)):
+                for c in range(len(other)):
+                    n = 0
+                    while a + n < len(own) and c + n < len(other) and own[a + n] == other[c + n]:
+                        n += 1
+                    if sum(len(x) for x in own[a : a + n]) >= least:
+                        out |= set(range(a, a + n))
+        gone.append(out)
+    return gone
+
+
+def test_every_stretch_that_an_earlier_text_holds_goes(spark):
+    short = [f"{w} is a line" for w in ("one", "two", "three", "four", "five", "six")]
+    # the lines of the copied text stand one by one, in another order or twice in earlier and later ones
+    texts = ["\n".join(x) for x in ([short[1], _LINES[3], _LINES[1]], [short[4], "x"], short + _LINES, short + _LINES, [*_LINES[1:3], "own", *_LINES[1:3]], ["own", _LINES[3], _LINES[0]], ["a", *short[2:6], "b"])]
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        texts.append("\n".join([f"only {len(texts)}", *[short[i] if i < 6 else _LINES[i - 6] if i < 9 else f"own {rng.integers(1000)}" for i in rng.integers(0, 12, 9)]]))
+    found = {r["doc_id"]: r for r in patience.dedup_lines(frame(spark, texts), rare_share=1.0).collect()}
+    for k, gone in enumerate(shared_stretches(texts, patience.LEAST_BYTES)):
+        assert found[k]["text"] == "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone), k
+        assert found[k]["n_removed"] == len(gone)
+        for b in found[k]["removed"] or []:
+            assert texts[k].split("\n")[b["start"] : b["start"] + b["n"]] == texts[b["partner"]].split("\n")[b["partner_start"] : b["partner_start"] + b["n"]]
+    assert (found[3]["n_removed"], found[3]["text"]) == (10, "")
+
+
+def test_rows_that_repeat_a_doc_id_are_cut_by_their_own_text(spark):
+    rows = [(1, "\n".join(_LINES)), (2, "own\n" + _LINES[2]), (2, _LINES[1] + "\nother"), (2, _LINES[1] + "\nother")]
+    found = patience.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=1.0)
+    assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == [(1, rows[0][1]), (2, "other"), (2, "other"), (2, "own")]
+
+
 def test_patience_alignment():
     # of a b x c and a b y c, by places of the common lines
     assert patience.align([([0], [0]), ([1], [1]), ([3], [3])]) == [(0, 0), (1, 1), (3, 3)]

@@ -1,19 +1,25 @@
 """Line dedup: align documents that share rare lines, and delete from the later one what is aligned.
 
-A line's hash is rare if at most RARE_SHARE of the documents hold it. A rare
-line points from each document to the first that holds it (smallest doc_id), so
-a document meets at most as many partners as it has lines, however many
-documents share a line, and a copy of every deleted line stays: the first
-holder of a line has no earlier partner that could take it away.
+A line's hash is rare if at most RARE_SHARE of the documents hold it. A run is
+the shortest stretch of rare lines of at least LEAST_BYTES of text that starts
+or ends at a line; every longer stretch is a union of runs. Each run points from
+each document to the first that holds it (smallest doc_id), so a document meets
+at most two partners for each of its lines, however many documents share a run,
+and whatever stretch it shares with any earlier document is shared, run by run,
+with its partners. A copy of every deleted line stays: what a partner loses
+itself, a still earlier document holds.
 
 A document and a partner are aligned by patience diff over the lines they
 share: lines that are unique in both anchor a longest common subsequence, gaps
 between anchors are aligned in the same way, and equal lines next to aligned
 ones are added. A block of consecutive aligned lines is deleted if it holds at
-least LEAST_BYTES of text.
+least LEAST_BYTES of text. Runs that the partner holds but the alignment leaves
+out (they stand in another order, or repeat) are deleted as blocks of their own.
+So a line goes if and only if it is in a stretch of that size that an earlier
+document holds, whoever the partners are.
 
-Lines travel as hashes with their positions; only the spans that stay come back
-to the text, which is cut by DataFrame functions.
+Lines travel as hashes with their sizes; only the spans that stay come back to
+the text, which is cut by DataFrame functions.
 
 Defined results: lines are compared without the white space around them; blank
 lines are never aligned; null texts have no line and stay null; empty texts
@@ -27,10 +33,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm import textbytes as tb
 from vellum.llm.runtime import written
 
 RARE_SHARE = 0.5
@@ -101,66 +109,150 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def runs(lines: np.ndarray, size: np.ndarray, rare: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, end, key) of the shortest stretches of rare lines with least bytes that start or end at each line of each text."""
+    n = len(lines)
+    at = np.arange(n)
+    sizes, others = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(~rare)))
+    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + least), at + 1)
+    starts = np.minimum(np.searchsorted(sizes, sizes[1:] - least, "right") - 1, at)
+    length = np.diff(first)
+    forward, back = ends <= np.repeat(first[1:], length), starts >= np.repeat(first[:-1], length)
+    starts, ends = np.concatenate((at[forward], starts[back])), np.concatenate((ends[forward], at[back] + 1))
+    whole = others[starts] == others[ends]
+    found = np.unique(np.stack((starts[whole], ends[whole])), axis=1)
+    starts, ends = found[0], found[1]
+    return starts, ends, tb.run_hashes(tb.mix(lines.view(np.uint64)), starts, ends)
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("n", pa.int32())])
 _BLOCK = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("partner", pa.int64()), ("partner_start", pa.int32())])
 
 
-def _aligned(least: int):
+def _columns(lists: pa.Array, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bytes, rare, first line of each text and the end) of a column of lines."""
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    lines, size = (np.asarray(flat.field(k)) for k in (0, 1))
+    return lines, size.astype(np.int64), (size > 0) & ~np.isin(lines, common), offsets - offsets[0]
+
+
+def _runs(common: np.ndarray, least: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for n_lines, shared in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                partners: dict[int, list[tuple[list[int], list[int]]]] = {}
-                size: dict[int, int] = {}
-                for row in shared.as_py():
-                    partners.setdefault(row["first_doc"], []).append((row["places"], row["first_places"]))
-                    size.update(dict.fromkeys(row["places"], row["bytes"]))
-                own = []
-                for partner, lines in sorted(partners.items()):
-                    for start, n, there in blocks(align(lines)):
-                        if sum(size[x] for x in range(start, start + n)) >= least:
-                            own.append({"start": start, "n": n, "partner": partner, "partner_start": there})
-                own.sort(key=lambda r: r["start"])
-                at, stays = 0, []
-                for r in own:
-                    if r["start"] > at:
-                        stays.append({"start": at + 1, "n": r["start"] - at})
-                    at = max(at, r["start"] + r["n"])
-                if at < n_lines:
-                    stays.append({"start": at + 1, "n": n_lines - at})
-                removed.append(own)
-                kept.append(stays)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.list_(_BLOCK)), pa.array(kept, pa.list_(_SPAN))], names=["doc_id", "removed", "kept"])
+            lines, size, rare, first = _columns(batch.column(2), common)
+            starts, _, keys = runs(lines, size, rare, first, least)
+            text = np.searchsorted(first, starts, "right") - 1
+            found = np.unique(np.stack((text.astype(np.uint64), keys)), axis=1)
+            text = pa.array(found[0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(found[1].view(np.int64))], names=["doc_id", "digest", "run"])
 
     return kernel
 
 
-def shared_lines(docs: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
-    """doc_id, line hash, bytes, places, and the first holder with its places, for rare lines that an earlier document holds."""
+def _shared(mine: np.ndarray, rare: np.ndarray, theirs: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    """Places in both of each line that both hold and that may be aligned."""
+    places: dict[int, tuple[list[int], list[int]]] = {}
+    for x in np.flatnonzero(rare & np.isin(mine, theirs)).tolist():
+        places.setdefault(int(mine[x]), ([], []))[0].append(x)
+    for y in np.flatnonzero(np.isin(theirs, mine[rare])).tolist():
+        places[int(theirs[y])][1].append(y)
+    return list(places.values())
+
+
+def _left_out(found: list[tuple[int, int, int]], mine: tuple, theirs: tuple, least: int) -> list[tuple[int, int, int]]:
+    """Blocks of the runs that both hold and that are not in the blocks found."""
+    open_ = np.ones(len(mine[0]) + 1, np.int64)
+    for start, n, _ in found:
+        open_[start : start + n] = 0
+    before = np.concatenate(([0], np.cumsum(open_)))
+    starts, ends, keys = runs(*mine, np.array([0, len(mine[0])]), least)
+    left = before[ends] > before[starts]
+    if not left.any():
+        return []
+    there_starts, _, there_keys = runs(*theirs, np.array([0, len(theirs[0])]), least)
+    there = dict(zip(there_keys.tolist()[::-1], there_starts.tolist()[::-1], strict=True))
+    more = [(there[k] - x, x, y) for x, y, k in zip(starts[left].tolist(), ends[left].tolist(), keys[left].tolist(), strict=True) if k in there]
+    out: list[tuple[int, int, int]] = []
+    for shift, x, y in sorted(more):
+        if out and out[-1][2] - out[-1][0] == shift and x <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], y - out[-1][0]), out[-1][2])
+        else:
+            out.append((x, y - x, x + shift))
+    return out
+
+
+def _aligned(common: np.ndarray, least: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, theirs = (_columns(batch.column(k), common) for k in (3, 4))
+            removed = []
+            for k, partner in enumerate(batch.column(2).to_pylist()):
+                own, other = (tuple(c[first[k] : first[k + 1]] for c in columns) for *columns, first in (mine, theirs))
+                found = [b for b in blocks(align(_shared(own[0], own[2], other[0]))) if own[1][b[0] : b[0] + b[1]].sum() >= least]
+                found += _left_out(found, own, other, least)
+                removed.append([{"start": start, "n": n, "partner": partner, "partner_start": there} for start, n, there in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(mine[3]), pa.int32()), pa.array(removed, pa.list_(_BLOCK))], names=["doc_id", "digest", "n_lines", "removed"])
+
+    return kernel
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of all partners, without overlaps, and the spans between them."""
+    for batch in batches:
+        removed, kept = [], []
+        for n_lines, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            at, own, stays = 0, [], []
+            for r in sorted(found, key=lambda r: (r["start"], -r["n"], r["partner"], r["partner_start"])):
+                start, end = max(r["start"], at), r["start"] + r["n"]
+                if end <= at:
+                    continue
+                if start > at:
+                    stays.append({"start": at + 1, "n": start - at})
+                own.append({"start": start, "n": end - start, "partner": r["partner"], "partner_start": r["partner_start"] + start - r["start"]})
+                at = end
+            if at < n_lines:
+                stays.append({"start": at + 1, "n": n_lines - at})
+            removed.append(own)
+            kept.append(stays)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.list_(_BLOCK)), pa.array(kept, pa.list_(_SPAN))], names=["doc_id", "digest", "removed", "kept"])
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text, and its lines (hash and bytes), once for each text of a doc_id."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
-    placed = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(lines).alias("place", "line")).where("line <> ''")
-    hashed = placed.select("doc_id", "place", F.xxhash64("line").alias("line"), F.octet_length("line").alias("bytes"))
-    own = written(hashed.groupBy("line", "doc_id", "bytes").agg(F.array_sort(F.collect_list("place")).alias("places")), "lines")
-    most = max(2, int(rare_share * own.select("doc_id").distinct().count()))
-    first = own.groupBy("line").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc")).where((F.col("holders") > 1) & (F.col("holders") <= most))
-    # the first holder's places, by the same key: a row for each line
-    at_first = own.join(first, "line").where("doc_id = first_doc").select("line", "first_doc", F.col("places").alias("first_places"))
-    at_first = written(at_first, "first-lines")
-    return own.join(at_first, "line").where("doc_id <> first_doc")
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.octet_length(x).alias("bytes")))
+    whole = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), hashed.alias("lines"))
+    return written(whole.dropDuplicates(["doc_id", "digest"]), "lines")
+
+
+def common_lines(texts: DataFrame, rare_share: float = RARE_SHARE) -> np.ndarray:
+    """Hashes of the lines that are not rare: at most 1 / rare_share times the mean number of lines, whatever the corpus."""
+    held = texts.select("doc_id", F.explode("lines").alias("l")).where("l.bytes > 0").select("doc_id", F.col("l.line").alias("line")).distinct()
+    most = max(2, int(rare_share * texts.where("exists(lines, l -> l.bytes > 0)").select("doc_id").distinct().count()))
+    return np.array([r["line"] for r in held.groupBy("line").agg(F.count("*").alias("holders")).where(F.col("holders") > most).collect()], np.int64)
+
+
+def partners(texts: DataFrame, common: np.ndarray, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """doc_id and digest of each text with those of the first holders of its runs."""
+    held = written(texts.mapInArrow(_runs(common, least_bytes), "doc_id bigint, digest bigint, run bigint"), "runs")
+    first = held.groupBy("run").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"), F.min_by("digest", "doc_id").alias("first_digest")).where("holders > 1")
+    return held.join(first, "run").where("doc_id <> first_doc").select("doc_id", "digest", "first_doc", "first_digest").distinct()
 
 
 def dedup_lines(docs: DataFrame, rare_share: float = RARE_SHARE, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (blocks with their partner) and text of every document (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = shared_lines(docs, rare_share)
-    counted = docs.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
-    by_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first_doc", "bytes", "places", "first_places")).alias("shared"))
-    asked = by_doc.join(counted, "doc_id").select("doc_id", "n_lines", "shared")
-    schema = "doc_id bigint, removed array<struct<start: int, n: int, partner: bigint, partner_start: int>>, kept array<struct<start: int, n: int>>"
-    spans = written(asked.mapInArrow(_aligned(least_bytes), schema), "line-spans").where("size(removed) > 0")
+    texts = lines_of(docs)
+    common = common_lines(texts, rare_share)
+    theirs = texts.select(F.col("doc_id").alias("first_doc"), F.col("digest").alias("first_digest"), F.col("lines").alias("first_lines"))
+    asked = partners(texts, common, least_bytes).join(texts, ["doc_id", "digest"]).join(theirs, ["first_doc", "first_digest"]).select("doc_id", "digest", "first_doc", "lines", "first_lines")
+    block = "array<struct<start: int, n: int, partner: bigint, partner_start: int>>"
+    found = asked.mapInArrow(_aligned(common, least_bytes), f"doc_id bigint, digest bigint, n_lines int, removed {block}")
+    by_doc = found.groupBy("doc_id", "digest").agg(F.first("n_lines").alias("n_lines"), F.flatten(F.collect_list("removed")).alias("removed"))
+    spans = written(by_doc.mapInArrow(_spans, f"doc_id bigint, digest bigint, removed {block}, kept array<struct<start: int, n: int>>"), "line-spans").where("size(removed) > 0")
     cut = F.expr(r"array_join(transform(kept, s -> array_join(slice(split(text, '\n', -1), s.start, s.n), '\n')), '\n')")
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
     n_removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["n"]), F.lit(0).cast("long"))
     # by shuffle at every size: what is to be cut grows with the corpus
-    whole = docs.hint("merge").join(spans, "doc_id", "left")
+    whole = docs.withColumn("digest", F.xxhash64("text")).hint("merge").join(spans, ["doc_id", "digest"], "left")
     return whole.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), "removed", F.when(F.col("kept").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut).alias("text"))

@@ -119,15 +119,20 @@ def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans hash alike wherever they stand."""
-    n = len(data)
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values; equal runs hash alike wherever they stand."""
+    n = len(values)
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
+    np.cumsum(values * up[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span; equal spans hash alike wherever they stand."""
+    return run_hashes(_BYTE_VALUE[data], starts, ends)
+
+
 def window_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of so many consecutive words (fewer rows than words by width - 1)."""
     n = len(word_hashes) - width + 1
