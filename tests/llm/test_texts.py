@@ -198,6 +198,15 @@ def test_every_stretch_that_an_earlier_text_holds_goes(spark):
     assert (found[3]["n_removed"], found[3]["text"]) == (10, "")
 
 
+def test_blank_and_frequent_lines_go_with_rare_ones(spark):
+    frequent = "a line that stands in most of the documents"
+    items = [f"- item {k}" for k in range(8)]
+    listed = "\n\n".join(items[:4]) + f"\n{frequent}\n" + "\n\n".join(items[4:])
+    texts = [listed, "own\n" + listed + "\n\nend", *(f"other {k}\n{frequent}\n\n" for k in range(4)), listed]
+    found = [r["text"] for r in patience.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert found == [listed, "own\n\nend", *texts[2:6], ""]
+
+
 def test_rows_that_repeat_a_doc_id_are_cut_by_their_own_text(spark):
     rows = [(1, "\n".join(_LINES)), (2, "own\n" + _LINES[2]), (2, _LINES[1] + "\nother"), (2, _LINES[1] + "\nother")]
     found = patience.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=1.0)

@@ -1,8 +1,9 @@
 """Line dedup: align documents that share rare lines, and delete from the later one what is aligned.
 
-A line's hash is rare if at most RARE_SHARE of the documents hold it. A run is
-the shortest stretch of rare lines of at least LEAST_BYTES of text that starts
-or ends at a line; every longer stretch is a union of runs. Each run points from
+A line's hash is rare if it is not blank and at most RARE_SHARE of the documents
+hold it. A run is the shortest stretch of lines, blank and frequent ones too,
+with at least LEAST_BYTES of text and a rare line, that starts or ends at a
+line; every longer stretch is a union of runs. Each run points from
 each document to the first that holds it (smallest doc_id), so a document meets
 at most two partners for each of its lines, however many documents share a run,
 and whatever stretch it shares with any earlier document is shared, run by run,
@@ -12,17 +13,18 @@ itself, a still earlier document holds.
 A document and a partner are aligned by patience diff over the lines they
 share: lines that are unique in both anchor a longest common subsequence, gaps
 between anchors are aligned in the same way, and equal lines next to aligned
-ones are added. A block of consecutive aligned lines is deleted if it holds at
-least LEAST_BYTES of text. Runs that the partner holds but the alignment leaves
+ones are added; blank and frequent lines are aligned like others. A block of
+consecutive aligned lines is deleted if it holds at least LEAST_BYTES of text and
+a rare line. Runs that the partner holds but the alignment leaves
 out (they stand in another order, or repeat) are deleted as blocks of their own.
-So a line goes if and only if it is in a stretch of that size that an earlier
-document holds, whoever the partners are.
+So a line goes if and only if it is in a stretch of that size and with a rare
+line that an earlier document holds, whoever the partners are.
 
 Lines travel as hashes with their sizes; only the spans that stay come back to
 the text, which is cut by DataFrame functions.
 
 Defined results: lines are compared without the white space around them; blank
-lines are never aligned; null texts have no line and stay null; empty texts
+and frequent lines go only in a block with a rare one; null texts have no line and stay null; empty texts
 have one blank line; of rows that repeat a doc_id none takes lines from the
 other; rows without doc_id come back as they are; an empty table gives an empty
 result.
@@ -110,18 +112,15 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def runs(lines: np.ndarray, size: np.ndarray, rare: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, end, key) of the shortest stretches of rare lines with least bytes that start or end at each line of each text."""
+    """(first line, end, key) of the shortest stretches with least bytes and a rare line that start or end at each line of each text."""
     n = len(lines)
     at = np.arange(n)
-    sizes, others = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(~rare)))
-    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + least), at + 1)
-    starts = np.minimum(np.searchsorted(sizes, sizes[1:] - least, "right") - 1, at)
+    sizes, rares = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(rare)))
+    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + least), np.searchsorted(rares, rares[:-1] + 1))
+    starts = np.minimum(np.searchsorted(sizes, sizes[1:] - least, "right"), np.searchsorted(rares, rares[1:] - 1, "right")) - 1
     length = np.diff(first)
     forward, back = ends <= np.repeat(first[1:], length), starts >= np.repeat(first[:-1], length)
-    starts, ends = np.concatenate((at[forward], starts[back])), np.concatenate((ends[forward], at[back] + 1))
-    whole = others[starts] == others[ends]
-    found = np.unique(np.stack((starts[whole], ends[whole])), axis=1)
-    starts, ends = found[0], found[1]
+    starts, ends = np.unique(np.stack((np.concatenate((at[forward], starts[back])), np.concatenate((ends[forward], at[back] + 1)))), axis=1)
     return starts, ends, tb.run_hashes(tb.mix(lines.view(np.uint64)), starts, ends)
 
 
@@ -149,12 +148,12 @@ def _runs(common: np.ndarray, least: int):
     return kernel
 
 
-def _shared(mine: np.ndarray, rare: np.ndarray, theirs: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """Places in both of each line that both hold and that may be aligned."""
+def _shared(mine: np.ndarray, theirs: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    """Places in both of each line that both hold."""
     places: dict[int, tuple[list[int], list[int]]] = {}
-    for x in np.flatnonzero(rare & np.isin(mine, theirs)).tolist():
+    for x in np.flatnonzero(np.isin(mine, theirs)).tolist():
         places.setdefault(int(mine[x]), ([], []))[0].append(x)
-    for y in np.flatnonzero(np.isin(theirs, mine[rare])).tolist():
+    for y in np.flatnonzero(np.isin(theirs, mine)).tolist():
         places[int(theirs[y])][1].append(y)
     return list(places.values())
 
@@ -188,7 +187,8 @@ def _aligned(common: np.ndarray, least: int):
             removed = []
             for k, partner in enumerate(batch.column(2).to_pylist()):
                 own, other = (tuple(c[first[k] : first[k + 1]] for c in columns) for *columns, first in (mine, theirs))
-                found = [b for b in blocks(align(_shared(own[0], own[2], other[0]))) if own[1][b[0] : b[0] + b[1]].sum() >= least]
+                found = blocks(align(_shared(own[0], other[0])))
+                found = [b for b in found if own[1][b[0] : b[0] + b[1]].sum() >= least and own[2][b[0] : b[0] + b[1]].any()]
                 found += _left_out(found, own, other, least)
                 removed.append([{"start": start, "n": n, "partner": partner, "partner_start": there} for start, n, there in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(mine[3]), pa.int32()), pa.array(removed, pa.list_(_BLOCK))], names=["doc_id", "digest", "n_lines", "removed"])
