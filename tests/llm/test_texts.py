@@ -84,6 +84,20 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, local):
         assert (found[k]["n_shingles"], found[k]["component_id"], found[k]["kept"]) == (n, component, k == component), k
 
 
+def test_large_buckets_are_settled_when_stars_find_nothing(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "PIECE", 4)
+    monkeypatch.setattr(hyperminhash, "_stars", lambda rows, turn, centres: rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    texts, rng, vocabulary = corpus(3, 3)
+    for _ in range(12):
+        w = texts[0].split(" ")
+        w[rng.integers(0, len(w))] = str(rng.choice(vocabulary))
+        texts.append(" ".join(w))
+    found = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(frame(spark, texts)).collect()}
+    expected = {k: component for k, (_, component) in enumerate(linked(texts))}
+    assert found == expected
+    assert len(set(expected.values())) < 6
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "A  b")], "doc_id long, text string")
     found = [tuple(r) for r in hyperminhash.near_duplicates(rows).orderBy("doc_id").collect()]

@@ -10,8 +10,9 @@ next MANTISSA bits. Empty registers borrow from the next filled one for banding.
    to SMALL_BUCKET classes give all their pairs. Larger ones give stars: every
    class with four random members of its bucket. Then these buckets are cut
    finer by a second band, in several ways, and give stars again, in rounds with
-   new members until a round has found no new link. Classes already in one
-   component are not compared again.
+   new members until a round has found no new link. Then large buckets give all
+   their pairs that still cross components. Classes already in one component are
+   not compared again.
 3. A pair is kept if its Jaccard estimate, corrected for registers that agree by
    chance, is within MARGIN standard errors of the threshold; then it is
    confirmed on the full sets. First the best pair of every class is confirmed,
@@ -23,10 +24,10 @@ Sketches and sets are dealt by class once and kept on the executors' disks (a
 lost part is computed again from written tables), so that each comparison only
 moves its pairs. Texts are joined by shuffle whatever their size.
 
-A pair at the threshold shares a band with probability above 1 - 1e-6. In a
-bucket of more than SMALL_BUCKET classes a link may also be found through third
-classes; what is missed there must evade the random members of all buckets that
-the two share, in every round.
+A pair at the threshold shares a band with probability above 1 - 1e-6. The stars
+only settle most of a large bucket cheaply; what they leave apart is compared in
+full, so a bucket's size changes no result. That step grows with the members of
+a bucket times those outside its main component.
 
 Defined results: null, empty and wordless texts have no shingle and are linked
 with nothing; rows that repeat a doc_id are in one component if their texts
@@ -57,6 +58,8 @@ BAND = 8
 BAND_ORDERS = np.concatenate((np.arange(REGISTERS), np.arange(REGISTERS // 2) * 37 % REGISTERS))
 BANDS = len(BAND_ORDERS) // BAND
 SMALL_BUCKET = 4
+#: Members of a large bucket that meet others at once.
+PIECE = 256
 #: Links whose components one task works out.
 LOCAL_LINKS = 200_000
 MARGIN = 5.0
@@ -258,6 +261,49 @@ def _stars(rows: DataFrame, turn: int, centres: int) -> DataFrame:
     return rows.join(chosen, "bucket").select(F.col("rep").alias("a"), F.explode("centres").alias("b"))
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Promising pairs of different components, of two pieces of a bucket."""
+    bar = THRESHOLD_PERCENT / 100
+    for batch in batches:
+        left, right = [], []
+        for few, many in zip(batch.column(0), batch.column(1), strict=True):
+            few, many = few.values, many.values
+            if not len(few) or not len(many):
+                continue
+            (rep, label), (reps, labels) = ([x.field(k).to_numpy() for k in (0, 1)] for x in (few, many))
+            own, others = _registers(few.field(2)), _registers(many.field(2))
+            for k in range(len(rep)):
+                share, n = estimate(others, own[k : k + 1])
+                good = (labels != label[k]) & (share >= bar - MARGIN * np.sqrt(bar * (1 - bar) / np.maximum(n, 1)))
+                left.append(np.full(good.sum(), rep[k]))
+                right.append(reps[good])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _promising_across(rows: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """All promising pairs of each bucket whose ends are in different components.
+
+    The members outside a bucket's main component meet all its members, piece by
+    piece, so that sketches travel with members and not with pairs."""
+    if labels is None:
+        labelled = rows.select("bucket", "rep", F.col("rep").alias("label"))
+    else:
+        labelled = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    by_label = written(labelled.groupBy("bucket", "label").agg(F.count("*").alias("n")), "bucket-labels")
+    open_ = by_label.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    pieces = [F.ceil(x / F.lit(PIECE)).cast("int") for x in (F.col("n") - F.col("most"), F.col("n"))]
+    open_ = open_.select("bucket", "main", pieces[0].alias("few"), pieces[1].alias("many"))
+    member = labelled.join(open_, "bucket").join(classes, "rep").withColumn("member", F.struct("rep", "label", "sketch"))
+    own = [F.pmod(F.xxhash64("rep"), F.col(x)).cast("int") for x in ("few", "many")]
+    each = [F.explode(F.sequence(F.lit(0), F.col(x) - 1)) for x in ("few", "many")]
+    none = F.lit(None).cast(member.schema["member"].dataType)
+    few = member.where("label <> main").select("bucket", own[0].alias("p"), each[1].alias("q"), F.col("member").alias("few"), none.alias("many"))
+    many = member.select("bucket", each[0].alias("p"), own[1].alias("q"), none.alias("few"), F.col("member").alias("many"))
+    met = few.union(many).groupBy("bucket", "p", "q").agg(F.collect_list("few").alias("few"), F.collect_list("many").alias("many"))
+    return met.select("few", "many").mapInArrow(_across, "a bigint, b bigint").distinct()
+
+
 class _Linker:
     """Classes, their sketches and sets, and the components of the links found so far."""
 
@@ -305,6 +351,10 @@ class _Linker:
         rest = self._crossing(good.select("a", "b").join(best, ["a", "b"], "left_anti"))
         return self._confirm(rest) or found
 
+    def settle(self, rows: DataFrame) -> None:
+        """Confirm all pairs of the buckets that cross components."""
+        self._confirm(_promising_across(rows, self.labels, self.classes))
+
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (columns doc_id, text)."""
@@ -332,6 +382,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while linker.compare(pairs, many=turn == 0) and more:
         turn += 1
         pairs = _stars(large.select(F.explode("finer").alias("bucket"), "rep"), turn, 4)
+    if more:
+        linker.settle(large.select("bucket", "rep"))
     for table in kept:
         table.unpersist()
     placed = all_rows.select("doc_id", "n_shingles", "d1", "d2").join(by_set.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"], "left")
