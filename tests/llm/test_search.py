@@ -121,3 +121,8 @@ def test_prefix_and_epochs(spark):
     assert ((by["t"] <= by["target"]) & (by["t"] + by["most"] > by["target"] - 1)).all()
     assert by.loc[("(null)", "src1"), "target"] == 100  # two epochs of ten documents
     assert budget.mix(docs.where("false"), levels, {}, tokens=budget.tokens_of(F.col("text"))).count() == 0
+
+
+def test_rows_that_repeat_a_query_leave_room_for_its_neighbours():
+    tree = kd_search.KDTree(np.array([1, 1, 1, 2, 3]), np.ones((5, 2), np.int64), 2)
+    assert sorted(tree.search(1, np.ones(2, np.int64), 2, None)) == [(2, -3), (2, -2)]

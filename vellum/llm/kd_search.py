@@ -55,7 +55,9 @@ class KDTree:
         ids, vectors = ids[order], vectors[order]
         new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1)))
         group = np.cumsum(new) - 1
-        place = np.arange(len(ids)) - np.flatnonzero(new)[group]
+        # by distinct ids, as a query skips all rows of its own
+        number = np.cumsum(np.concatenate(([True], new[1:] | (ids[1:] != ids[:-1]))))
+        place = number - number[np.flatnonzero(new)[group]]
         kept = place <= k
         self.ids, self.group, self.vectors = ids[kept], group[kept], vectors[new]
         self.first_id = np.searchsorted(self.group, np.arange(len(self.vectors) + 1))
