@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import attention_mil, context_mixing, fm_index, hyperminhash, patience, ppm
 from vellum.llm import textbytes as tb
+from vellum.llm.runtime import Scratch
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = [None, "", " \n\t ", "x", "Ü ß　é", "a" * 5000, "one two three four", "|||", "new\nline\n\n", "word " * 3000]
@@ -68,9 +69,7 @@ def linked(texts):
     return [(len(s), find(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("local", [hyperminhash.LOCAL_LINKS, 0])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, local):
-    monkeypatch.setattr(hyperminhash.components, "__defaults__", (local,))
+def test_near_duplicates_match_brute_force(spark):
     texts, rng, vocabulary = corpus(1, 25)
     for base in (texts[0], texts[1]):  # many copies with one to three words changed each
         for k in range(20):
@@ -84,9 +83,9 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, local):
         assert (found[k]["n_shingles"], found[k]["component_id"], found[k]["kept"]) == (n, component, k == component), k
 
 
-def test_large_buckets_are_settled_when_stars_find_nothing(spark, monkeypatch):
+def test_buckets_are_settled_when_centres_find_nothing(spark, monkeypatch):
     monkeypatch.setattr(hyperminhash, "PIECE", 4)
-    monkeypatch.setattr(hyperminhash, "_stars", lambda rows, turn, centres: rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    monkeypatch.setattr(hyperminhash, "_star_pairs", lambda members: members.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false"))
     texts, rng, vocabulary = corpus(3, 3)
     for _ in range(12):
         w = texts[0].split(" ")
@@ -98,17 +97,60 @@ def test_large_buckets_are_settled_when_stars_find_nothing(spark, monkeypatch):
     assert len(set(expected.values())) < 6
 
 
+def test_a_bucket_of_mutually_different_neighbours(spark):
+    # a thousand texts share half of their words, so they meet in buckets, and few of them link
+    texts, rng, vocabulary = corpus(11, 1, 100)
+    head = texts[0]
+    texts = [head + " " + " ".join(rng.choice(vocabulary, 60)) for _ in range(1000)]
+    texts += [texts[k] + " more" for k in (7, 400, 401)] + [texts[900].rsplit(" ", 2)[0], head]
+    found = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(frame(spark, texts)).collect()}
+    assert found == {k: component for k, (_, component) in enumerate(linked(texts))}
+    assert {found[1000], found[1001], found[1002], found[1003]} == {7, 400, 401, 900}
+
+
+def test_near_copies_of_one_text_that_differ_by_degrees(spark):
+    texts, rng, vocabulary = corpus(12, 1, 150)
+    base = texts[0].split(" ")
+    for k in range(300):
+        w = list(base)
+        for at in rng.integers(0, len(w), 1 + k % 12):
+            w[at] = str(rng.choice(vocabulary))
+        texts.append(" ".join(w))
+    found = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(frame(spark, texts)).collect()}
+    expected = {k: component for k, (_, component) in enumerate(linked(texts))}
+    assert found == expected
+    assert 20 < len(set(expected.values())) < 280
+
+
+def test_rows_that_repeat_a_doc_id_link_by_their_own_texts(spark):
+    one, two = corpus(13, 2)[0]
+    rows = spark.createDataFrame([(1, one), (1, two), (2, two + " end"), (3, one + " end"), (4, None)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"]) for r in hyperminhash.near_duplicates(rows).collect())
+    assert found == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "A  b")], "doc_id long, text string")
-    found = [tuple(r) for r in hyperminhash.near_duplicates(rows).orderBy("doc_id").collect()]
+    found = [tuple(r)[:4] for r in hyperminhash.near_duplicates(rows).orderBy("doc_id").collect()]
     assert found == [(None, 1, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert hyperminhash.near_duplicates(rows.where("false")).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, two = corpus(14, 2)[0]
+    columns = ["doc_id", "text", "row", "Text_Hash", "component"]
+    rows = [(1, one), (1, one), (1, two), (2, two + " end"), (3, one + " end"), (None, one), (4, None), (4, None), (5, " "), (6, "x")]
+    docs = spark.createDataFrame([(*r, k % 3, None, "c") for k, r in enumerate(rows)], "doc_id long, text string, row int, Text_Hash string, component string")
+    kept = hyperminhash.deduplicated(docs)
+    assert kept.columns == columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")) for r in kept.collect()) == sorted([(1, one), (1, two), (0, one), (4, ""), (4, ""), (5, " "), (6, "x")])
+    assert hyperminhash.deduplicated(docs.where("false")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    for local in (0, 1000):
-        assert {r["label"] for r in hyperminhash.components(chain, local).collect()} == {0}
+    with Scratch(spark) as scratch:
+        assert {r["label"] for r in hyperminhash.components(chain, scratch).collect()} == {0}
 
 
 def test_jaccard_estimates(spark):

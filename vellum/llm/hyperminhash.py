@@ -5,33 +5,33 @@ word sequence, if shorter). The leading bits of a hash name a register; of the
 smallest rest in a register the sketch keeps the count of leading zeros and the
 next MANTISSA bits. Empty registers borrow from the next filled one for banding.
 
-1. Texts with equal sets form a class; the smallest doc_id stands for it.
-2. Registers are banded; a bucket is all classes with equal bands. Buckets of up
-   to SMALL_BUCKET classes give all their pairs. Larger ones give stars: every
-   class with four random members of its bucket. Then these buckets are cut
-   finer by a second band, in several ways, and give stars again, in rounds with
-   new members until a round has found no new link. Then large buckets give all
-   their pairs that still cross components. Classes already in one component are
-   not compared again.
+1. Texts with equal sets form a class, named by a 64-bit digest of the set.
+2. Registers are banded; a bucket is all classes with equal bands. Every class
+   of a bucket is compared with the bucket's centre, the one with most
+   neighbours over all its buckets: rows follow classes times bands.
 3. A pair is kept if its Jaccard estimate, corrected for registers that agree by
    chance, is within MARGIN standard errors of the threshold; then it is
-   confirmed on the full sets. First the best pair of every class is confirmed,
-   then those that still cross components.
-4. Components of the links: in one task up to LOCAL_LINKS of them, beyond by
-   minimum label and pointer jumping over DataFrames.
-
-Sketches and sets are dealt by class once and kept on the executors' disks (a
-lost part is computed again from written tables), so that each comparison only
-moves its pairs. Texts are joined by shuffle whatever their size.
-
-A pair at the threshold shares a band with probability above 1 - 1e-6. The stars
-only settle most of a large bucket cheaply; what they leave apart is compared in
-full, so a bucket's size changes no result. That step grows with the members of
-a bucket times those outside its main component.
+   confirmed on the full sets. Confirmed links give components, by minimum
+   labels and pointer jumping over DataFrames.
+4. What the centres leave apart is settled in full: all pairs of each bucket
+   whose ends are in different components. First the shingles of these classes
+   are counted: a shingle that only one component holds can be in no further
+   link, and a class with too few others is done. The rest meet in pieces of at
+   most about PIECE members, outsiders with all members, so that sketches travel
+   with members and not with pairs; sizes and shingle counts bound a pair's
+   similarity before its estimate is taken. Estimated pairs are confirmed as
+   before, and no bucket's size changes a result.
+
+A pair at the threshold shares a band with probability above 1 - 1e-6. The work
+of the last step grows with members times outsiders of the same bucket that the
+shingle counts leave, which a bucket of mutually different texts does not have.
+
+Written tables are deleted as soon as the next ones stand.
 
 Defined results: null, empty and wordless texts have no shingle and are linked
-with nothing; rows that repeat a doc_id are in one component if their texts
-link; rows without doc_id are linked with nothing and kept.
+with nothing; rows that repeat a doc_id are judged by their own texts, and are
+in one component only if these link; rows without doc_id are linked with nothing
+and kept; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -40,14 +40,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
-from vellum.llm.runtime import written
+from vellum.llm.runtime import Scratch, unused, written
 
 WIDTH = 5
+#: What a text with a word holds.
+WORD = r"[^\x20\x09-\x0D]"
 THRESHOLD_PERCENT = 85
 REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS
@@ -57,11 +58,8 @@ BAND = 8
 #: Bands of neighbouring registers, then bands over the registers in another order.
 BAND_ORDERS = np.concatenate((np.arange(REGISTERS), np.arange(REGISTERS // 2) * 37 % REGISTERS))
 BANDS = len(BAND_ORDERS) // BAND
-SMALL_BUCKET = 4
-#: Members of a large bucket that meet others at once.
+#: Members of a bucket that meet others at once.
 PIECE = 256
-#: Links whose components one task works out.
-LOCAL_LINKS = 200_000
 MARGIN = 5.0
 _EMPTY = 0xFFFF
 #: Chance that two registers agree though their smallest hashes differ: 0.17 * 2**-MANTISSA (Yu and Weber 2020).
@@ -138,30 +136,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = min(a + _TEXTS, hi - lo)
                 own = offsets[a : b + 1]
                 codes, first, lost = shingle_sets(data[own[0] : own[-1]], own - own[0])
-                n = np.diff(first)
-                # a code holds its text's number, so the hash is taken without it
-                mixed = tb.mix((codes << np.uint64(lost)) >> np.uint64(16))
-                digests = [np.concatenate(([np.uint64(0)], np.cumsum(m)))[first] for m in (mixed, tb.mix(mixed + np.uint64(1)))]
-                digests = [np.diff(d).view(np.int64) for d in digests]
                 registers = sketches(codes, first, lost)
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), b - a, [None, pa.py_buffer(registers.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), sketch], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
-
+                ids = [batch.column(k).slice(lo + a, b - a) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(first)), pa.array(set_digests(codes, first, lost)), sketch], names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"])
 
-#: How far on the second band is that cuts a bucket finer.
-FINER = (1, 7, 19, 34)
 
-
-def _finer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bands of each class, each with its keys together with a second band."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            keys = bands(_registers(part.column(1)))
-            rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-            finer = np.stack([tb.mix(keys ^ tb.mix(np.roll(keys, -step, axis=1))) for step in FINER], axis=2)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, finer.size + 1, len(FINER)), pa.int32()), pa.array(finer.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep), lists], names=["bucket", "rep", "finer"])
+def set_digests(codes: np.ndarray, first: np.ndarray, lost: int) -> np.ndarray:
+    """A 64-bit name of each text's set, the same whatever texts it is worked out with."""
+    # a code holds its text's number, so the hash is taken without it
+    mixed = tb.mix((codes << np.uint64(lost)) >> np.uint64(16))
+    one, two = (np.diff(np.concatenate(([np.uint64(0)], np.cumsum(m)))[first]) for m in (mixed, tb.mix(mixed + np.uint64(1))))
+    return tb.mix(one ^ tb.mix(two + np.diff(first).astype(np.uint64))).view(np.int64)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -172,37 +158,42 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            keys = bands(_registers(part.column(1)))
-            rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["bucket", "rep"])
+            cls, own = np.unique(part.column(0).to_numpy(), return_index=True)
+            keys = bands(_registers(part.column(1).take(pa.array(own))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(cls, keys.shape[1]))], names=["bucket", "cls"])
 
 
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(share: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether an estimate is near enough to the threshold."""
     bar = THRESHOLD_PERCENT / 100
+    return share >= bar - MARGIN * np.sqrt(bar * (1 - bar) / np.maximum(n, 1))
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
             part = batch.slice(at, 4000)
-            share, n = estimate(_registers(part.column(2)), _registers(part.column(3)))
-            good = share >= bar - MARGIN * np.sqrt(bar * (1 - bar) / np.maximum(n, 1))
-            kept = part.select([0, 1]).filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(share[good])], names=["a", "b", "share"])
+            yield part.select([0, 1]).filter(pa.array(_near(*estimate(_registers(part.column(2)), _registers(part.column(3))))))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts, of those that have the digest which is asked for."""
     for batch in batches:
-        ids = batch.column(0)
+        asked = batch.column(0).to_numpy()
         data, offsets = tb.utf8(batch.column(1))
-        for k in range(len(ids)):
+        for k in range(len(asked)):
             own = data[offsets[k] : offsets[k + 1]]
-            codes, _, lost = shingle_sets(own, np.array([0, len(own)]))
-            yield pa.RecordBatch.from_arrays([ids.slice(k, 1), pa.array([(codes << np.uint64(lost)).tobytes()], pa.binary())], names=["rep", "shingles"])
+            codes, first, lost = shingle_sets(own, np.array([0, len(own)]))
+            if set_digests(codes, first, lost)[0] == asked[k]:
+                shingles = pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array((codes << np.uint64(lost)).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), shingles], names=["cls", "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            a, b = a.values.to_numpy(), b.values.to_numpy()
             if THRESHOLD_PERCENT * max(len(a), len(b)) > 100 * min(len(a), len(b)):
                 good.append(False)
                 continue
@@ -211,91 +202,80 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labels of one task's links, by union-find."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := above.setdefault(x, x)) != x:
-            above[x] = x = above[y]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = top(a), top(b)
-            above[max(a, b)] = min(a, b)
-    nodes = sorted(above)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "label"])
-
-
-def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the smallest node of its component) of all nodes in links (a, b)."""
-    links = links.select("a", "b")
-    if links.count() <= local:
-        return written(links.coalesce(1).mapInArrow(_united, "node bigint, label bigint"), "labels")
-    both = written(links.union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    both = scratch.written(both, "edges")
+    table = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
+        labels = table.select("node", "label")
         heard = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        step = written(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("label"), F.col("label").alias("was")), "labels")
-        labels = step.select("node", "label")
+        step = lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("label"), F.col("label").alias("was"))
+        step = scratch.written(step, "labels")
+        scratch.drop(table)
+        table = step
         if step.where("label <> was").isEmpty():
-            return labels
-
-
-def _pairs_in_small(rows: DataFrame) -> DataFrame:
-    lists = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-    left = lists.select("reps", F.posexplode("reps").alias("at", "a"))
-    return left.select("a", F.explode(F.expr("slice(reps, at + 2, size(reps))")).alias("b"))
+            scratch.drop(both)
+            return step.select("node", "label")
 
 
-def _stars(rows: DataFrame, turn: int, centres: int) -> DataFrame:
-    """Each class with random members of its bucket; other ones each turn.
-
-    The random orders are of classes, not of buckets: the buckets that two classes share then mostly give the same pair."""
-    orders = [F.xxhash64("rep", F.lit(2 * turn + k)) for k in range(centres // 2)]
-    picks = [pick("rep", order) for order in orders for pick in (F.min_by, F.max_by)]
-    chosen = rows.groupBy("bucket").agg(F.array(*picks).alias("centres"))
-    return rows.join(chosen, "bucket").select(F.col("rep").alias("a"), F.explode("centres").alias("b"))
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Each class with the centre of each of its buckets."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    neighbours = members.join(sizes, "bucket").groupBy("cls").agg(F.sum("n").alias("n"))
+    most = F.struct("n", F.xxhash64("cls"))
+    centres = members.join(neighbours, "cls").groupBy("bucket").agg(F.max_by("cls", most).alias("centre"))
+    pairs = members.join(centres, "bucket").where("cls <> centre")
+    return pairs.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Promising pairs of different components, of two pieces of a bucket."""
-    bar = THRESHOLD_PERCENT / 100
     for batch in batches:
         left, right = [], []
         for few, many in zip(batch.column(0), batch.column(1), strict=True):
             few, many = few.values, many.values
             if not len(few) or not len(many):
                 continue
-            (rep, label), (reps, labels) = ([x.field(k).to_numpy() for k in (0, 1)] for x in (few, many))
-            own, others = _registers(few.field(2)), _registers(many.field(2))
-            for k in range(len(rep)):
-                share, n = estimate(others, own[k : k + 1])
-                good = (labels != label[k]) & (share >= bar - MARGIN * np.sqrt(bar * (1 - bar) / np.maximum(n, 1)))
-                left.append(np.full(good.sum(), rep[k]))
-                right.append(reps[good])
+            (cls, label, size, shared), (others, labels, sizes, shareds) = ([x.field(k).to_numpy() for k in range(4)] for x in (few, many))
+            own, their = _registers(few.field(4)), _registers(many.field(4))
+            for k in range(len(cls)):
+                # both hold no more of each other than what either shares with other components
+                both = np.minimum(shared[k], shareds)
+                open_ = np.flatnonzero((labels != label[k]) & (100 * both >= THRESHOLD_PERCENT * (size[k] + sizes - both)))
+                if len(open_):
+                    good = open_[_near(*estimate(their[open_], own[k : k + 1]))]
+                    left.append(np.full(len(good), cls[k]))
+                    right.append(others[good])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _promising_across(rows: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
+def _shared_counts(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """cls, label, size of the set, and an upper bound (shared) of its shingles that other components hold too; classes has cls and label."""
+    own = classes.join(sets, "cls")
+    shingles = own.select("cls", "label", F.explode("shingles").alias("shingle"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "cls") for f in (F.min, F.max)]
+    alone = shingles.groupBy("shingle").agg(*ends).where("min_label = max_label")
+    # of the classes of one component that hold a shingle, two are named without a join
+    alone = alone.select(F.explode(F.array_distinct(F.array("min_cls", "max_cls"))).alias("cls")).groupBy("cls").agg(F.count("*").alias("alone"))
+    size = F.size("shingles").cast("long")
+    return own.join(alone, "cls", "left").select("cls", "label", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _across_pairs(members: DataFrame, sketch_of: DataFrame) -> DataFrame:
     """All promising pairs of each bucket whose ends are in different components.
 
-    The members outside a bucket's main component meet all its members, piece by
-    piece, so that sketches travel with members and not with pairs."""
-    if labels is None:
-        labelled = rows.select("bucket", "rep", F.col("rep").alias("label"))
-    else:
-        labelled = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    by_label = written(labelled.groupBy("bucket", "label").agg(F.count("*").alias("n")), "bucket-labels")
+    members has bucket, cls, label, size and shared. The members outside a
+    bucket's main component meet all its members, piece by piece."""
+    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_ = by_label.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
     pieces = [F.ceil(x / F.lit(PIECE)).cast("int") for x in (F.col("n") - F.col("most"), F.col("n"))]
     open_ = open_.select("bucket", "main", pieces[0].alias("few"), pieces[1].alias("many"))
-    member = labelled.join(open_, "bucket").join(classes, "rep").withColumn("member", F.struct("rep", "label", "sketch"))
-    own = [F.pmod(F.xxhash64("rep"), F.col(x)).cast("int") for x in ("few", "many")]
+    member = members.join(open_, "bucket").join(sketch_of, "cls").withColumn("member", F.struct("cls", "label", "size", "shared", "sketch"))
+    own = [F.pmod(F.xxhash64("cls"), F.col(x)).cast("int") for x in ("few", "many")]
     each = [F.explode(F.sequence(F.lit(0), F.col(x) - 1)) for x in ("few", "many")]
     none = F.lit(None).cast(member.schema["member"].dataType)
     few = member.where("label <> main").select("bucket", own[0].alias("p"), each[1].alias("q"), F.col("member").alias("few"), none.alias("many"))
@@ -304,94 +284,90 @@ def _promising_across(rows: DataFrame, labels: DataFrame | None, classes: DataFr
     return met.select("few", "many").mapInArrow(_across, "a bigint, b bigint").distinct()
 
 
-class _Linker:
-    """Classes, their sketches and sets, and the components of the links found so far."""
-
-    def __init__(self, classes: DataFrame, sets: DataFrame) -> None:
-        self.classes, self.sets = classes, sets
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def _crossing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        if self.labels is None:
-            return pairs
-        for end in ("a", "b"):
-            pairs = pairs.join(self.labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-        apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-        return pairs.where(apart).drop("label_a", "label_b")
-
-    def _confirm(self, pairs: DataFrame) -> bool:
-        """Confirm pairs on full sets; add them to the links; whether there were any."""
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        joined = pairs
-        for end in ("a", "b"):
-            joined = joined.join(self.sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"set_{end}")), end)
-        found = written(joined.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
-        if found.isEmpty():
-            return False
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = components(self.links)
-        return True
-
-    def compare(self, pairs: DataFrame, many: bool) -> bool:
-        """Estimate and confirm; of many pairs first the best of each class, then what still crosses components."""
-        pairs = self._crossing(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-        for end in ("a", "b"):
-            pairs = pairs.join(self.classes.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-        good = written(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_promising, "a bigint, b bigint, share double"), "promising")
-        if not many:
-            return self._confirm(good.select("a", "b"))
-        ends = good.select(F.col("a").alias("node"), "a", "b", "share").union(good.select("b", "a", "b", "share"))
-        best = ends.groupBy("node").agg(F.max_by("a", "share").alias("a"), F.max_by("b", "share").alias("b")).select("a", "b").distinct()
-        best = written(best, "pairs")
-        found = self._confirm(best)
-        rest = self._crossing(good.select("a", "b").join(best, ["a", "b"], "left_anti"))
-        return self._confirm(rest) or found
-
-    def settle(self, rows: DataFrame) -> None:
-        """Confirm all pairs of the buckets that cross components."""
-        self._confirm(_promising_across(rows, self.labels, self.classes))
+def _both_ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs a, b with a column of the table for either end."""
+    for end in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("cls").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def _confirm(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs that reach the threshold on their full sets."""
+    pairs = scratch.written(pairs, "pairs")
+    found = scratch.written(_both_ends(pairs, sets, "shingles").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
+    scratch.drop(pairs)
+    return found
+
+
+def _labels(scratch: Scratch, members: DataFrame, sketch_of: DataFrame, sets: DataFrame) -> DataFrame:
+    """cls and label of all classes that share a bucket (members: bucket, cls); linked classes share a label."""
+    pairs = scratch.written(_star_pairs(members), "stars")
+    near = _both_ends(pairs, sketch_of, "sketch").mapInArrow(_promising, "a bigint, b bigint")
+    found = _confirm(scratch, near, sets)
+    scratch.drop(pairs)
+    top = components(found, scratch)
+    labels = members.select("cls").distinct().join(top.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
+    labels = scratch.written(labels, "class-labels")
+    labelled = scratch.written(members.join(labels, "cls"), "labelled")
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    unsettled = scratch.written(labelled.join(apart, "bucket", "left_semi").select("cls", "label").distinct(), "unsettled")
+    able = _shared_counts(unsettled, sets).where(100 * F.col("shared") >= THRESHOLD_PERCENT * F.col("size"))
+    able = scratch.written(able, "able")
+    across = labelled.select("bucket", "cls").join(able, "cls")
+    more = _confirm(scratch, _across_pairs(across, sketch_of), sets)
+    if more.isEmpty():
+        return labels
+    # links between components, as links between their labels
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("cls").alias(end), F.col("label").alias(f"label_{end}")), end)
+    above = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch)
+    return labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("above")), "label", "left").select("cls", F.coalesce("above", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document (columns doc_id, text)."""
+    """doc_id, n_shingles, component_id and kept of every document (columns doc_id, text).
+
+    Also text_hash (xxhash64 of the text) and component, a name of the component
+    that no other has, even if repeated doc_ids give them one component_id; null
+    for what is linked with nothing by rule."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_rows = written(docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary"), "sketches")
-    own = all_rows.where("n_shingles > 0 and doc_id is not null")
-    by_set = written(own.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = own.join(by_set.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    classes = written(classes, "class-sketches")
-    rows = classes.mapInArrow(_band_rows, "bucket bigint, rep bigint")
-    rows = written(rows, "bands")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(sizes, "bucket"), "buckets")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(shared.select("rep").distinct(), "rep", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = [table.repartition(parts, "rep").persist(StorageLevel.DISK_ONLY) for table in (classes, sets)]
-    linker = _Linker(*kept)
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    buckets, reps = large.select("bucket").distinct(), large.select("rep").distinct()
-    finer = classes.join(reps, "rep", "left_semi").select("rep", "sketch").mapInArrow(_finer_rows, "bucket bigint, rep bigint, finer array<bigint>")
-    large = written(finer.join(buckets, "bucket", "left_semi"), "large-buckets")
-    turn, more = 0, not large.isEmpty()
-    pairs = _pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)).union(_stars(large, turn, 4))
-    while linker.compare(pairs, many=turn == 0) and more:
-        turn += 1
-        pairs = _stars(large.select(F.explode("finer").alias("bucket"), "rep"), turn, 4)
-    if more:
-        linker.settle(large.select("bucket", "rep"))
-    for table in kept:
-        table.unpersist()
-    placed = all_rows.select("doc_id", "n_shingles", "d1", "d2").join(by_set.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"], "left")
-    if linker.labels is not None:
-        placed = placed.join(linker.labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        component = F.coalesce("label", "rep")
-    else:
-        component = F.col("rep")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    placed = placed.withColumn("component_id", F.when(linked, component).otherwise(F.col("doc_id")))
-    return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        all_rows = scratch.written(hashed.mapInArrow(_sketch, "doc_id bigint, text_hash bigint, n_shingles bigint, cls bigint, sketch binary"), "sketches")
+        own = all_rows.where("n_shingles > 0 and doc_id is not null")
+        rows = own.select("cls", "sketch").mapInArrow(_band_rows, "bucket bigint, cls bigint")
+        shared = rows.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
+        members = scratch.written(rows.join(shared, "bucket", "left_semi").distinct(), "members")
+        needed = members.select("cls").distinct()
+        # one row of each class before the join, so that copies do not travel
+        firsts = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).join(needed, "cls", "left_semi")
+        firsts = scratch.written(firsts, "class-sketches")
+        texts = docs.hint("merge").join(firsts.select("doc_id", "cls"), "doc_id").select("cls", "text")
+        sets = scratch.written(texts.mapInArrow(_sets, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]), "shingle-sets")
+        labels = _labels(scratch, members, firsts.select("cls", "sketch"), sets)
+        classes = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("component"))
+        classes = scratch.written(classes, "classes")
+        smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = classes.join(smallest, "component").select("cls", "component_id", "component")
+        ruled = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+        placed = all_rows.select("doc_id", "text_hash", "n_shingles", F.when(~ruled, F.col("cls")).alias("cls")).join(named, "cls", "left")
+        placed = placed.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+        return written(placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "component"), "near-duplicates")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all columns of docs.
+
+    Of rows with equal doc_id and text the one with the smallest hash of all
+    columns stays. Rows without doc_id or words are linked with nothing and stay."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    doc_id, text_hash, row = unused(docs, "doc_id_of", "text_hash", "row")
+    stays = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
+    stays = stays.select(F.col("s.doc_id").alias(doc_id), F.col("s.text_hash").alias(text_hash))
+    linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    own = docs.where(linkable).withColumns({doc_id: F.col("doc_id").cast("long"), text_hash: F.xxhash64("text")}).join(stays, [doc_id, text_hash], "left_semi")
+    number = F.row_number().over(Window.partitionBy(doc_id, text_hash).orderBy(F.xxhash64(*docs.columns)))
+    once = own.withColumn(row, number).where(F.col(row) == 1)
+    return once.select(docs.columns).unionByName(docs.where(~linkable))

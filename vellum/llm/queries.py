@@ -27,7 +27,8 @@ def op2_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = hyperminhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
