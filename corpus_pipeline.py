@@ -6,8 +6,8 @@ shard. Stages keep all columns of what they keep, whatever their names.
 
 1. quality_classifier: attention-based multiple-instance learning on
    labels.quality; documents that score below the threshold go.
-2. near_duplicates: HyperMinHash; of each component the smallest doc_id stays,
-   once. Rows without doc_id stay.
+2. near_duplicates: HyperMinHash; of each component one row of the smallest
+   doc_id stays. Rows without doc_id or words stay.
 3. decontamination: FM-index search for the benchmark's phrases; documents that
    are contaminated (hit words are a twentieth or more) go, others stay as they are.
 4. source_mixture: hierarchical budgeting towards MIX_WEIGHTS; one epoch at most,
@@ -20,7 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import attention_mil, budget, fm_index, hilbert, hyperminhash
@@ -38,12 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = hyperminhash.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    # of rows that repeat a doc_id one stays; the join has dealt and sorted them already
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    once = named.withColumn("__row", number).where("__row = 1").drop("__row")
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return hyperminhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
