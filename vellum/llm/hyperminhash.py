@@ -17,10 +17,10 @@ next MANTISSA bits. Empty registers borrow from the next filled one for banding.
    whose ends are in different components. First the shingles of these classes
    are counted: a shingle that only one component holds can be in no further
    link, and a class with too few others is done. The rest meet in pieces of at
-   most about PIECE members, outsiders with all members, so that sketches travel
-   with members and not with pairs; sizes and shingle counts bound a pair's
-   similarity before its estimate is taken. Estimated pairs are confirmed as
-   before, and no bucket's size changes a result.
+   most about PIECE members, outsiders with all members, so that sketches and sets
+   travel with members and not with pairs; sizes and shingle counts bound a
+   pair's similarity before its estimate is taken, and it is confirmed where it
+   is met. No bucket's size changes a result.
 
 A pair at the threshold shares a band with probability above 1 - 1e-6. The work
 of the last step grows with members times outsiders of the same bucket that the
@@ -231,26 +231,39 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Promising pairs of different components, of two pieces of a bucket."""
-    for batch in batches:
-        left, right = [], []
-        for few, many in zip(batch.column(0), batch.column(1), strict=True):
-            few, many = few.values, many.values
-            if not len(few) or not len(many):
-                continue
-            (cls, label, size, shared), (others, labels, sizes, shareds) = ([x.field(k).to_numpy() for k in range(4)] for x in (few, many))
-            own, their = _registers(few.field(4)), _registers(many.field(4))
-            for k in range(len(cls)):
-                # both hold no more of each other than what either shares with other components
-                both = np.minimum(shared[k], shareds)
-                open_ = np.flatnonzero((labels != label[k]) & (100 * both >= THRESHOLD_PERCENT * (size[k] + sizes - both)))
-                if len(open_):
-                    good = open_[_near(*estimate(their[open_], own[k : k + 1]))]
-                    left.append(np.full(len(good), cls[k]))
-                    right.append(others[good])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _across(key: tuple, members: pa.Table) -> pa.Table:
+    """Links between different components of two pieces of a bucket: outsiders, and members of any kind."""
+    members = members.combine_chunks()
+    cls, label, size, shared = (members[c].to_numpy() for c in ("cls", "label", "size", "shared"))
+    few, outside = (members[c].to_numpy(zero_copy_only=False) for c in ("few", "outside"))
+    rows, many = np.flatnonzero(few), np.flatnonzero(~few)
+    out: list[tuple[int, int]] = []
+    if len(rows) and len(many):
+        registers = _registers(members["sketch"])
+        keys = bands(registers)
+        band = int(np.argmax(keys[0].view(np.int64) == key[0].as_py()))
+        flat = members["shingles"].combine_chunks()
+        first, shingles = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
+        for x in rows.tolist():
+            # both hold no more of each other than what either shares with other components
+            both = np.minimum(shared[x], shared[many])
+            y = many[(label[many] != label[x]) & (~outside[many] | (cls[many] > cls[x])) & (100 * both >= THRESHOLD_PERCENT * (size[x] + size[many] - both))]
+            # a pair that shares several bands is met in the first
+            y = y[np.argmax(keys[y] == keys[x], axis=1) == band] if len(y) else y
+            y = y[_near(*estimate(registers[y], registers[x : x + 1]))] if len(y) else y
+            own = shingles[first[x] : first[x + 1]]
+            for k in y.tolist():
+                n = _common(own, shingles[first[k] : first[k + 1]])
+                if 100 * n >= THRESHOLD_PERCENT * (size[x] + size[k] - n):
+                    out.append((int(min(cls[x], cls[k])), int(max(cls[x], cls[k]))))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _shared_counts(classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,23 +278,25 @@ def _shared_counts(classes: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(alone, "cls", "left").select("cls", "label", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def _across_pairs(members: DataFrame, sketch_of: DataFrame) -> DataFrame:
-    """All promising pairs of each bucket whose ends are in different components.
+def _across_links(members: DataFrame, sketch_of: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links of each bucket whose ends are in different components.
 
     members has bucket, cls, label, size and shared. The members outside a
     bucket's main component meet all its members, piece by piece."""
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_ = by_label.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
     pieces = [F.ceil(x / F.lit(PIECE)).cast("int") for x in (F.col("n") - F.col("most"), F.col("n"))]
-    open_ = open_.select("bucket", "main", pieces[0].alias("few"), pieces[1].alias("many"))
-    member = members.join(open_, "bucket").join(sketch_of, "cls").withColumn("member", F.struct("cls", "label", "size", "shared", "sketch"))
-    own = [F.pmod(F.xxhash64("cls"), F.col(x)).cast("int") for x in ("few", "many")]
-    each = [F.explode(F.sequence(F.lit(0), F.col(x) - 1)) for x in ("few", "many")]
-    none = F.lit(None).cast(member.schema["member"].dataType)
-    few = member.where("label <> main").select("bucket", own[0].alias("p"), each[1].alias("q"), F.col("member").alias("few"), none.alias("many"))
-    many = member.select("bucket", each[0].alias("p"), own[1].alias("q"), none.alias("few"), F.col("member").alias("many"))
-    met = few.union(many).groupBy("bucket", "p", "q").agg(F.collect_list("few").alias("few"), F.collect_list("many").alias("many"))
-    return met.select("few", "many").mapInArrow(_across, "a bigint, b bigint").distinct()
+    open_ = open_.select("bucket", "main", pieces[0].alias("fews"), pieces[1].alias("manys"))
+    member = members.join(open_, "bucket").withColumn("outside", F.col("label") != F.col("main"))
+    own = [F.pmod(F.xxhash64("cls"), F.col(x)).cast("int") for x in ("fews", "manys")]
+    each = [F.sequence(F.lit(0), F.col(x) - 1) for x in ("fews", "manys")]
+    pair = lambda p, q, few: F.struct(p.alias("p"), q.alias("q"), F.lit(few).alias("few"))
+    as_few = F.when(F.col("outside"), F.transform(each[1], lambda q: pair(own[0], q, True)))
+    as_many = F.transform(each[0], lambda p: pair(p, own[1], False))
+    met = member.withColumn("at", F.explode(F.concat(F.coalesce(as_few, F.array().cast("array<struct<p:int,q:int,few:boolean>>")), as_many)))
+    met = met.select("bucket", "at.p", "at.q", "at.few", "outside", "cls", "label", "size", "shared")
+    met = met.join(sketch_of.join(sets, "cls"), "cls")
+    return met.groupBy("bucket", "p", "q").applyInArrow(_across, "a bigint, b bigint").distinct()
 
 
 def _both_ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -314,7 +329,7 @@ def _labels(scratch: Scratch, members: DataFrame, sketch_of: DataFrame, sets: Da
     able = _shared_counts(unsettled, sets).where(100 * F.col("shared") >= THRESHOLD_PERCENT * F.col("size"))
     able = scratch.written(able, "able")
     across = labelled.select("bucket", "cls").join(able, "cls")
-    more = _confirm(scratch, _across_pairs(across, sketch_of), sets)
+    more = scratch.written(_across_links(across, sketch_of, sets), "links")
     if more.isEmpty():
         return labels
     # links between components, as links between their labels
