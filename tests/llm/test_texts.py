@@ -341,13 +341,45 @@ def test_language_model_scores(spark):
     assert blank["score"] == pytest.approx(-8 * math.log10(2), rel=1e-3)
 
 
+def test_scores_do_not_depend_on_how_texts_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(context_mixing, "STREAM_CODES", 1500)
+    docs = frame(spark, corpus(15, 60, 60)[0] + _ODD + ["same"] * 5).withColumn("extra", F.lit(1))
+    found = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts, "text")
+        found.append({r["doc_id"]: (r["base_score"], r["score"]) for r in context_mixing.score(dealt, context_mixing.fit(dealt.select("text"))).collect()})
+    assert found[0].keys() == found[1].keys()
+    for k, pair in found[0].items():
+        assert pair == pytest.approx(found[1][k], rel=1e-9), k
+    assert len({found[0][len(found[0]) - 1 - k] for k in range(5)}) == 1
+    assert context_mixing.score(docs.where("false"), context_mixing.fit(docs.select("text"))).count() == 0
+
+
+def test_the_mixer_beats_its_parts_on_held_out_text(spark):
+    texts, rng, vocabulary = corpus(16, 120, 100)
+    docs = frame(spark, texts)
+    model = context_mixing.fit(docs.where("doc_id < 90").select("text"))
+    held = context_mixing.score(docs.where("doc_id >= 90"), model).agg(F.sum("score"), F.sum("base_score")).first()
+    # the base does not code the white space, nor which unknown word stands there
+    assert held[0] > 1.1 * held[1]
+    letters = Counter(c for t in texts[:90] for c in t + "\xff")
+    plain = sum(math.log10(letters[c] / sum(letters.values())) for t in texts[90:] for c in t + "\xff")
+    assert held[0] > 0.7 * plain
+
+
+def test_tables_grow_with_the_codes():
+    sizes = [sum(1 << b for b in context_mixing.table_bits(n)) for n in (0, 1 << 20, 1 << 21, 1 << 40)]
+    assert sizes[0] == sizes[1] < sizes[2] < sizes[3] <= 5 << context_mixing.MOST_BITS
+
+
 def test_what_a_pricer_keeps_changes_no_cost():
     data = pa.array(corpus(6, 5)[0])
     codes = np.concatenate([c for _, _, c in context_mixing.coded(*context_mixing.closed(data))])
-    counts = np.zeros((context_mixing.STARTS[-1], 2), np.int64)
+    counts = np.zeros((sum(1 << b for b in context_mixing.TABLE_BITS), 2), np.int64)
     keys, n = np.unique(codes, return_counts=True)
     context_mixing.table_counts(keys, n, counts)
-    mixer = context_mixing.Mixer(counts)
+    mixer = context_mixing.Mixer(context_mixing.packed(counts))
     mixer.set_map(np.zeros((2, 256 * context_mixing.BINS)))
     pricer = context_mixing.Pricer(mixer.freeze())
     again = [pricer.cost(codes) for _ in range(2)]

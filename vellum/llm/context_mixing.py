@@ -8,13 +8,16 @@ evidence behind the two longest contexts; the result is refined
 by an adaptive map of (byte before, mixed probability) to what really followed.
 The code length in bits gives the text's probability.
 
-Training: each task reduces its texts to distinct (context, byte) codes with
-counts; these fill the tables, which are summed over all tasks in two steps;
-then the weights are learned online over the codes of each task, from the
-tables less the code's own count, while the refining map counts what they lead
-to; weights are averaged by evidence, maps are summed. All training texts are used; the model's size is fixed by
-TABLE_BITS. When scoring, all statistics are frozen and a code that a task has
-met before is looked up.
+Training: all texts are reduced to distinct (context, byte) codes with counts,
+which are dealt to ranges of their hash. They fill the tables; then the weights
+are learned online over streams of codes, in order of their hash, from the tables
+less the code's own count, while the refining map counts what they lead to;
+weights of the streams are averaged by evidence, maps are summed. Ranges, streams
+and table sizes follow the bytes and the distinct codes of the training texts, and
+sums are taken in a fixed order, so that scores do not depend on how the texts are
+dealt to tasks. Tables grow with the distinct codes up to MOST_BITS, which bounds
+what is broadcast; beyond, contexts share entries. When scoring, all statistics
+are frozen and a code that a task has met before is looked up.
 
 Beside it, token_scores gives the unigram base score. Its vocabulary grows with
 the corpus and never meets in one place: words are dealt to ranges of their
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
 from vellum.llm.contexts import sums_by_text, windows
-from vellum.llm.runtime import partitions_of, written
+from vellum.llm.runtime import Scratch, partitions_of, written
 
 #: The predictors: by 1 to ORDER bytes before, and by the word so far. Bits of each one's table index.
 ORDER = 4
@@ -48,8 +51,9 @@ TABLE_BITS = (16, 18, 19, 20, 20)
 PREDICTORS = len(TABLE_BITS)
 #: Bytes of a word that its predictor looks back at most.
 WORD_BYTES = 64
-SIZES = tuple(1 << b for b in TABLE_BITS)
-STARTS = tuple(int(x) for x in np.concatenate(([0], np.cumsum(SIZES))))
+#: Distinct codes from which on tables double with the codes, and the bits at which they stop.
+FIRST_GROWTH = 1 << 20
+MOST_BITS = 21
 END = 0xFF
 #: Entries of the tables that travel in one row.
 BLOCK = 512
@@ -63,8 +67,13 @@ EVIDENCE = (1, 4, 32)
 GATES = 8 * (len(EVIDENCE) + 1) ** 2
 BINS = 33
 RATE = 0.4
-PRIOR = 0.4
+PRIOR = 0.2
 CACHE_BITS = 22
+#: Bytes of training text behind a range of hashes, and the most ranges.
+RANGE_BYTES = 4 << 20
+MOST_RANGES = 4096
+#: Codes that one stream learns from.
+STREAM_CODES = 1 << 17
 HOT_WORDS = 4096
 _END_WORD = np.uint64(0xE4D5F1A2B3C49687)
 #: Stands for a null doc_id while ids travel as bytes.
@@ -98,10 +107,21 @@ def _slots(codes: np.ndarray) -> list[np.ndarray]:
     return [*near, tb.mix((codes >> np.uint64(8 * (ORDER + 1))) + np.uint64(99 << 56))]
 
 
-def _entry(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+def table_bits(codes: int) -> tuple[int, ...]:
+    """Bits of each predictor's table for so many distinct codes."""
+    growth = max(0, (max(codes, 1) - 1).bit_length() - FIRST_GROWTH.bit_length() + 1)
+    return tuple(min(b + growth, max(b, MOST_BITS)) for b in TABLE_BITS)
+
+
+def _starts(bits: tuple[int, ...]) -> list[int]:
+    """First entry of each predictor in the joint tables, and the end."""
+    return [sum(1 << b for b in bits[:k]) for k in range(len(bits) + 1)]
+
+
+def _entry(context: np.ndarray, node: np.ndarray, bits: int, start: int) -> np.ndarray:
     """Place in the joint tables of a context and the bits so far."""
     spread = (context ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return (spread >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64) + STARTS[k]
+    return (spread >> np.uint64(64 - bits)).astype(np.int64) + start
 
 
 def _bits(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -112,26 +132,33 @@ def _bits(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield position, node, (byte >> np.uint64(7 - position)) & np.uint64(1)
 
 
-def table_counts(codes: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+def table_counts(codes: np.ndarray, counts: np.ndarray, out: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> None:
     """Add zeros and ones of every entry to two columns of 64-bit counts."""
     contexts, flat, counts = _slots(codes), out.reshape(-1), counts.astype(np.int64)
+    starts = _starts(bits)
     for _, node, bit in _bits(codes):
         one = bit.astype(np.int64)
         for k, context in enumerate(contexts):
-            np.add.at(flat, 2 * _entry(context, node, k) + one, counts)
+            np.add.at(flat, 2 * _entry(context, node, bits[k], starts[k]) + one, counts)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+def packed(counts: np.ndarray) -> np.ndarray:
+    """Zeros and ones of each entry in one word."""
+    counts = np.minimum(counts, (1 << 32) - 2).astype(np.uint64)
+    return counts[:, 0] | counts[:, 1] << np.uint64(32)
+
+
 class Mixer:
     """Tables of counts, weights by gate, and the refining map."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        counts = np.minimum(counts, (1 << 32) - 2).astype(np.uint64)
+    def __init__(self, packed: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> None:
         #: Zeros in the low 32 bits, ones in the high.
-        self.packed = counts[:, 0] | counts[:, 1] << np.uint64(32)
+        self.packed = packed
+        self.bits, self.starts = bits, _starts(bits)
         self.weights = np.full((GATES, PREDICTORS), 0.3, np.float32)
         self.refined = np.zeros((256, BINS), np.float32)
         self.odds: np.ndarray | None = None
@@ -157,7 +184,7 @@ class Mixer:
 
     def _frozen_inputs(self, contexts: list[np.ndarray], node: np.ndarray, position: int) -> tuple[list[np.ndarray], np.ndarray]:
         """(log odds by predictor, gate)."""
-        at = [_entry(context, node, k) for k, context in enumerate(contexts)]
+        at = [_entry(context, node, self.bits[k], self.starts[k]) for k, context in enumerate(contexts)]
         return [self.odds[x] for x in at], self._gate([self.evidence[x] for x in at[-2:]], position)
 
     def _own_inputs(self, contexts: list[np.ndarray], node: np.ndarray, bit: np.ndarray, position: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -165,7 +192,7 @@ class Mixer:
         out, evidence = [], []
         less = np.where(bit == 1, np.uint64(1 << 32), np.uint64(1))
         for k, context in enumerate(contexts):
-            own = self.packed[_entry(context, node, k)] - less
+            own = self.packed[_entry(context, node, self.bits[k], self.starts[k])] - less
             zeros, ones = (own & np.uint64(0xFFFFFFFF)).astype(np.float32), (own >> np.uint64(32)).astype(np.float32)
             out.append(np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))))
             if k >= PREDICTORS - 2:
@@ -316,19 +343,17 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _statistics(ranges: int):
-    """Kind 0: words of a range with counts. Kind 1: codes with counts."""
+    """Words (kind 0) and codes (kind 1) of each range of their hash, with counts; codes in order of their hash."""
 
-    def words(found) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, found) -> Iterator[pa.RecordBatch]:
         if found:
             key, n = found
-            at = _bounds(key, ranges)
-            yield _rows([(0, r, 0, key[at[r] : at[r + 1]].tobytes(), n[at[r] : at[r + 1]].astype(np.int64).tobytes(), 0) for r in range(ranges) if at[r + 1] > at[r]])
-
-    def contexts(found) -> Iterator[pa.RecordBatch]:
-        if found:
-            key, n = found
-            for at in range(0, len(key), 4 * BATCH_CODES):
-                yield _rows([(1, at // BATCH_CODES, 0, key[at : at + 4 * BATCH_CODES].tobytes(), n[at : at + 4 * BATCH_CODES].astype(np.uint32).tobytes(), 0)])
+            order = None if kind == 0 else tb.mix(key)
+            if order is not None:
+                by = np.argsort(order)
+                key, n, order = key[by], n[by], order[by]
+            at = _bounds(key if order is None else order, ranges)
+            yield _rows([(kind, r, 0, key[at[r] : at[r + 1]].tobytes(), n[at[r] : at[r + 1]].astype(np.int64).tobytes(), 0) for r in range(ranges) if at[r + 1] > at[r]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, codes = _Tally(), _Tally()
@@ -336,31 +361,47 @@ def _statistics(ranges: int):
             column = batch.column(0)
             for lo, hi, data, offsets in tb.text_chunks(column):
                 hashes, _ = _word_hashes(data, offsets)
-                yield from words(vocabulary.add(np.concatenate((hashes, np.full(hi - lo, _END_WORD)))))
+                yield from rows(0, vocabulary.add(np.concatenate((hashes, np.full(hi - lo, _END_WORD)))))
             group: list[np.ndarray] = []
             for _, _, own in coded(*closed(column)):
                 group.append(own)
                 if len(group) * WINDOW >= MOST_CODES:
-                    yield from contexts(codes.add(np.concatenate(group)))
+                    yield from rows(1, codes.add(np.concatenate(group)))
                     group = []
             if group:
-                yield from contexts(codes.add(np.concatenate(group)))
-        yield from words(vocabulary.take())
-        yield from contexts(codes.take())
+                yield from rows(1, codes.add(np.concatenate(group)))
+        yield from rows(0, vocabulary.take())
+        yield from rows(1, codes.take())
 
     return kernel
 
 
-def _table_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((STARTS[-1], 2), np.int64)
-    part = TaskContext.get().partitionId()
-    for batch in batches:
-        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            table_counts(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint32), total)
-    blocks = total.reshape(-1, BLOCK * 2)
-    used = np.flatnonzero(blocks.any(axis=1))
-    for at in range(0, len(used), 256):
-        yield _rows([(2, int(k), part, _narrow(blocks[k]), None, 0) for k in used[at : at + 256]])
+def _merged_codes(table: pa.Table) -> pa.Table:
+    """Distinct codes of a range with their counts, in order of their hash."""
+    key, n = _tallied([np.frombuffer(x.as_buffer(), np.uint64) for x in table["a"]], [np.frombuffer(x.as_buffer(), np.int64) for x in table["b"]])
+    by = np.argsort(tb.mix(key))
+    columns = [pa.array([table["slot"][0].as_py()], pa.int32()), pa.array([key[by].tobytes()], pa.binary()), pa.array([n[by].tobytes()], pa.binary()), pa.array([len(key)])]
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(columns, names=["slot", "a", "b", "n"])])
+
+
+def _table_blocks(bits: tuple[int, ...]):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                total = np.zeros((_starts(bits)[-1], 2), np.int64) if total is None else total
+                codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.int64)
+                for at in range(0, len(codes), BATCH_CODES):
+                    table_counts(codes[at : at + BATCH_CODES], counts[at : at + BATCH_CODES], total, bits)
+        if total is None:
+            return
+        blocks = total.reshape(-1, BLOCK * 2)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for at in range(0, len(used), 256):
+            yield _rows([(2, int(k), part, _narrow(blocks[k]), None, 0) for k in used[at : at + 256]])
+
+    return kernel
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -386,22 +427,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learned(mixer):
-    """Weights and refining counts after one pass over a task's codes, and the evidence behind the weights."""
+    """Weights and refining counts after one pass over a stream's codes, and the evidence behind the weights."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(key: tuple, table: pa.Table) -> pa.Table:
         own: Mixer = mixer.value
-        own.weights = own.weights.copy()
-        own.weights[:] = 0.3
-        curvature, seen, n = np.zeros(own.weights.shape), np.zeros((2, 256 * BINS)), 0
-        for batch in batches:
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint32)
-                # codes come sorted; a fixed stride mixes them
-                for k in range(4):
-                    own.learn(codes[k::4], counts[k::4], curvature, seen)
-                n += 1
-        if n:
-            yield _rows([(3, 0, 0, own.weights.astype(np.float64).tobytes() + seen.tobytes(), curvature.tobytes(), n)])
+        own.weights = np.full((GATES, PREDICTORS), 0.3, np.float32)
+        curvature, seen = np.zeros(own.weights.shape), np.zeros((2, 256 * BINS))
+        table = table.sort_by("slot")
+        for a, b in zip(table["a"], table["b"], strict=True):
+            codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.int64)
+            for at in range(0, len(codes), BATCH_CODES):
+                own.learn(codes[at : at + BATCH_CODES], counts[at : at + BATCH_CODES], curvature, seen)
+        return pa.Table.from_batches([_rows([(3, key[0].as_py(), 0, own.weights.astype(np.float64).tobytes() + seen.tobytes(), curvature.tobytes(), 0)])])
 
     return kernel
 
@@ -413,18 +450,16 @@ def _sum_by_slot(rows: DataFrame, parts: int) -> DataFrame:
     return first.repartition("slot").mapInArrow(_summed, _ROW)
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights averaged by curvature, passed on with its sum; refining counts summed."""
+def _averaged(key: tuple, table: pa.Table) -> pa.Table:
+    """Weights averaged by curvature, passed on with its sum; refining counts summed; in order of the streams."""
     size = GATES * PREDICTORS
-    top = bottom = seen = None
-    for batch in batches:
-        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            w, c = np.frombuffer(a.as_buffer(), np.float64), np.frombuffer(b.as_buffer(), np.float64)
-            w, m = w[:size], w[size:]
-            top, bottom, seen = (w * c, c.copy(), m.copy()) if top is None else (top + w * c, bottom + c, seen + m)
-    if top is not None:
-        weights = np.where(bottom > 0, top / np.maximum(bottom, 1e-9), 0.3)
-        yield _rows([(3, 0, 0, weights.tobytes() + seen.tobytes(), bottom.tobytes(), 0)])
+    top, bottom, seen = np.zeros(size), np.zeros(size), np.zeros(2 * 256 * BINS)
+    table = table.sort_by("slot")
+    for a, b in zip(table["a"], table["b"], strict=True):
+        w, c = np.frombuffer(a.as_buffer(), np.float64), np.frombuffer(b.as_buffer(), np.float64)
+        top, bottom, seen = top + w[:size] * c, bottom + c, seen + w[size:]
+    weights = np.where(bottom > 0, top / np.maximum(bottom, 1e-9), 0.3)
+    return pa.Table.from_batches([_rows([(3, key[0].as_py(), 0, weights.tobytes() + seen.tobytes(), bottom.tobytes(), 0)])])
 
 
 class Model:
@@ -454,25 +489,38 @@ def fit(texts: DataFrame) -> Model:
     """Learn from a column text."""
     spark = texts.sparkSession
     context = spark.sparkContext
-    parts = partitions_of(texts)
-    ranges = max(16, 2 * parts)
-    statistics = written(texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_statistics(ranges), _ROW), "lm-statistics")
-    merged = "slot int, words binary, counts binary, tokens bigint, n_words bigint"
-    vocabulary = written(statistics.where("kind = 0").select("slot", "a", "b").groupBy("slot").applyInArrow(_merged_range, merged), "lm-vocabulary")
-    tokens, words = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    least = max(1, -(-tokens // HOT_WORDS))
-    hot = vocabulary.select("words", "counts").mapInArrow(_hot(least), "word bigint, n bigint").toArrow()
-    hot_words, hot_counts = hot["word"].to_numpy().view(np.uint64), hot["n"].to_numpy()
-    order = np.argsort(hot_words)
-    codes = statistics.where("kind = 1")
-    counts = np.zeros((STARTS[-1] // BLOCK, BLOCK * 2), np.int64)
-    for row in _sum_by_slot(codes.mapInArrow(_table_blocks, _ROW), parts).select("slot", "a").toLocalIterator():
-        counts[row["slot"]] = _widened(row["a"])
-    mixer = Mixer(counts.reshape(-1, 2))
-    read = context.broadcast(mixer)
-    fan = max(1, int(parts**0.5))
-    trained = codes.mapInArrow(_learned(read), _ROW).repartition(fan).mapInArrow(_averaged, _ROW).coalesce(1).mapInArrow(_averaged, _ROW).collect()
-    found = np.frombuffer(trained[0]["a"], np.float64) if trained else np.concatenate((np.full(GATES * PREDICTORS, 0.3), np.zeros(2 * 256 * BINS)))
+    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    ranges = min(MOST_RANGES, max(16, -(-size // RANGE_BYTES)))
+    with Scratch(spark) as scratch:
+        statistics = scratch.written(texts.mapInArrow(_statistics(ranges), _ROW), "lm-statistics")
+        merged = "slot int, words binary, counts binary, tokens bigint, n_words bigint"
+        vocabulary = written(statistics.where("kind = 0").select("slot", "a", "b").groupBy("slot").applyInArrow(_merged_range, merged), "lm-vocabulary")
+        codes = scratch.written(statistics.where("kind = 1").select("slot", "a", "b").groupBy("slot").applyInArrow(_merged_codes, "slot int, a binary, b binary, n bigint"), "lm-codes")
+        scratch.drop(statistics)
+        tokens, words = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+        least = max(1, -(-tokens // HOT_WORDS))
+        hot = vocabulary.select("words", "counts").mapInArrow(_hot(least), "word bigint, n bigint").toArrow()
+        hot_words, hot_counts = hot["word"].to_numpy().view(np.uint64), hot["n"].to_numpy()
+        order = np.argsort(hot_words)
+        distinct = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        bits = table_bits(distinct)
+        table = np.zeros(_starts(bits)[-1], np.uint64)
+        for row in _sum_by_slot(codes.mapInArrow(_table_blocks(bits), _ROW), partitions_of(codes)).select("slot", "a").toLocalIterator():
+            table[row["slot"] * BLOCK : (row["slot"] + 1) * BLOCK] = packed(_widened(row["a"]).reshape(-1, 2))
+        mixer = Mixer(table, bits)
+        read = context.broadcast(mixer)
+        streams = max(1, -(-distinct // STREAM_CODES))
+        # neighbouring ranges make a stream, neighbouring streams a group
+        of_stream = (F.col("slot").cast("long") * streams / F.lit(ranges)).cast("int")
+        learned = codes.select(of_stream.alias("stream"), "slot", "a", "b").groupBy("stream").applyInArrow(_learned(read), _ROW)
+        fan = max(1, int(streams**0.5))
+        groups = learned.select((F.col("slot").cast("long") * fan / F.lit(streams)).cast("int").alias("g"), "slot", "a", "b")
+        trained = groups.groupBy("g").applyInArrow(_averaged, _ROW).select("slot", "a", "b").toArrow()
+        if trained.num_rows:
+            found = np.frombuffer(_averaged((pa.scalar(0),), trained)["a"][0].as_buffer(), np.float64)
+        else:
+            found = np.concatenate((np.full(GATES * PREDICTORS, 0.3), np.zeros(2 * 256 * BINS)))
     mixer.weights = found[: GATES * PREDICTORS].reshape(mixer.weights.shape).astype(np.float32)
     mixer.set_map(found[GATES * PREDICTORS :].reshape(2, -1))
     return Model(mixer.freeze(), vocabulary, ranges, tokens, words, (hot_words[order], hot_counts[order]))
