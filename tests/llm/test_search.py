@@ -29,6 +29,17 @@ def test_top_k_is_exact(spark, shard_rows):
     assert found == {q: expected[q] for q in range(0, 200, 10)}
 
 
+def test_rows_that_repeat_an_id_and_large_components(spark):
+    # a query's own rows, eleven of one vector, leave room for another id with that vector
+    rows = spark.createDataFrame([(0, [1.0])] * 11 + [(1, [1.0]), (2, [0.5]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    good = kd_search.quantised(rows, "vec_id", "embedding")
+    found = [tuple(r) for r in kd_search.top_k(good, good.where("vec_id = 0"), 10).orderBy("rank").collect()]
+    assert found == [(0, 1, 1, 1 << 20), (0, 2, 2, 1 << 19)]
+    large = kd_search.quantised(spark.createDataFrame([(0, [1e16]), (1, [1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        kd_search.top_k(large, large).collect()
+
+
 def test_vectors_that_take_no_part(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [1.0, float("nan")]), (4, [float("inf"), 0.0]), (5, [0.5, 0.5]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
     good = kd_search.quantised(rows, "vec_id", "embedding")
@@ -57,14 +68,19 @@ def test_hosts_paths_and_rules(spark):
 @pytest.mark.parametrize("most", [bloom_cascade.MAX_FILTER_BYTES, 100])
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch, most):
     monkeypatch.setattr(bloom_cascade, "MAX_FILTER_BYTES", most)
+    monkeypatch.setattr(bloom_cascade, "EXPECTED_PASSES", 0.0125 if most > 100 else 0.5)
     rows = spark.range(3000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("host"), F.lit(1).alias("listed"), "id")
-    rows = rows.union(rows.limit(500))
+    rows = rows.union(rows.limit(500)).union(spark.createDataFrame([(None, 1, -1), ("", 1, -2), ("x" * 100_000, 1, -3)], "host string, listed int, id long"))
     listed = F.pmod(F.xxhash64("host"), F.lit(10)) < 3
-    judged = bloom_cascade.mark_listed(rows, listed)
-    assert judged.count() == 3500
-    assert judged.where(listed != F.col("listed")).count() == 0
-    assert bloom_cascade.mark_listed(rows, F.lit(False)).where("listed").count() == 0
-    assert bloom_cascade.mark_listed(rows.where("false"), listed).count() == 0
+    hosts = rows.where(listed & F.col("host").isNotNull() & (F.col("host") != "")).select("host", F.lit(0).alias("listed"))
+    hosts = hosts.union(hosts.limit(9)).union(spark.createDataFrame([("elsewhere", 0), (None, 0)], "host string, listed int"))
+    judged, name = bloom_cascade.mark_listed(rows, hosts)
+    assert name == "_listed" and judged.columns == [*rows.columns, name]
+    assert judged.count() == 3503
+    expected = judged.join(hosts.distinct().withColumnRenamed("listed", "l"), "host", "left").withColumn("expected", F.col("l").isNotNull())
+    assert expected.where(F.col("expected") != F.col(name)).count() == 0 and expected.where(name).count() > 900
+    assert bloom_cascade.mark_listed(rows, hosts.where("false"))[0].where("_listed").count() == 0
+    assert bloom_cascade.mark_listed(rows.where("false"), hosts)[0].count() == 0
 
 
 def test_curve_visits_neighbours():
@@ -78,6 +94,20 @@ def test_curve_visits_neighbours():
         hilbert.curve_table(4, 4)
 
 
+def test_columns_and_repeated_rows_of_sharded_tables(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "PIECE_ROWS", 3)
+    names = ["_total", "_key", "_piece", "_row", "_before", "total", "cell", "piece", "order", "row", "before", "shard", "size"]
+    rows = spark.createDataFrame([(k % 4, None if k % 3 else "", "hot") for k in range(50)], "doc_id long, text string, source string")
+    rows = rows.withColumns({n: F.lit(n) for n in names}).withColumn("lang", F.lit(None).cast("string"))
+    placed = hilbert.hilbert_shards(rows, hilbert.document_axes(F.octet_length("text")), F.struct("doc_id", "text"), 7)
+    assert placed.columns == [*(c for c in rows.columns if c != "shard"), "curve_index", "shard", "slot"]
+    found = placed.toPandas()
+    assert len(found) == 50 and all((found[n] == n).all() for n in names if n != "shard")
+    counts = found.groupby("shard").size()
+    assert len(counts) == 7 and counts.max() - counts.min() <= 1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in found.groupby("shard"))
+
+
 @pytest.mark.parametrize("n", [0, 5, 1000])
 def test_shards_are_even_and_slots_gapless(spark, n):
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 != 0, "hot").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit("kept").alias("slot"))
@@ -123,6 +153,19 @@ def test_prefix_and_epochs(spark):
     assert budget.mix(docs.where("false"), levels, {}, tokens=budget.tokens_of(F.col("text"))).count() == 0
 
 
+def test_ties_and_repeated_rows_of_a_mixture(spark, monkeypatch):
+    monkeypatch.setattr(budget, "PIECE_ROWS", 5)
+    docs = spark.createDataFrame([(k // 4, "a " * (1 + k % 3)) for k in range(80)] + [(None, "x"), (None, None), (7, "w " * 100_000)], "doc_id long, text string")
+    levels = {"lang": F.lit(None).cast("string"), "half": F.pmod("doc_id", F.lit(2))}
+    found = [budget.mix(docs.repartition(p), levels, {}, tokens=budget.tokens_of(F.col("text")), budget_percent=50).toPandas() for p in (1, 5)]
+    key = ["half", "doc_id", "n_tokens", "copies"]
+    assert found[0][key].sort_values(key).values.tolist().__repr__() == found[1][key].sort_values(key).values.tolist().__repr__()
+    own = found[0].assign(t=found[0]["n_tokens"] * found[0]["copies"]).groupby("half").agg(t=("t", "sum"), target=("leaf_target", "first"))
+    assert (own["t"] <= own["target"]).all()
+    with pytest.raises(ValueError, match="n_tokens"):
+        budget.mix(docs, {"n_tokens": F.lit("x")}, {}, tokens=F.lit(1))
+
+
 def test_rows_that_repeat_a_query_leave_room_for_its_neighbours():
     tree = kd_search.KDTree(np.array([1, 1, 1, 2, 3]), np.ones((5, 2), np.int64), 2)
     assert sorted(tree.search(1, np.ones(2, np.int64), 2, None)) == [(2, -3), (2, -2)]

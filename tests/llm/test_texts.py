@@ -195,12 +195,28 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block):
     assert fm_index.contamination(docs, benchmark.where("false")).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [fm_index.MAX_PHRASE_BYTES, 60])
+def test_rows_are_cleaned_by_their_own_text(spark, monkeypatch, block):
+    monkeypatch.setattr(fm_index, "MAX_PHRASE_BYTES", block)
+    item = " ".join(f"w{k}" for k in range(20))
+    benchmark = spark.createDataFrame([("a", item), ("a", item), ("b", "other words of a test"), ("c", None)], "item_id string, text string")
+    rows = [(1, item + " dirty"), (1, "clean"), (None, item), (None, "clean too"), (2, None), (2, ""), (3, item), (3, item), (4, "long " * 50_000 + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "_row": F.lit(2), "spans": F.lit("s")})
+    kept = fm_index.uncontaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect()) == sorted([(1, 5), (0, 9), (2, 0), (2, 0), (4, 250_000 + len(item))])
+    found = fm_index.verdicts(fm_index.contamination(docs, benchmark)).where("doc_id = 3").collect()
+    assert [(r["n_items"], r["items"], r["contaminated"]) for r in found] == [(1, ["a"], True)] * 2
+    assert fm_index.uncontaminated(docs.where("false"), benchmark).count() == 0
+    assert fm_index.uncontaminated(docs, benchmark.where("false")).count() == len(rows)
+
+
 def test_fm_index_finds_all_places():
     rng = np.random.default_rng(4)
     text = rng.integers(0, 5, 3000)
     index = fm_index.FMIndex(text)
     phrases = [text[at : at + n] for at, n in ((3, 4), (100, 7), (2990, 10), (0, 1))] + [np.array([1, 9, 1])]
-    which, where = index.search(phrases)
+    which, where = index.search(fm_index.search_grid(phrases, np.array([len(p) for p in phrases]), 1))
     for k, p in enumerate(phrases):
         expected = [at for at in range(len(text) - len(p) + 1) if (text[at : at + len(p)] == p).all()]
         assert sorted(where[which == k].tolist()) == expected

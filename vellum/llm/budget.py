@@ -8,12 +8,16 @@ goes to the parent's siblings, and so on upwards. A leaf gives whole epochs of
 its documents and then a prefix, in tokens, of one more epoch in that epoch's
 seeded order.
 
-All amounts are integers. Leaves are shared between tasks in pieces by the
-order key, so a leaf with a third of all rows is no single task's work.
+All amounts are integers. Leaves are shared between tasks in pieces of about
+PIECE_ROWS rows by the order key, so a leaf with a third of all rows is no single
+task's work.
 
 Defined results: null levels are the leaf name "(null)"; null or empty texts
 hold no token and are taken whenever their place in the order is reached;
-equal documents rank by doc_id; an empty table gives an empty result.
+rows that repeat a doc_id share one place in the order and rank by their tokens,
+so that the smallest come first; texts are counted whole; an empty table gives an
+empty result; other columns are not read. A level named like a column of the
+result or a working column (RESERVED) is refused with an error.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from vellum.llm.runtime import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 NULL_NAME = "(null)"
+#: Rows of a leaf that one window partition gets, about.
+PIECE_ROWS = 1 << 14
+RESERVED = {"doc_id", "n_tokens", "tokens", "target", "leaf_target", "full_epochs", "in_prefix", "copies", "capacity", "weight", "budget"} | {f"_{x}" for x in ("rows", "order", "owed", "piece", "before", "left", "weights", "full", "rest", "rest_weights", "share", "all", "piece_tokens")}
 #: Leaf tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_LEAVES = 50_000
 
@@ -90,15 +97,20 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, i
     by md5 of "seed:e:doc_id"; a document is in the prefix if the tokens up to
     and with it are within what the leaf still owes after its whole epochs."""
     names = list(levels)
+    if taken := RESERVED & {n.lower() for n in names}:
+        raise ValueError(f"levels may not be named {sorted(taken)}")
     slim = df.select(F.col("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NULL_NAME)).alias(n) for n, c in levels.items()], tokens.alias("n_tokens"))
     slim = written(slim, "mix-documents")
-    leaves = slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
-    targets = written(leaf_targets(leaves, names, weights, budget_percent, epochs), "mix-targets")
+    leaves = written(slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("_rows")), "mix-leaves")
+    targets = leaf_targets(leaves.drop("_rows"), names, weights, budget_percent, epochs)
+    targets = written(targets.join(leaves.drop("tokens"), names), "mix-targets")
     small = targets.count() <= BROADCAST_LEAVES
     planned = slim.join(F.broadcast(targets) if small else targets, names)
     planned = planned.withColumns({"full_epochs": F.expr("coalesce(target div nullif(tokens, 0), 0)"), "_owed": F.expr("coalesce(target % nullif(tokens, 0), 0)")})
     planned = planned.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NULL_NAME)))))
-    planned = planned.withColumn("_piece", F.substring("_order", 1, 3))
+    # pieces follow the order, as equal shares of its first 32 bits
+    pieces = F.ceil(F.col("_rows") / F.lit(PIECE_ROWS)).cast("long")
+    planned = planned.withColumn("_piece", F.shiftright(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * pieces, 32))
     place = [*names, "_piece"]
     pieces = planned.groupBy(*place).agg(F.sum("n_tokens").alias("_piece_tokens"))
     before = Window.partitionBy(*names).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,6 +118,6 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, i
     # dealt by leaf and piece, never by leaf alone
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     planned = planned.repartition(parts, *place).join(pieces.repartition(parts, *place), place)
-    upto = Window.partitionBy(*place).orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*place).orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     planned = planned.withColumn("in_prefix", F.col("_before") + F.sum("n_tokens").over(upto) <= F.col("_owed"))
     return planned.select("doc_id", *names, "n_tokens", F.col("target").alias("leaf_target"), "full_epochs", "in_prefix", (F.col("full_epochs") + F.col("in_prefix").cast("long")).alias("copies"))

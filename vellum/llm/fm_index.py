@@ -13,7 +13,8 @@ MAX_PHRASE_BYTES it is split by item into blocks under that size, each block is
 searched in all shards, and the spans of the blocks are merged.
 
 Defined results: null, empty and wordless texts have no word and no hit; an item
-without words has no phrase; equal phrases of several items count for each item;
+without words has no phrase; equal phrases of several items count for each item,
+items that repeat an id count once;
 rows that repeat are judged one by one; an empty benchmark hits nothing.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
-from vellum.llm.runtime import written
+from vellum.llm.runtime import unused, written
 
 #: Words of a phrase.
 WIDTH = 13
@@ -93,18 +94,13 @@ class FMIndex:
         self.sample_rank = np.concatenate(([0], np.cumsum(self.sampled)))
         self.samples = order[self.sampled]
 
-    def search(self, phrases: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) of each occurrence."""
-        lengths = np.array([len(p) for p in phrases], np.int64)
-        longest = int(lengths.max(initial=0))
-        grid = np.full((len(phrases), longest), -1, np.int64)  # right-aligned
-        for k, p in enumerate(phrases):
-            grid[k, longest - len(p) :] = p + 1
+    def search(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, position) of each occurrence; a phrase is a row of the grid, right-aligned after -1."""
         most = len(self.before) - 2
-        active = np.arange(len(phrases))
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
-        for step in range(longest - 1, -1, -1):
-            symbols = grid[active, step]
+        active = np.arange(len(grid))
+        low, high = np.zeros(len(grid), np.int64), np.full(len(grid), self.size, np.int64)
+        for step in range(grid.shape[1] - 1, -1, -1):
+            symbols = grid[active, step].astype(np.int64)
             going = symbols >= 0
             own, symbols = active[going], symbols[going]
             known = symbols <= most
@@ -135,6 +131,14 @@ class FMIndex:
         return position
 
 
+def search_grid(phrases: list, lengths: np.ndarray, shift: int) -> np.ndarray:
+    """Phrases of numbers as right-aligned rows, each number raised by shift, -1 before them."""
+    grid = np.full((len(phrases), int(lengths.max(initial=0))), -1, np.int32)
+    flat = np.fromiter((x for p in phrases for x in p), np.int32, int(lengths.sum())) + shift
+    grid[np.arange(grid.shape[1])[None, :] >= grid.shape[1] - lengths[:, None]] = flat
+    return grid
+
+
 class Phrases:
     """Windows of the benchmark's items over its own vocabulary."""
 
@@ -151,8 +155,9 @@ class Phrases:
                 if not holders or holders[-1] != row:
                     holders.append(row)
         self.items = items
-        self.windows = [np.array(w, np.int64) for w in windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
+        self.lengths = np.array([len(w) for w in windows], np.int64)
+        #: Windows as the index numbers their words, 2 above the vocabulary's.
+        self.grid = search_grid(list(windows), self.lengths, 2)
         self.holders = np.array([r for rows in windows.values() for r in rows], np.int64)
         self.first_holder = np.concatenate(([0], np.cumsum([len(rows) for rows in windows.values()]))).astype(np.int64)
 
@@ -162,7 +167,7 @@ class Phrases:
         starts, ends, first = tb.words(data, offsets, tb.ALPHANUMERIC)
         hit = np.zeros(len(starts) + 1, np.int64)
         none = np.zeros(0, np.int64)
-        if not len(starts) or not self.windows:
+        if not len(starts) or not len(self.grid):
             return first, hit[:-1] > 0, none, none
         hashes = tb.span_hashes(data, starts, ends)
         number = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -182,7 +187,7 @@ class Phrases:
         inside = np.ones(len(shard), bool)
         inside[at + size] = False
         shard[inside] = number[word[inside]] + 1
-        found, position = FMIndex(shard).search([w + 1 for w in self.windows])
+        found, position = FMIndex(shard).search(self.grid)
         word_at = word[position]
         np.add.at(hit, word_at, 1)
         np.subtract.at(hit, word_at + self.lengths[found], 1)
@@ -250,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         by_row = found.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         merged = F.expr("aggregate(spans, cast(array() as array<struct<start: bigint, end: bigint>>), (acc, s) -> if(size(acc) > 0 and s.start <= acc[size(acc) - 1].end, concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].start as start, greatest(acc[size(acc) - 1].end, s.end) as end))), concat(acc, array(s))))")
         found = texts.drop("text").join(by_row.withColumn("spans", merged), key).drop(key)
-    return found.withColumn("items", F.array_sort("items"))
+    return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -272,13 +277,13 @@ def _clean(phrases, at: int):
     return kernel
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", width: int = WIDTH) -> DataFrame:
-    """The documents, with all their columns, that are not contaminated.
-
-    A benchmark in several blocks is judged by key: rows without one then stay."""
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, item: str = "item_id", width: int = WIDTH) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated; each row is judged by its own text."""
     items, blocks = _blocks(benchmark, item)
     if blocks > 1:
-        found = verdicts(contamination(docs, benchmark, key=key, item=item, width=width))
-        return docs.join(found.where("contaminated").select(key).distinct(), key, "left_anti").select(docs.columns)
+        row = unused(docs, "row")[0]
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+        found = verdicts(contamination(numbered, benchmark, key=row, item=item, width=width))
+        return numbered.join(found.where("contaminated").select(row), row, "left_anti").select(docs.columns)
     read = docs.sparkSession.sparkContext.broadcast(_phrases(items, width))
     return docs.mapInArrow(_clean(read, docs.columns.index("text")), docs.schema)

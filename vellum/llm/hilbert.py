@@ -5,16 +5,16 @@ gets its index on the Hilbert curve; rows sorted by that index are cut into
 runs of equal counts. Neighbours on the curve are neighbours in all dimensions,
 so the minima and maxima of each shard (zone_map) prune on any of them.
 
-No global sort: cells are counted, each cell is split into pieces by a hash of
-the row's key, and a row's rank is the rows in cells and pieces before its own
-plus its row number in its piece. A cell that holds a third of all rows is so
-shared by many tasks. The table of piece offsets has at most 2**MAX_BITS * PIECES
-rows, which bounds what is broadcast.
+No global sort: cells are counted, each cell is split into pieces of about
+PIECE_ROWS rows by a hash of the row's key, and a row's rank is the rows in cells
+and pieces before its own plus its row number in its piece. A cell that holds a
+third of all rows is so shared by many tasks. What is broadcast is the table of
+cells, at most 2**MAX_BITS rows; offsets of pieces are joined where their rows are.
 
 Defined results: a null dimension is quantised to 0; null or empty texts have
 size 8; an empty table gives an empty result; rows that repeat are placed as
-separate rows; columns named shard, slot or curve_index are replaced; other
-columns pass through.
+separate rows, and of rows with equal key, which are of one cell, either may come first; columns
+named shard, slot or curve_index are replaced; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.runtime import unused, written
+
 #: Bits of a cell code over all dimensions.
 MAX_BITS = 12
-#: Parts that a cell is split into by a hash of the key.
-PIECES = 64
+#: Rows of a cell that one window partition gets, about.
+PIECE_ROWS = 1 << 14
 SHARDS = 24
 
 
@@ -96,27 +98,26 @@ def hilbert_shards(df: DataFrame, axes: list[Column], key: Column, shards: int =
 
     key spreads and orders the rows of one cell; rows of equal key may come in either order."""
     bits = MAX_BITS // len(axes)
-    placed = df.withColumns({"curve_index": curve_index(axes, bits), "_piece": F.pmod(F.xxhash64(key), F.lit(PIECES)).cast("int"), "_key": key})
-    pieces = placed.groupBy("curve_index", "_piece").agg(F.count("*").alias("_n"))
-    cells = pieces.groupBy("curve_index").agg(F.sum("_n").alias("_cell_n"))
-    along = Window.orderBy("curve_index").rowsBetween(Window.unboundedPreceding, -1)
+    kept = [c for c in df.columns if c.lower() not in ("curve_index", "shard", "slot")]
+    cell, piece, pieces, order, row, before, total = unused(df, "cell", "piece", "pieces", "order", "row", "before", "total")
+    placed = df.withColumns({cell: curve_index(axes, bits), order: key})
+    cells = placed.groupBy(cell).agg(F.count("*").alias("n"))
+    along = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = cells.select("curve_index", F.coalesce(F.sum("_cell_n").over(along), F.lit(0)).alias("_cells_before"), F.sum("_cell_n").over(everywhere).alias("_total"))
-    within = Window.partitionBy("curve_index").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pieces.select("curve_index", "_piece", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_pieces_before"))
-        .join(F.broadcast(cells), "curve_index")
-        .select("curve_index", "_piece", (F.col("_cells_before") + F.col("_pieces_before")).alias("_before"), "_total")
-    )
-    own = Window.partitionBy("curve_index", "_piece").orderBy("_key")
-    ranked = placed.withColumn("_row", F.row_number().over(own)).join(F.broadcast(offsets), ["curve_index", "_piece"])
-    rank = F.col("_before") + F.col("_row") - 1
+    cells = cells.select(cell, F.ceil(F.col("n") / F.lit(PIECE_ROWS)).cast("int").alias(pieces), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("cells_before"), F.sum("n").over(everywhere).alias(total))
+    cells = F.broadcast(written(cells, "curve-cells"))
+    placed = placed.join(cells.select(cell, pieces), cell).withColumn(piece, F.pmod(F.xxhash64(order), F.col(pieces)).cast("int"))
+    within = Window.partitionBy(cell).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(cell, piece).agg(F.count("*").alias("n")).select(cell, piece, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("pieces_before"))
+    offsets = offsets.join(cells, cell).select(cell, piece, (F.col("cells_before") + F.col("pieces_before")).alias(before), total)
+    own = Window.partitionBy(cell, piece).orderBy(order)
+    # the ranks stand by cell and piece already, so this join moves offsets only
+    ranked = placed.withColumn(row, F.row_number().over(own)).join(offsets, [cell, piece])
+    rank = F.col(before) + F.col(row) - 1
     # shard i holds the ranks from ceil(i * total / shards) on
-    return (
-        ranked.withColumn("shard", F.expr(f"cast((_before + _row - 1) * {shards} div _total as int)"))
-        .withColumn("slot", rank - F.expr(f"(shard * _total + {shards - 1}) div {shards}"))
-        .drop("_piece", "_key", "_row", "_before", "_total")
-    )
+    shard = F.expr(f"cast((`{before}` + `{row}` - 1) * {shards} div `{total}` as int)")
+    first = F.expr(f"(((`{before}` + `{row}` - 1) * {shards} div `{total}`) * `{total}` + {shards - 1}) div {shards}")
+    return ranked.select(*kept, F.col(cell).alias("curve_index"), shard.alias("shard"), (rank - first).alias("slot"))
 
 
 def zone_map(sharded: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,9 +11,11 @@ Equal vectors score alike and rank by id, so of the ids of one vector in a
 shard only the k + 1 smallest can be in a result; the rest is never needed.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-or differ in length from the query, take no part; a query with no other vector has no rows; an
+or differ in length from the query, take no part; components so large that an
+inner product could pass 64 bits (length * most ** 2 >= 2 ** 63) end the search with an error; a query with no other vector has no rows; an
 empty table gives an empty result; rows that repeat an id are separate vectors
-of that id, and none of them is a neighbour of a query with the same id.
+of that id, and none of them is a neighbour of a query with the same id; of
+queries that repeat an id one is asked; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +46,11 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFra
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten()).astype(np.int64).reshape(len(column), -1)
+    out = np.asarray(column.flatten()).astype(np.int64).reshape(len(column), -1)
+    most = max(int(out.max(initial=0)), -int(out.min(initial=0)))
+    if out.shape[1] * most**2 >= 1 << 63:
+        raise ValueError(f"vectors of length {out.shape[1]} with components up to {most} have inner products beyond 64 bits")
+    return out
 
 
 class KDTree:

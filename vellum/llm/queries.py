@@ -61,14 +61,19 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (verdict, host, path): the longest that fits a url decides.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: The block list holds the hosts with one of these words in a label.
+#: What names a host for the block list: one of these words in a label.
 LISTED_WORDS = r"(^|[.-])(spam|casino|adult|porn|phish|malware|pills)([.-]|$)"
 
 
+def block_list(pages: DataFrame) -> DataFrame:
+    """The key table of the url filter, a row for each listed host."""
+    return pages.where(F.col("host").rlike(LISTED_WORDS)).select("host").distinct()
+
+
 def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     pages = _table(spark, sf_dir, "pages", "page_id", "url").select("page_id", bloom_cascade.host_of(url).alias("host"), bloom_cascade.path_of(url).alias("path"))
-    judged = bloom_cascade.mark_listed(pages, F.col("host").rlike(LISTED_WORDS))
+    judged, _ = bloom_cascade.mark_listed(pages, block_list(pages))
     rule, verdict = bloom_cascade.rule_of(F.col("host"), F.col("path"), URL_RULES)
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "listed")
@@ -135,7 +140,7 @@ t3 AS (SELECT *, CASE WHEN sat THEN capacity ELSE weight * (budget - sum(CASE WH
 planned AS (SELECT d.*, target, coalesce(target // nullif(tokens, 0), 0) AS full_epochs, coalesce(target % nullif(tokens, 0), 0) AS owed
             FROM d JOIN t3 USING (domain, lang, source)),
 ordered AS (SELECT *, md5('7:' || full_epochs::varchar || ':' || coalesce(doc_id::varchar, '(null)')) AS ord FROM planned),
-taken AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING) <= owed AS in_prefix FROM ordered)
+taken AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY ord, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= owed AS in_prefix FROM ordered)
 SELECT doc_id, domain, lang, source, n_tokens, target::bigint AS leaf_target, full_epochs::bigint AS full_epochs, in_prefix,
        (full_epochs + in_prefix::int)::bigint AS copies
 FROM taken
