@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs has the
 columns of documents, and so has every result but the last, which adds the
-shard. Stages keep all columns of what they keep, whatever their names.
+shard. Stages keep all columns of what they keep, whatever their names; the last
+replaces columns named shard, slot or curve_index.
 
 1. quality_classifier: attention-based multiple-instance learning on
    labels.quality; documents that score below the threshold go.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import attention_mil, budget, fm_index, hilbert, hyperminhash
-from vellum.llm.runtime import written
+from vellum.llm.runtime import Scratch, unused, written
 
 #: Relative weights of the mixture; a value that is not named weighs 1.
 MIX_WEIGHTS: dict[str, dict[str, int]] = {"domain": {}, "lang": {"en": 4, "fr": 1, "de": 1, "es": 1}, "source": {}}
@@ -55,8 +56,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    sharded = hilbert.hilbert_shards(docs.drop("size"), hilbert.document_axes(size), F.struct("doc_id"))
-    return sharded.withColumn("size", size)
+    sharded = hilbert.hilbert_shards(docs, hilbert.document_axes(size), F.struct("doc_id", F.xxhash64("text")))
+    return sharded.withColumn(unused(docs, "size")[0], size)
 
 
 STAGES = [
@@ -67,15 +68,17 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: SQL does not express the first stages; tests hold the whole against brute force.
+#: SQL does not express the first stages; tests hold each stage against brute force over its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again; the input of the last stage stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k + 1}")
+            docs = scratch.written(docs, f"stage-{k + 1}")
+            scratch.drop(before)
     return docs
