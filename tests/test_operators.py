@@ -2,6 +2,8 @@
 
 from pyspark.sql import Row
 
+from pyspark.sql import functions as F
+
 from vellum.operators import audit, diff, footnotes, ingest, merge, pages, render, seam, split, verify
 from vellum.profile import CJK_PROFILE
 
@@ -97,18 +99,32 @@ def test_headings(spark):
     assert [x[1] for x in listed(render.heading_levels(b), "index", "level")] == [2] * 5
 
 
-def folded(*texts):
-    return seam.fold(list(texts))[0]
-
-
-def test_seams():
-    assert folded("甲未完", "<!--p.2-->", "续。") == ["甲未完<!--p.2-->续。"]
-    assert folded("甲未完", "<!--p.2-->", "![](x)", "*图*", "续。") == ["甲未完<!--p.2-->续。", "![](x)", "*图*"]
-    for same in (["近代化。[^11]", "<!--p.2-->", "续"], ["甲", "<!--p.2-->", "第二章 x"], ["甲", "<!--p.0-->", "乙"], ["<!--p.2-->", "乙"]):
-        assert folded(*same) == same
-    assert folded("a", "<!--p.2-->", "b", "<!--p.3-->", "c") == ["a<!--p.2-->b<!--p.3-->c"]
-    assert folded("a", "<!--p.2-->", "b", "<!--p.3-->", "![](x)", "c")[0] == "a<!--p.2-->b<!--p.3-->c"
-    assert folded("a", "<!--p.2-->", "![](x)", "b", "<!--p.3-->", "c") == ["a<!--p.2-->b", "![](x)", "<!--p.3-->", "c"]
+def seams(spark, cases):
+    lines = spark.createDataFrame([(str(d), p, t) for d, texts in enumerate(cases) for p, t in enumerate(texts)], "doc_id string, pos long, md string")
+    found = {str(d): [] for d in range(len(cases))}
+    for r in seam.join_page_breaks(lines).orderBy("doc_id", "pos").collect():
+        found[r["doc_id"]].append(r["md"])
+    return [found[str(d)] for d in range(len(cases))], seam.page_joins(lines)
+
+
+def test_seams(spark):
+    same = [["近代化。[^11]", "<!--p.2-->", "续"], ["甲", "<!--p.2-->", "第二章 x"], ["甲", "<!--p.0-->", "乙"], ["<!--p.2-->", "乙"], ["甲", "<!--p.2-->", "<!--p.3-->", "乙"], ["甲", "<!--p.2-->"], [" 甲 ", "# 乙"]]
+    joined = [
+        (["甲未完", "<!--p.2-->", "续。"], ["甲未完<!--p.2-->续。"]),
+        (["甲未完", "<!--p.2-->", "![](x)", "*图*", "续。"], ["甲未完<!--p.2-->续。", "![](x)", "*图*"]),
+        (["a", "<!--p.2-->", "b", "<!--p.3-->", "c"], ["a<!--p.2-->b<!--p.3-->c"]),
+        (["a", "<!--p.2-->", "b", "<!--p.3-->", "![](x)", "c", "d"], ["a<!--p.2-->b<!--p.3-->c", "![](x)", "d"]),
+        (["a", "<!--p.2-->", "![](x)", "b", "<!--p.3-->", "c"], ["a<!--p.2-->b", "![](x)", "<!--p.3-->", "c"]),
+        (["a", "<!--p.2-->", "![](x)", "b", "<!--p.3-->", "c", "<!--p.4-->", "d"], ["a<!--p.2-->b", "![](x)", "<!--p.3-->", "c<!--p.4-->d"]),
+        (["a", "<!--p.2-->", "[^3]", "<!--p.3-->", "c"], ["a<!--p.2-->[^3]<!--p.3-->c"]),
+        (["x。", "<!--p.2-->", "[^3]", "<!--p.3-->", "c"], ["x。", "<!--p.2-->", "[^3]", "<!--p.3-->", "c"]),
+        (["a", " <!--p.2--> ", " b [^1] "], ["a<!--p.2-->b [^1]"]),
+    ]
+    found, joins = seams(spark, same + [a for a, _ in joined])
+    assert found == same + [b for _, b in joined]
+    rows = sorted((int(r["doc_id"]) - len(same), r["pnum"], r["before"], r["after"], r["floats"]) for r in joins.collect())
+    assert rows[:4] == [(0, 2, "甲未完", "续。", 0), (1, 2, "甲未完", "续。", 2), (2, 2, "a", "b", 0), (2, 3, "a<!--p.2-->b", "c", 0)]
+    assert seam.join_page_breaks(joins.select("doc_id", F.lit(1).alias("pos"), F.col("before").alias("md")).where("false")).count() == 0
 
 
 def test_chain_puts_the_anchor_at_the_seam(spark):
@@ -247,3 +263,23 @@ def test_submission_tables(spark):
     assert ingest.assign_urls(parts, urls).first()["url"] == "u"
     jobs = spark.createDataFrame([("b", "x", True), ("b", "y", None), ("c", "z", None)], "batch_id string, file string, downloaded boolean")
     assert listed(ingest.resumable(jobs, "b"), "file") == [("y",)]
+
+
+def test_names_never_clash(spark):
+    names = ["a.pdf", "A.pdf", "a.x.2.pdf", "a.pdf", "b", "B", "A.X.5.pdf"]
+    files = spark.createDataFrame([(k, n, k, "x") for k, n in enumerate(names)], "file_id long, name string, pos long, data_id string")
+    found = {r["file_id"]: r["name"] for r in ingest.unique_names(files).collect()}
+    assert len({n.lower() for n in found.values()}) == len(names)
+    assert [found[k] for k in range(7)] == ["a.pdf", "A.x.6.pdf", "a.x.2.pdf", "a.x.7.pdf", "b", "B.x.2.pdf", "A.X.5.pdf"]
+
+
+def test_poll_outcomes(spark):
+    events = [(1, 0, 1, "running", 0), (1, 0, 2, "done", 9), (2, 0, 1, "running", 0), (2, 0, 2, "running", 10), (3, 0, 1, "running", 5)]
+    rows = spark.createDataFrame(events, "batch long, file long, seq long, state string, at long")
+    found = {r["batch"]: (r["n_polls"], r["outcome"]) for r in ingest.poll_outcomes(rows, 10).collect()}
+    assert found == {1: (2, "done"), 2: (2, "timeout"), 3: (1, "open")}
+
+
+def test_batches_follow_the_order(spark):
+    parts = spark.range(230).select((F.lit(229) - F.col("id")).alias("k")).repartition(3)
+    assert sorted((r["k"], r["batch"]) for r in ingest.batches(parts, ["k"], 50).collect()) == [(k, k // 50) for k in range(230)]

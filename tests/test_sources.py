@@ -91,3 +91,19 @@ def test_layout_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("blocks_in").where("type = 'page_footnote'").count() == 1
+
+
+def test_comma_lists_and_globs_keep_their_order(spark, tmp_path):
+    for name in ("b2", "b1", "a"):
+        (tmp_path / f"{name}.md").write_text(f"# {name}\n")
+    found = layout.read_parts(spark, f"{tmp_path}/b*.md, {tmp_path}/a.md").orderBy("part").collect()
+    assert [(r["part"], r["text"]) for r in found] == [(0, "# b1\n"), (1, "# b2\n"), (2, "# a\n")]
+
+
+def test_broken_json_is_reported(spark, tmp_path):
+    for doc, text in (("good", '{"pdf_info": []}'), ("bad", '{"pdf_info": [')):
+        (tmp_path / doc).mkdir()
+        (tmp_path / doc / "layout.json").write_text(text)
+    found = layout.artifacts(layout.list_files(spark, str(tmp_path)))
+    assert {r["doc_id"]: r["pdf_info"] for r in layout.read_json_documents(spark, found, "layout", layout.LAYOUT).collect()} == {"good": [], "bad": None}
+    assert [r["doc_id"] for r in layout.broken_documents(spark, found, "layout", layout.LAYOUT).collect()] == ["bad"]

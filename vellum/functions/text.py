@@ -106,11 +106,29 @@ def ends_open(x: Column, profile: Profile) -> Column:
     return (x != "") & ~F.right(x, F.lit(1)).isin(*profile.terminals)
 
 
+_NO_PARAGRAPH = r"^(#|<!--|!\[|\*|<small>)"
+_REFERENCES = r"(?U)(\[\^\d+\]\s*)+$"
+
+
+def stays_open(block: Column, profile: Profile) -> Column:
+    """Whether a rendered block is a paragraph that does not end."""
+    tail = strip_right(F.regexp_replace(block, _REFERENCES, ""))
+    return (block != "") & ~block.rlike(_NO_PARAGRAPH) & ends_open(tail, profile)
+
+
+def is_continued(block: Column, profile: Profile) -> Column:
+    """Whether a rendered block can be the rest of a paragraph."""
+    return (block != "") & ~block.rlike(_NO_PARAGRAPH) & ~block.rlike(profile.opener)
+
+
+def is_only_references(block: Column) -> Column:
+    """Whether nothing but note references stands in a block."""
+    return (block != "") & (F.regexp_replace(block, _REFERENCES, "") == "")
+
+
 def is_break(before: Column, after: Column, profile: Profile) -> Column:
     """Whether a page boundary between two rendered blocks cuts a paragraph."""
-    special = r"^(#|<!--|!\[|\*|<small>)"
-    tail = strip_right(F.regexp_replace(before, r"(?U)(\[\^\d+\]\s*)+$", ""))
-    return (before != "") & (after != "") & ~before.rlike(special) & ~after.rlike(special) & ends_open(tail, profile) & ~after.rlike(profile.opener)
+    return stays_open(before, profile) & is_continued(after, profile)
 
 
 def context(x: Column, at: Column, before: int = 18, after: int = 14) -> Column:

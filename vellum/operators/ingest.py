@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import fingerprint
+from vellum.staging import staged
 
 # Limits of a submission.
 PAGES_PER_PART = 200
@@ -14,6 +15,7 @@ FILES_PER_BATCH = 50
 FILES_PER_DAY = 5000
 PAGES_PER_DAY = 1000
 OCR_BELOW = 120
+POLL_SECONDS = 21600
 FINAL_STATES = ("done", "failed")
 
 
@@ -50,18 +52,35 @@ def uncached(parts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def unique_names(files: DataFrame) -> DataFrame:
-    """file_id, name: names that repeat, whatever their case, get -2, -3 and so on in order of pos."""
-    order = Window.partitionBy(F.lower("name")).orderBy("pos")
-    again = F.row_number().over(order)
-    dotted = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1)
-    suffix = F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    return files.select("file_id", F.when(again == 1, F.col("name")).otherwise(F.concat(dotted, F.lit("-"), again.cast("string"), suffix)).alias("name"))
+    """file_id, name: of names that are equal but for case the first in order of pos stays.
+
+    The others become stem.data_id.n.pdf; n counts from 2 within a stem and
+    data_id, and goes on after the numbers that given names of that shape have,
+    so no two names are equal but for case (files: file_id, name, pos, data_id)."""
+    stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    again = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("pos", "file_id"))
+    named = files.select("file_id", "name", "pos", F.concat(stem, F.lit("."), F.col("data_id")).alias("base"), again.alias("again"))
+    shape = r"(?is)^(.+)\.([0-9]{1,9})\.pdf$"
+    given = files.select(F.lower(F.regexp_extract("name", shape, 1)).alias("key"), F.regexp_extract("name", shape, 2).try_cast("long").alias("n")).where("n is not null").groupBy("key").agg(F.max("n").alias("most"))
+    rest = named.where("again > 1").withColumn("key", F.lower("base")).join(given, "key", "left")
+    number = F.greatest(F.coalesce("most", F.lit(1)), F.lit(1)) + F.row_number().over(Window.partitionBy("key").orderBy("pos", "file_id"))
+    return named.where("again = 1").select("file_id", "name").unionByName(rest.select("file_id", F.concat("base", F.lit("."), number.cast("string"), F.lit(".pdf")).alias("name")))
 
 
 def batches(parts: DataFrame, order: list[str], per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Parts with their batch, from 0, in order. One sequence over a submission, which its quota bounds."""
-    place = F.row_number().over(Window.orderBy(*order))
-    return parts.withColumn("batch", ((place - 1) / per_batch).cast("long"))
+    """Parts with their batch, from 0, in order.
+
+    Ranks are made of two steps, so that no task has all parts: rows are dealt to
+    ranges of the order, and a range starts after the rows of those before it."""
+    # written, so that both readers see the same ranges
+    ranged = staged(parts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range: as many as shuffle partitions
+    starts = F.broadcast(sizes.select("_range", before.alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = ranged.withColumn("_place", place).join(starts, "_range")
+    return ranked.withColumn("batch", ((F.col("_before") + F.col("_place") - 1) / per_batch).cast("long")).drop("_range", "_place", "_before")
 
 
 def needs_ocr(pages: DataFrame, below: int = OCR_BELOW) -> DataFrame:
@@ -97,6 +116,16 @@ def batch_states(events: DataFrame) -> DataFrame:
     return last.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "done").alias("n_done"), F.count_if(F.col("state") == "failed").alias("n_failed"), final.alias("complete"))
 
 
+def poll_outcomes(events: DataFrame, timeout: int = POLL_SECONDS) -> DataFrame:
+    """batch, n_polls and outcome of poll events (batch, file, seq, state, at in seconds).
+
+    done when the last state of every file is final, timeout when the last poll
+    is so many seconds after the first or more and it is not, else open."""
+    by_file = events.groupBy("batch", "file").agg(F.max_by("state", "seq").alias("state"), F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    sums = by_file.groupBy("batch").agg(F.sum("n").alias("n_polls"), F.bool_and(F.col("state").isin(*FINAL_STATES)).alias("final"), (F.max("last") - F.min("first")).alias("took"))
+    return sums.select("batch", "n_polls", F.when(F.col("final"), "done").when(F.col("took") >= timeout, "timeout").otherwise("open").alias("outcome"))
+
+
 def state_changes(events: DataFrame) -> DataFrame:
     """Events at which a file's state differs from the one before."""
     order = Window.partitionBy("batch", "file").orderBy("seq")

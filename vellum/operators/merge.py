@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +32,21 @@ def chains(edges: DataFrame) -> DataFrame:
     name = lambda page, index: F.concat_ws(":", F.col(page).cast("string"), F.col(index).cast("string"))
     heads = edges.join(targets, ["doc_id", "src_page", "src_index"], "left_anti")
     spark = edges.sparkSession
-    view = f"edges_{abs(hash(id(edges)))}"
+    view = f"edges_{uuid.uuid4().hex}"
     edges.withColumns({"_src": name("src_page", "src_index"), "_dst": name("dst_page", "dst_index")}).createOrReplaceTempView(view)
     heads.withColumns({"_src": name("src_page", "src_index"), "_dst": name("dst_page", "dst_index")}).createOrReplaceTempView(f"{view}_heads")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(doc_id, head_page, head_index, page_idx, index, depth, seen) MAX RECURSION LEVEL 1000 AS (
+    walked = spark.sql(f"""
+        WITH RECURSIVE walk(doc_id, head_page, head_index, page_idx, index, depth, seen) MAX RECURSION LEVEL 1000000 AS (
           SELECT doc_id, src_page, src_index, dst_page, dst_index, CAST(1 AS BIGINT), concat('|', _src, '|', _dst, '|') FROM {view}_heads
           UNION ALL
           SELECT w.doc_id, w.head_page, w.head_index, e.dst_page, e.dst_index, w.depth + 1, concat(w.seen, e._dst, '|')
           FROM walk w JOIN {view} e ON e.doc_id = w.doc_id AND e.src_page = w.page_idx AND e.src_index = w.index
           WHERE instr(w.seen, concat('|', e._dst, '|')) = 0)
         SELECT doc_id, head_page, head_index, page_idx, index, depth FROM walk""")
+    # the query is resolved; its views are not needed again
+    for name in (view, f"{view}_heads"):
+        spark.catalog.dropTempView(name)
+    return walked
 
 
 def cycles(edges: DataFrame, walked: DataFrame) -> DataFrame:

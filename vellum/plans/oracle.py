@@ -78,6 +78,54 @@ cb AS MATERIALIZED (SELECT *, sum(starts_with(md, '# ')::bigint) OVER w AS chapt
   coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '1') AS page_before
   FROM (SELECT *, nullif(regexp_extract_all(md, '<!--p\.(-?\d+)-->', 1)[-1], '') AS own FROM blk) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
 
+_RENDER = r""", walk AS (SELECT doc_id, src_page AS head_page, src_index AS head_index, dst_page AS page_idx, dst_index AS index, 1::bigint AS depth FROM edge e
+             WHERE NOT EXISTS (SELECT 1 FROM edge t WHERE t.doc_id = e.doc_id AND t.dst_page = e.src_page AND t.dst_index = e.src_index)
+             UNION ALL SELECT w.doc_id, head_page, head_index, e.dst_page, e.dst_index, depth + 1 FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.src_page = w.page_idx AND e.src_index = w.index),
+           o AS (SELECT doc_id, page_idx AS head_page, index AS head_index, page_idx, index, 0 AS depth FROM body b WHERE NOT EXISTS (SELECT 1 FROM edge t WHERE t.doc_id = b.doc_id AND t.dst_page = b.page_idx AND t.dst_index = b.index)
+             UNION ALL SELECT doc_id, head_page, head_index, page_idx, index, depth FROM walk),
+           c AS (SELECT o.*, unnest(range(1, length(text) + 1)) AS k, unnest(string_split(text, '')) AS ch FROM o JOIN body USING (doc_id, page_idx, index)),
+           u AS (SELECT *, regexp_matches(ch, '^[①-⑳]$') AS m, sum(regexp_matches(ch, '^[①-⑳]$')::bigint) OVER (PARTITION BY doc_id ORDER BY head_page, head_index, depth, k) AS nth FROM c),
+           x AS (SELECT doc_id, head_page, head_index, page_idx, index, depth, string_agg(CASE WHEN m THEN '[^' || nth || ']' ELSE ch END, '' ORDER BY k) AS text FROM u GROUP BY ALL),
+           t AS (SELECT * FROM (SELECT *, bool_or(n_lines >= 2) OVER (PARTITION BY doc_id, page_idx) AS several FROM body WHERE type = 'text') WHERE (n_lines >= 2) = several),
+           a AS (SELECT doc_id, page_idx, x0 AS l, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY count(*) DESC, x0) AS r FROM t GROUP BY doc_id, page_idx, x0),
+           b AS (SELECT doc_id, page_idx, x1 AS r1, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY count(*) DESC, x1 DESC) AS r FROM t GROUP BY doc_id, page_idx, x1),
+           h AS (SELECT doc_id, page_idx, index, level, CASE WHEN regexp_matches(text, '^第一章') THEN 1 WHEN regexp_matches(text, '^一、') THEN 3 WHEN regexp_matches(text, '^1[.]') THEN 5 END AS shape FROM body WHERE type = 'title'),
+           f AS (SELECT doc_id FROM h GROUP BY doc_id HAVING count(DISTINCT level) = 1 AND count(*) > 5),
+           s AS (SELECT doc_id, shape, row_number() OVER (PARTITION BY doc_id ORDER BY shape) AS rank FROM (SELECT DISTINCT doc_id, shape FROM h WHERE shape IS NOT NULL)),
+           lev AS (SELECT h.doc_id, page_idx, index, CASE WHEN f.doc_id IS NOT NULL AND rank IS NOT NULL THEN least(rank + 1, 6) ELSE level END AS lv FROM h LEFT JOIN f ON f.doc_id = h.doc_id LEFT JOIN s ON s.doc_id = h.doc_id AND s.shape = h.shape),
+           y AS (SELECT x.*, CASE WHEN depth > 0 THEN '<!--p.' || pnum || '-->' ELSE '' END || CASE WHEN type = 'title' THEN repeat('#', lv::int) || ' ' || trim(x.text)
+                   WHEN n_lines >= 2 AND x0 - l > 10 THEN '<!--?' || CASE WHEN abs(x0 - l - (r1 - x1)) < 12 AND n_lines <= 2 THEN 'center' ELSE 'quote' END || '--> ' || x.text ELSE x.text END AS md
+                 FROM x JOIN body USING (doc_id, page_idx, index) LEFT JOIN pnum USING (doc_id, page_idx) LEFT JOIN lev USING (doc_id, page_idx, index)
+                 LEFT JOIN (SELECT * FROM a WHERE r = 1) a USING (doc_id, page_idx) LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (doc_id, page_idx)),
+rendered AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY head_page, head_index) AS pos, head_page, head_index, md, pages
+  FROM (SELECT doc_id, head_page, head_index, trim(string_agg(md, '' ORDER BY depth)) AS md, list(DISTINCT page_idx) FILTER (depth > 0 AND md <> '') AS pages FROM y GROUP BY doc_id, head_page, head_index) WHERE md <> '')"""
+
+_SEAMS = r""",
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) - 1 AS k, md, trim(md, chr(32) || chr(9) || chr(10) || chr(13)) AS bare FROM (
+  SELECT f.doc_id, first_pos AS pos, 0 AS sub, '<!--p.' || pnum || '-->' AS md
+  FROM (SELECT doc_id, head_page, min(pos) AS first_pos FROM rendered GROUP BY doc_id, head_page) f
+  LEFT JOIN (SELECT doc_id, head_page, min(pos) AS seam_pos FROM (SELECT doc_id, pos, unnest(pages) AS head_page FROM rendered) GROUP BY doc_id, head_page) s ON s.doc_id = f.doc_id AND s.head_page = f.head_page
+  JOIN pnum ON pnum.doc_id = f.doc_id AND pnum.page_idx = f.head_page
+  WHERE f.head_page > 0 AND (seam_pos IS NULL OR seam_pos > first_pos)
+  UNION ALL SELECT doc_id, pos, 1, md FROM rendered)),
+solid AS (SELECT *, CASE WHEN NOT regexp_matches(md, '^\s*(!\[|\*|<small>)') THEN k END AS sk, lag(bare) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM lines),
+near AS (SELECT *, first_value(sk IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
+  try_cast(regexp_extract(bare, '^<!--p\.(-?\d+)-->$', 1) AS bigint) AS page FROM solid),
+anch AS MATERIALIZED (SELECT n.doc_id, n.k, n.after, n.after - n.k - 1 AS floats, row_number() OVER (PARTITION BY n.doc_id ORDER BY n.k) AS a,
+  n.before <> '' AND NOT regexp_matches(n.before, '^(#|<!--|!\[|\*|<small>)') AND rtrim(regexp_replace(n.before, '(\[\^\d+\]\s*)+$', '')) <> ''
+  AND right(rtrim(regexp_replace(n.before, '(\[\^\d+\]\s*)+$', '')), 1) NOT IN ('.', '!', '?', '…', ':', ';') AS open, n.before <> '' AND regexp_replace(n.before, '(\[\^\d+\]\s*)+$', '') = '' AS noted
+  FROM near n JOIN lines x ON x.doc_id = n.doc_id AND x.k = n.after
+  WHERE n.page > 0 AND n.k > 0 AND x.bare <> '' AND NOT regexp_matches(x.bare, '^(#|<!--|!\[|\*|<small>)') AND NOT regexp_matches(x.bare, '^\s*(第[一二三四五六七八九十百]+[章节編编篇]|[一二三四五六七八九十]+[、．.]|[（(]\s*\d+\s*[)）]|\d+\s*[.．、]|附录|绪论|结语|参考|思考题|本章|学术)')),
+fold AS (SELECT doc_id, 0::bigint AS a, 0::bigint AS k, -1::bigint AS after, 0::bigint AS floats, false AS joined FROM anch WHERE a = 1
+  UNION ALL SELECT doc_id, a, CASE WHEN j THEN k ELSE was_k END, CASE WHEN j THEN after ELSE was_after END, CASE WHEN j THEN floats ELSE was_floats END, j FROM (
+    SELECT n.doc_id, n.a, n.k, n.after, n.floats, f.k AS was_k, f.after AS was_after, f.floats AS was_floats,
+           CASE WHEN f.after = n.k - 1 THEN f.floats = 0 AND (n.open OR n.noted) ELSE n.open END AS j
+    FROM fold f JOIN anch n ON n.doc_id = f.doc_id AND n.a = f.a + 1)),
+role AS (SELECT doc_id, k, true AS anchor FROM fold WHERE joined UNION ALL SELECT doc_id, after, false FROM fold WHERE joined),
+stand AS (SELECT l.*, anchor, last_value(CASE WHEN anchor IS NULL THEN l.k END IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.k ROWS UNBOUNDED PRECEDING) AS stand FROM lines l LEFT JOIN role r ON r.doc_id = l.doc_id AND r.k = l.k),
+headed AS (SELECT *, CASE WHEN anchor IS NULL THEN k WHEN anchor THEN stand ELSE last_value(CASE WHEN anchor THEN stand END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) END AS head FROM stand),
+joined AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY head) AS pos, md FROM (SELECT doc_id, head, CASE WHEN count(*) > 1 THEN string_agg(bare, '' ORDER BY k) ELSE min(md) END AS md FROM headed GROUP BY doc_id, head))"""
+
 _FILES = r""",
 files AS (SELECT doc_id AS file_id, source || '.pdf' AS name, n_chars % 701 + 1 AS pages, n_chars * 300000 AS bytes FROM documents)"""
 
@@ -102,9 +150,9 @@ _SQL: dict[str, tuple[str, str]] = {
     "orphan_preview": (
         _N + _P,
         """SELECT doc_id, page_idx, ord, pnum, text FROM (SELECT doc_id, page_idx, ord, pnum, left(text, 60) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, ord) AS k
-           FROM fnote LEFT JOIN pnum USING (doc_id, page_idx) WHERE text <> '' AND NOT regexp_matches(text, '^[①-⑳]') AND text NOT LIKE '收稿日期%') WHERE k <= 3""",
+           FROM fnote LEFT JOIN pnum USING (doc_id, page_idx) WHERE text <> '' AND NOT regexp_matches(text, '^[①-⑳]') AND text NOT LIKE '收稿日期%') WHERE k <= 12""",
     ),
-    "alignment_rows": (_B + _N + _P + _ALIGN, "SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM aligned) WHERE n <= 4 OR marks <> numbered"),
+    "alignment_rows": (_B + _N + _P + _ALIGN, "SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM aligned) WHERE n <= 24 OR marks <> numbered"),
     "upload_batches": (_FILES, "SELECT file_id, (row_number() OVER (ORDER BY file_id) - 1) // 50 AS batch FROM files"),
     "needs_ocr": (
         "",
@@ -230,29 +278,8 @@ _SQL: dict[str, tuple[str, str]] = {
            SELECT doc_id, page_idx, index, CASE WHEN abs(x0 - l - (r1 - x1)) < 12 AND n_lines <= 2 THEN 'center' ELSE 'quote' END AS kind, round_even(x0 - l, 0)::bigint AS left_indent, round_even(r1 - x1, 0)::bigint AS right_indent
            FROM body JOIN a USING (doc_id, page_idx) JOIN b USING (doc_id, page_idx) WHERE a.r = 1 AND b.r = 1 AND n_lines >= 2 AND type = 'text' AND x0 - l > 10""",
     ),
-    "rendered_blocks": (
-        _B + _P + _E,
-        """, walk AS (SELECT doc_id, src_page AS head_page, src_index AS head_index, dst_page AS page_idx, dst_index AS index, 1::bigint AS depth FROM edge e
-             WHERE NOT EXISTS (SELECT 1 FROM edge t WHERE t.doc_id = e.doc_id AND t.dst_page = e.src_page AND t.dst_index = e.src_index)
-             UNION ALL SELECT w.doc_id, head_page, head_index, e.dst_page, e.dst_index, depth + 1 FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.src_page = w.page_idx AND e.src_index = w.index),
-           o AS (SELECT doc_id, page_idx AS head_page, index AS head_index, page_idx, index, 0 AS depth FROM body b WHERE NOT EXISTS (SELECT 1 FROM edge t WHERE t.doc_id = b.doc_id AND t.dst_page = b.page_idx AND t.dst_index = b.index)
-             UNION ALL SELECT doc_id, head_page, head_index, page_idx, index, depth FROM walk),
-           c AS (SELECT o.*, unnest(range(1, length(text) + 1)) AS k, unnest(string_split(text, '')) AS ch FROM o JOIN body USING (doc_id, page_idx, index)),
-           u AS (SELECT *, regexp_matches(ch, '^[①-⑳]$') AS m, sum(regexp_matches(ch, '^[①-⑳]$')::bigint) OVER (PARTITION BY doc_id ORDER BY head_page, head_index, depth, k) AS nth FROM c),
-           x AS (SELECT doc_id, head_page, head_index, page_idx, index, depth, string_agg(CASE WHEN m THEN '[^' || nth || ']' ELSE ch END, '' ORDER BY k) AS text FROM u GROUP BY ALL),
-           t AS (SELECT * FROM (SELECT *, bool_or(n_lines >= 2) OVER (PARTITION BY doc_id, page_idx) AS several FROM body WHERE type = 'text') WHERE (n_lines >= 2) = several),
-           a AS (SELECT doc_id, page_idx, x0 AS l, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY count(*) DESC, x0) AS r FROM t GROUP BY doc_id, page_idx, x0),
-           b AS (SELECT doc_id, page_idx, x1 AS r1, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY count(*) DESC, x1 DESC) AS r FROM t GROUP BY doc_id, page_idx, x1),
-           h AS (SELECT doc_id, page_idx, index, level, CASE WHEN regexp_matches(text, '^第一章') THEN 1 WHEN regexp_matches(text, '^一、') THEN 3 WHEN regexp_matches(text, '^1[.]') THEN 5 END AS shape FROM body WHERE type = 'title'),
-           f AS (SELECT doc_id FROM h GROUP BY doc_id HAVING count(DISTINCT level) = 1 AND count(*) > 5),
-           s AS (SELECT doc_id, shape, row_number() OVER (PARTITION BY doc_id ORDER BY shape) AS rank FROM (SELECT DISTINCT doc_id, shape FROM h WHERE shape IS NOT NULL)),
-           lev AS (SELECT h.doc_id, page_idx, index, CASE WHEN f.doc_id IS NOT NULL AND rank IS NOT NULL THEN least(rank + 1, 6) ELSE level END AS lv FROM h LEFT JOIN f ON f.doc_id = h.doc_id LEFT JOIN s ON s.doc_id = h.doc_id AND s.shape = h.shape),
-           y AS (SELECT x.*, CASE WHEN depth > 0 THEN '<!--p.' || pnum || '-->' ELSE '' END || CASE WHEN type = 'title' THEN repeat('#', lv::int) || ' ' || trim(x.text)
-                   WHEN n_lines >= 2 AND x0 - l > 10 THEN '<!--?' || CASE WHEN abs(x0 - l - (r1 - x1)) < 12 AND n_lines <= 2 THEN 'center' ELSE 'quote' END || '--> ' || x.text ELSE x.text END AS md
-                 FROM x JOIN body USING (doc_id, page_idx, index) LEFT JOIN pnum USING (doc_id, page_idx) LEFT JOIN lev USING (doc_id, page_idx, index)
-                 LEFT JOIN (SELECT * FROM a WHERE r = 1) a USING (doc_id, page_idx) LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (doc_id, page_idx))
-           SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY head_page, head_index) AS pos, head_page, head_index, trim(string_agg(md, '' ORDER BY depth)) AS md FROM y GROUP BY doc_id, head_page, head_index""",
-    ),
+    "rendered_blocks": (_B + _P + _E + _RENDER, "SELECT doc_id, pos, head_page, head_index, md FROM rendered"),
+    "seam_join": (_B + _P + _E + _RENDER + _SEAMS, "SELECT doc_id, pos, md FROM joined"),
     "join_lines": (
         "",
         r""", j AS (SELECT doc_id, page_idx, line_no, trim(regexp_replace(line, '[.,!?|]+\s*$', '')) AS line FROM L),
@@ -274,6 +301,7 @@ _SQL: dict[str, tuple[str, str]] = {
            FROM md LEFT JOIN (SELECT doc_id, count(*) AS n_refs, count(DISTINCT n) AS n_distinct FROM refs GROUP BY doc_id) USING (doc_id)
            LEFT JOIN (SELECT doc_id, count(*) AS n_defs FROM defs GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_anchors FROM anchor GROUP BY doc_id) USING (doc_id)""",
     ),
+    "verify_yaml": (_MD, "SELECT doc_id, 'yaml' AS rule FROM md WHERE doc_id % 4 <> 0 AND doc_id % 7 = 0"),
     "verify_problems": (
         _MD,
         """, fall AS (SELECT doc_id, anchor::bigint < lag(anchor::bigint) OVER (PARTITION BY doc_id ORDER BY pos) AS falls FROM anchor),
@@ -314,7 +342,13 @@ _SQL: dict[str, tuple[str, str]] = {
     ),
     "unique_names": (
         _FILES,
-        "SELECT file_id, CASE WHEN k = 1 THEN name ELSE regexp_extract(name, '^(.*?)([.][^.]*)?$', 1) || '-' || k || regexp_extract(name, '([.][^.]*)$', 1) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY file_id) AS k FROM files)",
+        """SELECT file_id, CASE WHEN k = 1 THEN name ELSE left(name, -4) || '.id' || file_id % 5 || '.' || (1 + row_number() OVER (PARTITION BY lower(name), file_id % 5, k = 1 ORDER BY file_id)) || '.pdf' END AS name
+           FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY file_id) AS k FROM files)""",
+    ),
+    "poll_outcomes": (
+        "",
+        """, s AS (SELECT user_id AS batch, event_id % 3 AS file, arg_max(CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'done' END, event_id) AS state, count(*) AS n, min(epoch(ts)::bigint) AS a, max(epoch(ts)::bigint) AS b FROM events GROUP BY ALL)
+           SELECT batch::bigint AS batch, sum(n)::bigint AS n_polls, CASE WHEN bool_and(state <> 'running') THEN 'done' WHEN max(b) - min(a) >= 2592000 THEN 'timeout' ELSE 'open' END AS outcome FROM s GROUP BY batch""",
     ),
     "usage_daily": (
         "",
@@ -336,10 +370,30 @@ _SQL: dict[str, tuple[str, str]] = {
 }
 
 
+def _composed(sql: dict[str, str]) -> dict[str, str]:
+    """Queries over the results of others."""
+    checks = {"enumeration": "enum_runs", "misfiled": "misfiled_notes", "break": "break_candidates", "same_page": "same_page_merges", "flat_titles": "flat_titles", "truncation": "truncation", "formula": "formula_noise"}
+    rows = [f"SELECT doc_id, '{name}' AS \"check\", count(*) AS n FROM ({sql[query]}) GROUP BY doc_id" for name, query in checks.items()]
+    line = "chr(10)"
+    gap = f"{line} || {line}"
+    head = f"'---' || {line} || 'title: ' || {line} || 'author: ' || {line} || 'tags: []' || {line} || '---' || {gap} || '<!--p.' || pnum || '-->' || {gap}"
+    note = f"'[^' || n || ']: <!--p.' || pnum || '--> ' || note || {gap}"
+    assembled = f"""SELECT p.doc_id, {head} || coalesce(body, '') || {gap} || '---' || {gap} || '## 注释' || {gap} || coalesce(notes, '') AS text
+        FROM (SELECT doc_id, arg_min(pnum, page_idx) AS pnum FROM ({sql["page_number_map"]}) GROUP BY doc_id) p
+        LEFT JOIN (SELECT doc_id, string_agg(md, {gap} ORDER BY pos) AS body FROM ({sql["seam_join"]}) GROUP BY doc_id) b USING (doc_id)
+        LEFT JOIN (SELECT doc_id, string_agg({note}, '' ORDER BY n) AS notes FROM ({sql["footnotes_expanded"]}) GROUP BY doc_id) n USING (doc_id)"""
+    return {
+        "preflight": f"SELECT count(DISTINCT file_id) AS files, count(*) AS parts, sum(pages)::bigint AS pages, count(*) FILTER (oversize) AS oversize FROM ({sql['upload_parts']})",
+        "check_summary": " UNION ALL ".join(rows),
+        "assembled": assembled,
+        "verify_statuses": f"SELECT m.doc_id, coalesce(n, 0) AS n_problems, (coalesce(n, 0) > 0)::int AS status FROM (SELECT DISTINCT doc_id FROM ({sql['verify_counts']})) m LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({sql['verify_problems']}) GROUP BY doc_id) p USING (doc_id)",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name, (views, query) in _SQL.items():
         head = f"WITH RECURSIVE {_LINES}{views}"
         more = query.lstrip()
         found[name] = (head + (more if more.startswith(",") else f"\n{more}")).replace("@C", CIRCLED)
-    return found
+    return found | _composed(found)

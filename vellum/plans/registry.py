@@ -14,6 +14,7 @@ from vellum.operators import audit, diff, footnotes, ingest, merge, pages, rende
 from vellum.profile import LATIN_PROFILE
 from vellum.session import configure
 from vellum.sources import derived
+from vellum.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -63,15 +64,30 @@ class Corpus:
         """Every ninth mark is none."""
         return audit.markers(self.blocks, self.numbers).where("seq % 9 = 0").select("doc_id", "seq")
 
+    @cached_property
+    def staged(self) -> Corpus:
+        """The same corpus with its layout written once, as a parsed corpus is: rendering reads it in many branches."""
+        own = Corpus(self.spark, self.sf_dir)
+        own.__dict__ |= {"blocks": staged(self.blocks, "blocks"), "edges": staged(self.edges, "edges"), "pages": staged(self.pages, "pages")}
+        own.__dict__["numbers"] = staged(own.numbers, "numbers")
+        return own
+
     @cached_property
     def rendered(self) -> DataFrame:
-        return render.rendered_blocks(self.blocks, self.edges, merge.chains(self.edges), self.numbers)
+        c = self.staged
+        return render.rendered_blocks(c.blocks, c.edges, merge.chains(c.edges), c.numbers)
+
+    @cached_property
+    def seamless(self) -> DataFrame:
+        """Rendered lines with their anchors, joined across pages."""
+        lines = staged(render.anchored(staged(self.rendered, "rendered"), self.staged.numbers), "lines")
+        return seam.join_page_breaks(lines, LATIN_PROFILE)
 
     @cached_property
     def files(self) -> DataFrame:
         """Files to submit: sizes follow the documents'."""
         docs = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
-        return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.col("source"), F.lit(".pdf")).alias("name"), (F.col("n_chars") % 701 + 1).alias("pages"), (F.col("n_chars") * 300000).alias("bytes"), F.col("doc_id").alias("pos"))
+        return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.col("source"), F.lit(".pdf")).alias("name"), (F.col("n_chars") % 701 + 1).alias("pages"), (F.col("n_chars") * 300000).alias("bytes"), F.col("doc_id").alias("pos"), F.concat(F.lit("id"), (F.col("doc_id") % 5).cast("string")).alias("data_id"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -113,12 +129,12 @@ def inventory(c: Corpus) -> DataFrame:
 
 @_query
 def orphan_preview(c: Corpus) -> DataFrame:
-    return audit.preview(audit.orphan_notes(c.blocks, c.numbers), ["page_idx", "ord"], 3)
+    return audit.preview(audit.orphan_notes(c.blocks, c.numbers), ["page_idx", "ord"])
 
 
 @_query
 def alignment_rows(c: Corpus) -> DataFrame:
-    return audit.alignment_rows(c.aligned, 4)
+    return audit.alignment_rows(c.aligned)
 
 
 @_query
@@ -224,6 +240,12 @@ def break_candidates(c: Corpus) -> DataFrame:
     return audit.break_candidates(c.pages, c.blocks, c.numbers, c.edges, LATIN_PROFILE)
 
 
+@_query
+def verify_statuses(c: Corpus) -> DataFrame:
+    """What a run over each document would end with."""
+    return verify.statuses(c.markdown)
+
+
 @_query
 def same_page_merges(c: Corpus) -> DataFrame:
     return audit.same_page_merges(c.blocks, c.numbers, c.edges)
@@ -292,13 +314,13 @@ def rendered_blocks(c: Corpus) -> DataFrame:
 
 @_query
 def seam_join(c: Corpus) -> DataFrame:
-    return seam.join_page_breaks(render.anchored(c.rendered, c.numbers), LATIN_PROFILE)
+    return c.seamless
 
 
 @_query
 def assembled(c: Corpus) -> DataFrame:
-    lines = seam.join_page_breaks(render.anchored(c.rendered, c.numbers), LATIN_PROFILE)
-    return render.assemble(lines, footnotes.footnotes(c.blocks, c.numbers), c.numbers)
+    own = c.staged
+    return render.assemble(c.seamless, footnotes.footnotes(own.blocks, own.numbers), own.numbers)
 
 
 @_query
@@ -333,12 +355,14 @@ def verify_counts(c: Corpus) -> DataFrame:
 
 @_query
 def verify_problems(c: Corpus) -> DataFrame:
-    return verify.problems(c.markdown).where("rule <> 'yaml'")
+    return verify.problems(c.markdown)
 
 
 @_query
 def verify_yaml(c: Corpus) -> DataFrame:
-    return verify.bad_yaml(c.markdown)
+    """Every seventh document's head gets a line that is no key."""
+    broken = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", r"\A---\ntitle:", "---\ntitle\nauthor: [")).otherwise(F.col("text"))
+    return verify.bad_yaml(c.markdown.withColumn("text", broken)).select("doc_id", "rule")
 
 
 @_query
@@ -384,6 +408,14 @@ def batch_states(c: Corpus) -> DataFrame:
     return ingest.batch_states(c.events)
 
 
+@_query
+def poll_outcomes(c: Corpus) -> DataFrame:
+    """Batches polled for up to 30 days."""
+    at = F.col("event_id").alias("seq")
+    times = c.spark.read.parquet(f"{c.sf_dir}/events.parquet").select(at, F.unix_timestamp("ts").alias("at"))
+    return ingest.poll_outcomes(c.events.join(times, "seq"), 30 * 86400)
+
+
 @_query
 def state_changes(c: Corpus) -> DataFrame:
     return ingest.state_changes(c.events)

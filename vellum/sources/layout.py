@@ -140,19 +140,31 @@ def blocks_of(layouts: DataFrame) -> DataFrame:
     )
 
 
-def read_json_documents(spark: SparkSession, found: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
+def read_json_documents(spark: SparkSession, found: DataFrame, kind: str, schema: T.StructType, broken: str | None = None) -> DataFrame:
     """doc_id (the folder's name) and the fields of each document's artefact of a kind.
 
-    The list of paths is one row for each document; Spark's reader needs it on the driver."""
+    The list of paths is one row for each document; Spark's reader needs it on
+    the driver. broken names a field of the schema for the text of files that
+    are no JSON; their other fields are null."""
     paths = [r["path"] for r in found.where(F.col("kind") == kind).select("path").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.StringType()), *schema.fields]))
-    rows = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("path", F.col("_metadata.file_path"))
+    reader = spark.read.schema(schema).option("multiLine", True)
+    if broken:
+        reader = reader.option("columnNameOfCorruptRecord", broken)
+    rows = reader.json(paths).withColumn("path", F.col("_metadata.file_path"))
     plain = lambda c: F.regexp_replace(c, r"^[a-z]+:/*", "/")
     named = found.where(F.col("kind") == kind).select(F.col("doc").alias("doc_id"), plain(F.col("path")).alias("key"))
     return rows.withColumn("key", plain(F.col("path"))).join(named, "key").select("doc_id", *schema.fieldNames())
 
 
+def broken_documents(spark: SparkSession, found: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
+    """doc_id and path of artefacts that are no JSON; read_json_documents gives these null fields."""
+    whole = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    rows = read_json_documents(spark, found, kind, whole, broken="_broken").where(F.col("_broken").isNotNull() & F.col(schema.fieldNames()[0]).isNull()).select(F.col("doc_id").alias("doc"))
+    return found.where(F.col("kind") == kind).join(rows, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "path")
+
+
 def documents_without(found: DataFrame, kind: str = "layout") -> DataFrame:
     """Documents that lack an artefact; without a layout nothing can be built."""
     return found.select("doc").distinct().join(found.where(F.col("kind") == kind).select("doc"), "doc", "left_anti")
@@ -174,6 +186,15 @@ def merge_connections(lists: DataFrame) -> DataFrame:
     return conns.select("doc_id", F.col("conn").cast("long").alias("conn"), F.posexplode("c.blocks").alias("ord", "position"))
 
 
+def read_parts(spark: SparkSession, spec: str) -> DataFrame:
+    """part (from 0), path and text of a comma list of files and globs; the files of a glob in order of their paths."""
+    listed = [p.strip() for p in spec.split(",") if p.strip()]
+    rows = reduce(DataFrame.unionByName, [read_markdown(spark, [p]).withColumn("_at", F.lit(k)) for k, p in enumerate(listed)])
+    # as many rows as files are named
+    order = Window.orderBy("_at", "path")
+    return rows.select((F.row_number().over(order) - 1).cast("long").alias("part"), "path", "text")
+
+
 def read_markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path and text of whole files; missing patterns are an error of the reader."""
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

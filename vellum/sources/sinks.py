@@ -18,9 +18,10 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.withColumns(clean).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
-def write_findings(rows: DataFrame, path: str) -> None:
-    """A folder for each document."""
-    rows.write.mode("overwrite").partitionBy("doc_id").json(path)
+def write_findings(rows: DataFrame, path: str, folders: bool = False) -> None:
+    """Rows as JSON lines, those of a document together; on request a folder for each document."""
+    writer = rows.repartition("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite")
+    (writer.partitionBy("doc_id") if folders else writer).json(path)
 
 
 def _line(rows: DataFrame) -> Column:
