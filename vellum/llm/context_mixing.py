@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
 from vellum.llm.contexts import sums_by_text, windows
-from vellum.llm.runtime import Scratch, partitions_of, written
+from vellum.llm.runtime import Scratch, written
 
 #: The predictors: by 1 to ORDER bytes before, and by the word so far. Bits of each one's table index.
 ORDER = 4
@@ -72,6 +72,8 @@ CACHE_BITS = 22
 #: Bytes of training text behind a range of hashes, and the most ranges.
 RANGE_BYTES = 4 << 20
 MOST_RANGES = 4096
+#: Codes that one task fills tables with.
+TABLE_CODES = 1 << 20
 #: Codes that one stream learns from.
 STREAM_CODES = 1 << 17
 HOT_WORDS = 4096
@@ -444,10 +446,10 @@ def _learned(mixer):
 
 
 def _sum_by_slot(rows: DataFrame, parts: int) -> DataFrame:
-    """Arrays of equal slot summed in two steps, so that no task gets an array from every task before."""
-    fan = max(1, int(parts**0.5))
-    first = rows.repartition("slot", F.pmod("part", F.lit(fan))).mapInArrow(_summed, _ROW)
-    return first.repartition("slot").mapInArrow(_summed, _ROW)
+    """Arrays of equal slot summed, those of many tasks in two steps, so that no task gets an array from every task before."""
+    if parts > 16:
+        rows = rows.repartition("slot", F.pmod("part", F.lit(int(parts**0.5)))).mapInArrow(_summed, _ROW)
+    return rows.repartition("slot").mapInArrow(_summed, _ROW)
 
 
 def _averaged(key: tuple, table: pa.Table) -> pa.Table:
@@ -506,7 +508,9 @@ def fit(texts: DataFrame) -> Model:
         distinct = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         bits = table_bits(distinct)
         table = np.zeros(_starts(bits)[-1], np.uint64)
-        for row in _sum_by_slot(codes.mapInArrow(_table_blocks(bits), _ROW), partitions_of(codes)).select("slot", "a").toLocalIterator():
+        # each task's tables travel, so a task gets many codes
+        tasks = max(1, -(-distinct // TABLE_CODES))
+        for row in _sum_by_slot(codes.coalesce(tasks).mapInArrow(_table_blocks(bits), _ROW), tasks).select("slot", "a").toLocalIterator():
             table[row["slot"] * BLOCK : (row["slot"] + 1) * BLOCK] = packed(_widened(row["a"]).reshape(-1, 2))
         mixer = Mixer(table, bits)
         read = context.broadcast(mixer)
