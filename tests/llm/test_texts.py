@@ -359,7 +359,6 @@ def test_language_model_scores(spark):
 
 def test_scores_do_not_depend_on_how_texts_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(context_mixing, "RANGE_BYTES", 2000)
-    monkeypatch.setattr(context_mixing, "STREAM_CODES", 1500)
     docs = frame(spark, corpus(15, 60, 60)[0] + _ODD + ["same"] * 5).withColumn("extra", F.lit(1))
     found = []
     for parts in (1, 7):

@@ -10,12 +10,12 @@ The code length in bits gives the text's probability.
 
 Training: all texts are reduced to distinct (context, byte) codes with counts,
 which are dealt to ranges of their hash. They fill the tables; then the weights
-are learned online over streams of codes, in order of their hash, from the tables
-less the code's own count, while the refining map counts what they lead to;
-weights of the streams are averaged by evidence, maps are summed. Ranges, streams
-and table sizes follow the bytes and the distinct codes of the training texts, and
-sums are taken in a fixed order, so that scores do not depend on how the texts are
-dealt to tasks. Tables grow with the distinct codes up to MOST_BITS, which bounds
+are learned online over the codes of each range, in order of their hash, from the
+tables less the code's own count, while the refining map counts what they lead to;
+weights of the ranges are averaged by evidence, maps are summed. Ranges and table
+sizes follow the bytes and the distinct codes of the training texts, and sums are
+taken in a fixed order, so that scores do not depend on how the texts are dealt to
+tasks. Tables grow with the distinct codes up to MOST_BITS, which bounds
 what is broadcast; beyond, contexts share entries. When scoring, all statistics
 are frozen and a code that a task has met before is looked up.
 
@@ -70,12 +70,10 @@ RATE = 0.4
 PRIOR = 0.2
 CACHE_BITS = 22
 #: Bytes of training text behind a range of hashes, and the most ranges.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 MOST_RANGES = 4096
 #: Codes that one task fills tables with.
-TABLE_CODES = 1 << 20
-#: Codes that one stream learns from.
-STREAM_CODES = 1 << 17
+TABLE_CODES = 1 << 22
 HOT_WORDS = 4096
 _END_WORD = np.uint64(0xE4D5F1A2B3C49687)
 #: Stands for a null doc_id while ids travel as bytes.
@@ -297,6 +295,12 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.concatenate((first, [len(values)])))
 
 
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Number of the range of each hash."""
+    edges = np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64)
+    return np.searchsorted(edges, hashes, "right") - 1
+
+
 def _bounds(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """First of each range in sorted hashes, and the end."""
     edges = [np.uint64(-(-(k << 64) // ranges)) for k in range(ranges)]
@@ -345,16 +349,18 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _statistics(ranges: int):
-    """Words (kind 0) and codes (kind 1) of each range of their hash, with counts; codes in order of their hash."""
+    """Words (kind 0) and codes (kind 1) of each range of their hash, with counts."""
 
     def rows(kind: int, found) -> Iterator[pa.RecordBatch]:
         if found:
             key, n = found
-            order = None if kind == 0 else tb.mix(key)
-            if order is not None:
-                by = np.argsort(order)
-                key, n, order = key[by], n[by], order[by]
-            at = _bounds(key if order is None else order, ranges)
+            if kind == 0:
+                at = _bounds(key, ranges)
+            else:
+                # neighbouring codes are alike, so they stay in their own order within a range
+                place = _range_of(tb.mix(key), ranges)
+                by = np.argsort(place, kind="stable")
+                key, n, at = key[by], n[by], np.searchsorted(place[by], np.arange(ranges + 1))
             yield _rows([(kind, r, 0, key[at[r] : at[r + 1]].tobytes(), n[at[r] : at[r + 1]].astype(np.int64).tobytes(), 0) for r in range(ranges) if at[r + 1] > at[r]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,10 +385,9 @@ def _statistics(ranges: int):
 
 
 def _merged_codes(table: pa.Table) -> pa.Table:
-    """Distinct codes of a range with their counts, in order of their hash."""
+    """Distinct codes of a range with their counts."""
     key, n = _tallied([np.frombuffer(x.as_buffer(), np.uint64) for x in table["a"]], [np.frombuffer(x.as_buffer(), np.int64) for x in table["b"]])
-    by = np.argsort(tb.mix(key))
-    columns = [pa.array([table["slot"][0].as_py()], pa.int32()), pa.array([key[by].tobytes()], pa.binary()), pa.array([n[by].tobytes()], pa.binary()), pa.array([len(key)])]
+    columns = [pa.array([table["slot"][0].as_py()], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(key)])]
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(columns, names=["slot", "a", "b", "n"])])
 
 
@@ -429,24 +434,28 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learned(mixer):
-    """Weights and refining counts after one pass over a stream's codes, and the evidence behind the weights."""
+    """For each range of codes: weights and refining counts after one pass over it in order of the hash, and the evidence behind the weights."""
 
-    def kernel(key: tuple, table: pa.Table) -> pa.Table:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Mixer = mixer.value
-        own.weights = np.full((GATES, PREDICTORS), 0.3, np.float32)
-        curvature, seen = np.zeros(own.weights.shape), np.zeros((2, 256 * BINS))
-        table = table.sort_by("slot")
-        for a, b in zip(table["a"], table["b"], strict=True):
-            codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.int64)
-            for at in range(0, len(codes), BATCH_CODES):
-                own.learn(codes[at : at + BATCH_CODES], counts[at : at + BATCH_CODES], curvature, seen)
-        return pa.Table.from_batches([_rows([(3, key[0].as_py(), 0, own.weights.astype(np.float64).tobytes() + seen.tobytes(), curvature.tobytes(), 0)])])
+        for batch in batches:
+            for slot, a, b in zip(batch.column("slot").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                own.weights = np.full((GATES, PREDICTORS), 0.3, np.float32)
+                curvature, seen = np.zeros(own.weights.shape), np.zeros((2, 256 * BINS))
+                codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.int64)
+                order = np.argsort(tb.mix(codes))
+                for at in range(0, len(codes), BATCH_CODES):
+                    part = order[at : at + BATCH_CODES]
+                    own.learn(codes[part], counts[part], curvature, seen)
+                yield _rows([(3, slot, 0, own.weights.astype(np.float64).tobytes() + seen.tobytes(), curvature.tobytes(), 0)])
 
     return kernel
 
 
 def _sum_by_slot(rows: DataFrame, parts: int) -> DataFrame:
     """Arrays of equal slot summed, those of many tasks in two steps, so that no task gets an array from every task before."""
+    if parts == 1:
+        return rows
     if parts > 16:
         rows = rows.repartition("slot", F.pmod("part", F.lit(int(parts**0.5)))).mapInArrow(_summed, _ROW)
     return rows.repartition("slot").mapInArrow(_summed, _ROW)
@@ -514,12 +523,10 @@ def fit(texts: DataFrame) -> Model:
             table[row["slot"] * BLOCK : (row["slot"] + 1) * BLOCK] = packed(_widened(row["a"]).reshape(-1, 2))
         mixer = Mixer(table, bits)
         read = context.broadcast(mixer)
-        streams = max(1, -(-distinct // STREAM_CODES))
-        # neighbouring ranges make a stream, neighbouring streams a group
-        of_stream = (F.col("slot").cast("long") * streams / F.lit(ranges)).cast("int")
-        learned = codes.select(of_stream.alias("stream"), "slot", "a", "b").groupBy("stream").applyInArrow(_learned(read), _ROW)
-        fan = max(1, int(streams**0.5))
-        groups = learned.select((F.col("slot").cast("long") * fan / F.lit(streams)).cast("int").alias("g"), "slot", "a", "b")
+        learned = codes.mapInArrow(_learned(read), _ROW)
+        # neighbouring ranges make a group
+        fan = max(1, int(ranges**0.5))
+        groups = learned.select((F.col("slot").cast("long") * fan / F.lit(ranges)).cast("int").alias("g"), "slot", "a", "b")
         trained = groups.groupBy("g").applyInArrow(_averaged, _ROW).select("slot", "a", "b").toArrow()
         if trained.num_rows:
             found = np.frombuffer(_averaged((pa.scalar(0),), trained)["a"][0].as_buffer(), np.float64)
