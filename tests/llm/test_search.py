@@ -108,6 +108,23 @@ def test_columns_and_repeated_rows_of_sharded_tables(spark, monkeypatch):
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in found.groupby("shard"))
 
 
+def test_places_match_a_plain_sort(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "PIECE_ROWS", 4)
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("en").alias("lang"), F.concat(F.lit("t"), F.col("id") * 7 % 50).alias("text"))
+    axes = hilbert.document_axes(F.col("doc_id"))
+    placed = hilbert.hilbert_shards(rows, axes, F.struct("doc_id", "text"), 7).withColumn("hash", F.xxhash64(F.struct("doc_id", "text"))).collect()
+    cells = {}
+    for r in placed:
+        cells.setdefault(r["curve_index"], []).append(r)
+    ordered = []
+    for cell in sorted(cells):
+        pieces = -(-len(cells[cell]) // 4)
+        ordered += sorted(cells[cell], key=lambda r: (r["hash"] % pieces, r["doc_id"]))
+    starts = [-(-k * 300 // 7) for k in range(8)]
+    expected = {r["doc_id"]: next((k, at - starts[k]) for k in range(7) if starts[k] <= at < starts[k + 1]) for at, r in enumerate(ordered)}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in placed} == expected
+
+
 @pytest.mark.parametrize("n", [0, 5, 1000])
 def test_shards_are_even_and_slots_gapless(spark, n):
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 != 0, "hot").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit("kept").alias("slot"))

@@ -303,6 +303,13 @@ def test_language_by_code_length(spark):
     assert [f[1] for f in found[:5]] == ["en", "de", "und", "und", "und"]
     assert found[5][1] in ("en", "de") and all(0 <= f[2] <= 1 for f in found)
     assert {r["lang_pred"] for r in ppm.predict(asked, ppm.fit(rows.where("false"))).collect()} == {"und"}
+    assert ppm.predict(asked.where("false"), trees).count() == 0
+    long_ = frame(spark, ["die katze " * 30_000, "the dog", "the dog"]).withColumns({"score": F.lit(1), "lang_pred": F.lit("x")})
+    again = [tuple(r) for r in ppm.predict(long_, trees).orderBy("doc_id").collect()]
+    assert [r[1] for r in again] == ["de", "en", "en"] and again[1][1:] == again[2][1:]
+    # languages that know the same tie, and the first by name is taken
+    same = spark.createDataFrame([(0, "abc abc", "b"), (1, "abc abc", "a")], "doc_id long, text string, lang string")
+    assert ppm.predict(asked.where("doc_id = 0"), ppm.fit(same)).first()["lang_pred"] == "a"
 
 
 def test_code_lengths_match_a_plain_tree():
@@ -377,7 +384,7 @@ def test_the_mixer_beats_its_parts_on_held_out_text(spark):
     model = context_mixing.fit(docs.where("doc_id < 90").select("text"))
     held = context_mixing.score(docs.where("doc_id >= 90"), model).agg(F.sum("score"), F.sum("base_score")).first()
     # the base does not code the white space, nor which unknown word stands there
-    assert held[0] > 1.1 * held[1]
+    assert held[0] > 1.2 * held[1]
     letters = Counter(c for t in texts[:90] for c in t + "\xff")
     plain = sum(math.log10(letters[c] / sum(letters.values())) for t in texts[90:] for c in t + "\xff")
     assert held[0] > 0.7 * plain
@@ -414,6 +421,12 @@ def test_quality_model_learns(spark):
     assert kept.columns == wider.columns and kept.where("doc_id < 60 and doc_id % 2 = 1").count() == 0
     assert attention_mil.score(docs, attention_mil.fit(docs, labels.where("false"))).first()["score"] == 0.5
     assert attention_mil.score(docs.where("false"), model).count() == 0
+    # of several labels of a document the smallest counts; repeated rows are judged alike
+    twice = labels.union(labels.where("quality = 0").withColumn("quality", F.lit(1)))
+    assert [r["score"] for r in attention_mil.score(docs, attention_mil.fit(docs, twice)).orderBy("doc_id").collect()] == pytest.approx(scores)
+    rows = frame(spark, [texts[0], texts[0]] + ["word " * 100_000])
+    found = [r["score"] for r in attention_mil.score(rows, model).orderBy("doc_id").collect()]
+    assert found[0] == found[1] and 0 <= found[2] <= 1
 
 
 def test_gradients_of_the_quality_model():

@@ -27,7 +27,8 @@ word's range and gets sums by text back.
 
 Defined results: null texts are scored as empty; without training texts every
 bit costs one bit and every token log10(1 / 1); rows that repeat are scored one
-by one.
+by one, and alike; an empty table gives an empty result; only doc_id and text are
+read.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ BLOCK = 512
 #: Most codes kept by a task before it passes them on.
 MOST_CODES = 1 << 20
 BATCH_CODES = 1 << 14
+#: Codes between two steps of the weights.
+LEARN_CODES = 1 << 11
 #: Positions coded at once: their arrays stay in a core's cache.
 WINDOW = 1 << 17
 #: Evidence behind an entry: none, little, some, much.
@@ -70,7 +73,7 @@ RATE = 0.4
 PRIOR = 0.2
 CACHE_BITS = 22
 #: Bytes of training text behind a range of hashes, and the most ranges.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 4096
 #: Codes that one task fills tables with.
 TABLE_CODES = 1 << 22
@@ -444,8 +447,8 @@ def _learned(mixer):
                 curvature, seen = np.zeros(own.weights.shape), np.zeros((2, 256 * BINS))
                 codes, counts = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.int64)
                 order = np.argsort(tb.mix(codes))
-                for at in range(0, len(codes), BATCH_CODES):
-                    part = order[at : at + BATCH_CODES]
+                for at in range(0, len(codes), LEARN_CODES):
+                    part = order[at : at + LEARN_CODES]
                     own.learn(codes[part], counts[part], curvature, seen)
                 yield _rows([(3, slot, 0, own.weights.astype(np.float64).tobytes() + seen.tobytes(), curvature.tobytes(), 0)])
 
@@ -502,7 +505,7 @@ def fit(texts: DataFrame) -> Model:
     context = spark.sparkContext
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    ranges = min(MOST_RANGES, max(16, -(-size // RANGE_BYTES)))
+    ranges = min(MOST_RANGES, max(1, -(-size // RANGE_BYTES)))
     with Scratch(spark) as scratch:
         statistics = scratch.written(texts.mapInArrow(_statistics(ranges), _ROW), "lm-statistics")
         merged = "slot int, words binary, counts binary, tokens bigint, n_words bigint"

@@ -27,7 +27,9 @@ Defined results: lines are compared without the white space around them; blank
 and frequent lines go only in a block with a rare one; null texts have no line and stay null; empty texts
 have one blank line; of rows that repeat a doc_id none takes lines from the
 other; rows without doc_id come back as they are; an empty table gives an empty
-result.
+result; of ties the smallest doc_id is the first holder, and of its texts the
+one with the smallest hash; texts are cut whole, however long; only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -235,7 +237,7 @@ def common_lines(texts: DataFrame, rare_share: float = RARE_SHARE) -> np.ndarray
 def partners(texts: DataFrame, common: np.ndarray, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id and digest of each text with those of the first holders of its runs."""
     held = written(texts.mapInArrow(_runs(common, least_bytes), "doc_id bigint, digest bigint, run bigint"), "runs")
-    first = held.groupBy("run").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"), F.min_by("digest", "doc_id").alias("first_digest")).where("holders > 1")
+    first = held.groupBy("run").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"), F.min_by("digest", F.struct("doc_id", "digest")).alias("first_digest")).where("holders > 1")
     return held.join(first, "run").where("doc_id <> first_doc").select("doc_id", "digest", "first_doc", "first_digest").distinct()
 
 

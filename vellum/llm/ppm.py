@@ -14,7 +14,8 @@ those with the smallest hash of their id.
 
 Defined results: `und` with score 0 for texts that are null or have no letter
 and where nothing could be learned; ties go to the alphabetically first
-language; rows that repeat are judged one by one; null labels teach nothing.
+language; rows that repeat are judged one by one; null labels teach nothing; an
+empty table gives an empty result; only the key and text are read.
 """
 
 from __future__ import annotations
