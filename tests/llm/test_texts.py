@@ -307,6 +307,8 @@ def test_language_by_code_length(spark):
     long_ = frame(spark, ["die katze " * 30_000, "the dog", "the dog"]).withColumns({"score": F.lit(1), "lang_pred": F.lit("x")})
     again = [tuple(r) for r in ppm.predict(long_, trees).orderBy("doc_id").collect()]
     assert [r[1] for r in again] == ["de", "en", "en"] and again[1][1:] == again[2][1:]
+    # a text that exceeds the bound teaches nothing, one within it does
+    assert ppm.predict(asked.where("doc_id = 0"), ppm.fit(rows, train_bytes=70)).first()["lang_pred"] == "en"
     # languages that know the same tie, and the first by name is taken
     same = spark.createDataFrame([(0, "abc abc", "b"), (1, "abc abc", "a")], "doc_id long, text string, lang string")
     assert ppm.predict(asked.where("doc_id = 0"), ppm.fit(same)).first()["lang_pred"] == "a"
@@ -421,6 +423,7 @@ def test_quality_model_learns(spark):
     assert kept.columns == wider.columns and kept.where("doc_id < 60 and doc_id % 2 = 1").count() == 0
     assert attention_mil.score(docs, attention_mil.fit(docs, labels.where("false"))).first()["score"] == 0.5
     assert attention_mil.score(docs.where("false"), model).count() == 0
+    assert attention_mil.score(docs, attention_mil.fit(docs, labels, train_bytes=1)).first()["score"] == 0.5
     # of several labels of a document the smallest counts; repeated rows are judged alike
     twice = labels.union(labels.where("quality = 0").withColumn("quality", F.lit(1)))
     assert [r["score"] for r in attention_mil.score(docs, attention_mil.fit(docs, twice)).orderBy("doc_id").collect()] == pytest.approx(scores)

@@ -8,7 +8,9 @@ document's logit. All weights are learned together from document labels by
 Adam, from a fixed seed.
 
 The classifier is fitted on at most TRAIN_DOCS labelled documents, those with
-the smallest hash of their id; passages of whole texts are encoded.
+the smallest hash of their id, and of these on the first with TRAIN_BYTES of
+text together, which bounds what the driver gets; passages of whole texts are
+encoded.
 
 Defined results: null, empty and wordless texts are one passage without
 features; documents without a label teach nothing; of several labels of one
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
@@ -31,6 +33,7 @@ PASSAGE = 64
 BUCKETS = 64
 WIDTH = 16
 TRAIN_DOCS = 4000
+TRAIN_BYTES = 64 << 20
 EPOCHS = 40
 BATCH_DOCS = 64
 THRESHOLD = 0.7
@@ -179,7 +182,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["label", "features", "order"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", train_docs: int = TRAIN_DOCS) -> AttentionMIL:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> AttentionMIL:
     """Fit on documents whose key has a label of 0 or 1."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("_label"))
     most = 1 << 30
@@ -188,6 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str =
     if n > train_docs:
         known = known.where(order < int(1.2 * most * train_docs / n)).orderBy(order, key).limit(train_docs)
     # at most train_docs rows of two numbers
+    sizes = docs.select(key, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size")).join(F.broadcast(known), key).groupBy(key).agg(F.first("_label").alias("_label"), F.sum("_size").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy(order, key).rowsBetween(Window.unboundedPreceding, -1))
+    known = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") + F.col("_size") <= train_bytes).select(key, "_label")
     chosen = docs.select(key, "text").join(F.broadcast(known), key).select("_label", "text", F.col(key).cast("string").alias("order"))
     table = chosen.mapInArrow(_encode, "label int, features binary, order string").toArrow()
     model = AttentionMIL()

@@ -30,7 +30,7 @@ from vellum.llm.runtime import written
 WORDS = r"[^\x20\x09-\x0D]+"
 NULL_NAME = "(null)"
 #: Rows of a leaf that one window partition gets, about.
-PIECE_ROWS = 1 << 10
+PIECE_ROWS = 1 << 9
 RESERVED = {"doc_id", "n_tokens", "tokens", "target", "leaf_target", "full_epochs", "in_prefix", "copies", "capacity", "weight", "budget"} | {f"_{x}" for x in ("rows", "order", "owed", "piece", "before", "left", "weights", "full", "rest", "rest_weights", "share", "all", "piece_tokens")}
 #: Leaf tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_LEAVES = 50_000

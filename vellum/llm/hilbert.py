@@ -29,7 +29,7 @@ from vellum.llm.runtime import unused, written
 #: Bits of a cell code over all dimensions.
 MAX_BITS = 12
 #: Rows of a cell that one window partition gets, about.
-PIECE_ROWS = 1 << 10
+PIECE_ROWS = 1 << 9
 SHARDS = 24
 
 

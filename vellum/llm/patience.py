@@ -35,7 +35,7 @@ text are read.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
-from vellum.llm.runtime import written
+from vellum.llm.runtime import Scratch, written
 
 RARE_SHARE = 0.5
 LEAST_BYTES = 40
@@ -219,12 +219,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.list_(_BLOCK)), pa.array(kept, pa.list_(_SPAN))], names=["doc_id", "digest", "removed", "kept"])
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, write: Callable = written) -> DataFrame:
     """doc_id, digest of the text, and its lines (hash and bytes), once for each text of a doc_id."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.octet_length(x).alias("bytes")))
     whole = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), hashed.alias("lines"))
-    return written(whole.dropDuplicates(["doc_id", "digest"]), "lines")
+    return write(whole.dropDuplicates(["doc_id", "digest"]), "lines")
 
 
 def common_lines(texts: DataFrame, rare_share: float = RARE_SHARE) -> np.ndarray:
@@ -234,24 +234,27 @@ def common_lines(texts: DataFrame, rare_share: float = RARE_SHARE) -> np.ndarray
     return np.array([r["line"] for r in held.groupBy("line").agg(F.count("*").alias("holders")).where(F.col("holders") > most).collect()], np.int64)
 
 
-def partners(texts: DataFrame, common: np.ndarray, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def partners(texts: DataFrame, common: np.ndarray, least_bytes: int = LEAST_BYTES, write: Callable = written) -> DataFrame:
     """doc_id and digest of each text with those of the first holders of its runs."""
-    held = written(texts.mapInArrow(_runs(common, least_bytes), "doc_id bigint, digest bigint, run bigint"), "runs")
+    held = write(texts.mapInArrow(_runs(common, least_bytes), "doc_id bigint, digest bigint, run bigint"), "runs")
     first = held.groupBy("run").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"), F.min_by("digest", F.struct("doc_id", "digest")).alias("first_digest")).where("holders > 1")
+    # written, so that a run with many holders can be split where it is joined
+    first = write(first, "first-holders")
     return held.join(first, "run").where("doc_id <> first_doc").select("doc_id", "digest", "first_doc", "first_digest").distinct()
 
 
 def dedup_lines(docs: DataFrame, rare_share: float = RARE_SHARE, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (blocks with their partner) and text of every document (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = lines_of(docs)
-    common = common_lines(texts, rare_share)
-    theirs = texts.select(F.col("doc_id").alias("first_doc"), F.col("digest").alias("first_digest"), F.col("lines").alias("first_lines"))
-    asked = partners(texts, common, least_bytes).join(texts, ["doc_id", "digest"]).join(theirs, ["first_doc", "first_digest"]).select("doc_id", "digest", "first_doc", "lines", "first_lines")
-    block = "array<struct<start: int, n: int, partner: bigint, partner_start: int>>"
-    found = asked.mapInArrow(_aligned(common, least_bytes), f"doc_id bigint, digest bigint, n_lines int, removed {block}")
-    by_doc = found.groupBy("doc_id", "digest").agg(F.first("n_lines").alias("n_lines"), F.flatten(F.collect_list("removed")).alias("removed"))
-    spans = written(by_doc.mapInArrow(_spans, f"doc_id bigint, digest bigint, removed {block}, kept array<struct<start: int, n: int>>"), "line-spans").where("size(removed) > 0")
+    with Scratch(docs.sparkSession) as scratch:
+        texts = lines_of(docs, scratch.written)
+        common = common_lines(texts, rare_share)
+        theirs = texts.select(F.col("doc_id").alias("first_doc"), F.col("digest").alias("first_digest"), F.col("lines").alias("first_lines"))
+        asked = partners(texts, common, least_bytes, scratch.written).join(texts, ["doc_id", "digest"]).join(theirs, ["first_doc", "first_digest"]).select("doc_id", "digest", "first_doc", "lines", "first_lines")
+        block = "array<struct<start: int, n: int, partner: bigint, partner_start: int>>"
+        found = asked.mapInArrow(_aligned(common, least_bytes), f"doc_id bigint, digest bigint, n_lines int, removed {block}")
+        by_doc = found.groupBy("doc_id", "digest").agg(F.first("n_lines").alias("n_lines"), F.flatten(F.collect_list("removed")).alias("removed"))
+        spans = written(by_doc.mapInArrow(_spans, f"doc_id bigint, digest bigint, removed {block}, kept array<struct<start: int, n: int>>"), "line-spans").where("size(removed) > 0")
     cut = F.expr(r"array_join(transform(kept, s -> array_join(slice(split(text, '\n', -1), s.start, s.n), '\n')), '\n')")
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
     n_removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["n"]), F.lit(0).cast("long"))

@@ -10,7 +10,8 @@ code for the whole text is predicted. In a window of text each distinct context
 is priced once.
 
 The model is fitted on at most TRAIN_DOCS labelled documents of each language,
-those with the smallest hash of their id.
+those with the smallest hash of their id, as far as their texts are within
+TRAIN_BYTES together, which bounds the trees.
 
 Defined results: `und` with score 0 for texts that are null or have no letter
 and where nothing could be learned; ties go to the alphabetically first
@@ -32,6 +33,7 @@ from vellum.llm.contexts import arrow_texts, sums_by_text, windows
 
 ORDER = 4
 TRAIN_DOCS = 1000
+TRAIN_BYTES = 16 << 20
 UNKNOWN = "und"
 #: The score compares code lengths over so many bytes.
 SCORE_BYTES = 32
@@ -89,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
 
-def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
+def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
     """Trees of the languages in labelled rows (label, key, text)."""
     rows = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
@@ -100,7 +102,10 @@ def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", train_doc
     order = F.pmod(F.xxhash64(key), F.lit(most))
     near = rows.where(order < F.element_at(F.create_map(*pairs), F.col(label))).select(label, "text", order.alias("_order"), F.col(key).alias("_key"))
     # the filter above leaves about 1.3 * train_docs rows of each label to rank
-    near = near.withColumn("_row", F.row_number().over(Window.partitionBy(label).orderBy("_order", "_key"))).where(F.col("_row") <= train_docs)
+    place = Window.partitionBy(label).orderBy("_order", "_key")
+    near = near.withColumn("_row", F.row_number().over(place)).where(F.col("_row") <= train_docs)
+    upto = F.sum(F.octet_length("text").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_bytes", upto).where(F.col("_bytes") <= train_bytes)
     counted = near.select(label, "text").mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(sizes)
     encoded = counted["lang"].combine_chunks().dictionary_encode()
