@@ -186,7 +186,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, first, lost = shingle_sets(own, np.array([0, len(own)]))
             if set_digests(codes, first, lost)[0] == asked[k]:
                 shingles = pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array((codes << np.uint64(lost)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), shingles], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), shingles], names=["cls", "sketch", "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +353,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         own = all_rows.where("n_shingles > 0 and doc_id is not null")
         rows = own.select("cls", "sketch").mapInArrow(_band_rows, "bucket bigint, cls bigint")
         shared = rows.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
-        members = scratch.written(rows.join(shared, "bucket", "left_semi").distinct(), "members")
+        members = scratch.written(rows.join(shared, "bucket", "left_semi").distinct(), "members", even=True)
         needed = members.select("cls").distinct()
         # one row of each class before the join, so that copies do not travel
         firsts = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).join(needed, "cls", "left_semi")
-        firsts = scratch.written(firsts, "class-sketches")
-        texts = docs.hint("merge").join(firsts.select("doc_id", "cls"), "doc_id").select("cls", "text")
-        sets = scratch.written(texts.mapInArrow(_sets, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]), "shingle-sets")
-        labels = _labels(scratch, members, firsts.select("cls", "sketch"), sets)
+        texts = docs.hint("merge").join(firsts, "doc_id").select("cls", "text", "sketch")
+        sets = scratch.written(texts.mapInArrow(_sets, "cls bigint, sketch binary, shingles array<bigint>").dropDuplicates(["cls"]), "class-sets")
+        labels = _labels(scratch, members, sets.select("cls", "sketch"), sets.select("cls", "shingles"))
         classes = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("component"))
         classes = scratch.written(classes, "classes")
         smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -369,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = all_rows.select("doc_id", "text_hash", "n_shingles", F.when(~ruled, F.col("cls")).alias("cls")).join(named, "cls", "left")
         placed = placed.withColumn("component_id", F.coalesce("component_id", "doc_id"))
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-        return written(placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "component"), "near-duplicates")
+        return written(placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "component"), "near-duplicates", even=True)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def lines_of(docs: DataFrame, write: Callable = written) -> DataFrame:
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.octet_length(x).alias("bytes")))
     whole = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), hashed.alias("lines"))
-    return write(whole.dropDuplicates(["doc_id", "digest"]), "lines")
+    return write(whole.dropDuplicates(["doc_id", "digest"]), "lines", even=True)
 
 
 def common_lines(texts: DataFrame, rare_share: float = RARE_SHARE) -> np.ndarray:

@@ -23,15 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, even: bool) -> tuple[DataFrame, str]:
+    df = df.hint("rebalance") if even else df
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them again: computed once, kept if executors go."""
-    return _written(df, name)[0]
+def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
+    """Write the rows to the shared folder and read them again: computed once, kept if executors go.
+
+    even deals a small result of many tasks to few files of full size first."""
+    return _written(df, name, even)[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -49,8 +52,8 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = _written(df, name)
+    def written(self, df: DataFrame, name: str, even: bool = False) -> DataFrame:
+        table, path = _written(df, name, even)
         self.paths.append((table, path))
         return table
 
