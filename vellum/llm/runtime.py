@@ -62,6 +62,10 @@ class Scratch:
             delete(self.spark, path)
             self.paths.remove((table, path))
 
+    def release(self) -> None:
+        """Let shuffle files of finished steps go now: Spark deletes them when the driver collects its garbage."""
+        self.spark._jvm.System.gc()
+
     def __exit__(self, *_) -> None:
         self.drop(*[table for table, _ in self.paths])
 
