@@ -354,13 +354,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = own.select("cls", "sketch").mapInArrow(_band_rows, "bucket bigint, cls bigint")
         shared = rows.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
         members = scratch.written(rows.join(shared, "bucket", "left_semi").distinct(), "members", even=True)
-        scratch.release()
         needed = members.select("cls").distinct()
         # one row of each class before the join, so that copies do not travel
         firsts = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).join(needed, "cls", "left_semi")
         texts = docs.hint("merge").join(firsts, "doc_id").select("cls", "text", "sketch")
         sets = scratch.written(texts.mapInArrow(_sets, "cls bigint, sketch binary, shingles array<bigint>").dropDuplicates(["cls"]), "class-sets")
-        scratch.release()
         labels = _labels(scratch, members, sets.select("cls", "sketch"), sets.select("cls", "shingles"))
         classes = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("component"))
         classes = scratch.written(classes, "classes")

@@ -55,6 +55,7 @@ class Scratch:
     def written(self, df: DataFrame, name: str, even: bool = False) -> DataFrame:
         table, path = _written(df, name, even)
         self.paths.append((table, path))
+        self.release()
         return table
 
     def drop(self, *tables: DataFrame) -> None:
