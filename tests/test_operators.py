@@ -283,3 +283,21 @@ def test_poll_outcomes(spark):
 def test_batches_follow_the_order(spark):
     parts = spark.range(230).select((F.lit(229) - F.col("id")).alias("k")).repartition(3)
     assert sorted((r["k"], r["batch"]) for r in ingest.batches(parts, ["k"], 50).collect()) == [(k, k // 50) for k in range(230)]
+
+
+def test_report_of_a_rebuild(spark):
+    b = blocks(spark, (0, "b", "text", "甲①"), (0, "n", "page_footnote", "①②注"))
+    n = numbers(spark, 1)
+    notes = footnotes.footnotes(b, n)
+    counts = render.build_report(pages.body(b), render.renumber(pages.body(b).select("doc_id", "page_idx", "index", "text"), ["page_idx", "index"]), notes)
+    added = spark.createDataFrame([("d", 0, 2, "补")], "doc_id string, page_idx long, circ long, text string")
+    found = render.report_sections(counts, added=added, split=footnotes.split_notes(b, n), meta=audit.meta_notes(b, n))
+    assert listed(found, "section", "page", "value") == [
+        ("added", 0, "③ 补"),
+        ("counts", None, "n_blocks=1"),
+        ("counts", None, "n_marks=1"),
+        ("counts", None, "n_notes=2"),
+        ("counts", None, "n_used=1"),
+        ("split", 1, "①② 注"),
+        ("warning", None, "1 <> 2"),
+    ]

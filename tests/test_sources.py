@@ -1,6 +1,7 @@
 """Readers and sinks on hand-written folders."""
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,11 @@ def test_broken_json_is_reported(spark, tmp_path):
     found = layout.artifacts(layout.list_files(spark, str(tmp_path)))
     assert {r["doc_id"]: r["pdf_info"] for r in layout.read_json_documents(spark, found, "layout", layout.LAYOUT).collect()} == {"good": [], "bad": None}
     assert [r["doc_id"] for r in layout.broken_documents(spark, found, "layout", layout.LAYOUT).collect()] == ["bad"]
+
+
+def test_reports_keep_earlier_ones(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "doc_id string, n long")
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    names = [sinks.write_report(rows, str(tmp_path), at).rsplit("/", 1)[-1] for _ in range(3)]
+    assert names == ["report-20240506-070809", "report-20240506-070809-2", "report-20240506-070809-3"]
+    assert spark.read.json(str(tmp_path / names[2])).first()["n"] == 1

@@ -179,3 +179,31 @@ def build_report(lines: DataFrame, marks: DataFrame, notes: DataFrame) -> DataFr
     sums = [lines.groupBy("doc_id").agg(F.count("*").alias("n_blocks")), marks.groupBy("doc_id").agg(F.sum("n_marks").alias("n_marks"), F.sum("n_used").alias("n_used")), notes.groupBy("doc_id").agg(F.count("*").alias("n_notes"))]
     joined = sums[0].join(sums[1], "doc_id", "full").join(sums[2], "doc_id", "full").na.fill(0)
     return joined.select("doc_id", "n_blocks", "n_marks", "n_used", "n_notes", (F.col("n_used") == F.col("n_notes")).alias("balanced"))
+
+
+#: Sections of a report, and what stands for an entry's page and content.
+_ENTRIES = {
+    "added": ("page_idx", lambda: F.concat(F.coalesce(tx.mark_of(F.col("circ")), F.lit("")), F.lit(" "), F.col("text"))),
+    "split": ("pnum", lambda: F.concat_ws(" ", "marks", "note")),
+    "joined": ("pnum", lambda: F.concat_ws(" | ", "before", "after")),
+    "meta": ("pnum", lambda: F.col("text")),
+    "candidates": ("pnum", lambda: F.concat_ws(" | ", "before", "after")),
+}
+
+
+def report_sections(counts: DataFrame, **findings: DataFrame) -> DataFrame:
+    """doc_id, section, page, value: the report of a rebuild as one table.
+
+    counts is build_report's; each count is a row of section counts, named by
+    its value, and warning where references and notes differ in number. findings
+    are named by section: added, split, joined, meta, candidates."""
+    names = [c for c in counts.columns if c not in ("doc_id", "balanced")]
+    shown = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in names]
+    none = F.lit(None).cast("long").alias("page")
+    rows = counts.select("doc_id", F.lit("counts").alias("section"), none, F.explode(F.array(*shown)).alias("value"))
+    differ = F.concat_ws(" <> ", F.col("n_used").cast("string"), F.col("n_notes").cast("string"))
+    rows = rows.unionByName(counts.where("not balanced").select("doc_id", F.lit("warning").alias("section"), none, differ.alias("value")))
+    for section, found in findings.items():
+        page, value = _ENTRIES[section]
+        rows = rows.unionByName(found.select("doc_id", F.lit(section).alias("section"), F.col(page).cast("long").alias("page"), value().alias("value")))
+    return rows

@@ -367,9 +367,87 @@ _SQL: dict[str, tuple[str, str]] = {
         """, e AS (SELECT user_id::bigint AS batch, event_id % 3 AS file, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'done' END AS state FROM events)
            SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY batch, file ORDER BY seq) AS was FROM e) WHERE was IS DISTINCT FROM state""",
     ),
+    "layout_blocks": (
+        "",
+        r""", h AS (SELECT *, left(line, 20) AS a, rtrim(substr(line, 21)) AS b FROM L)
+           SELECT doc_id, page_idx, 'body' AS zone, (row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_no) - 1)::bigint AS ord, idx AS index, 'text' AS type, 1.0::double + idx AS x0, 2::bigint AS n_lines,
+                  trim(a || ltrim(b)) AS text FROM h
+           UNION ALL SELECT doc_id, page_idx, 'discarded', (row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_no) - 1)::bigint, 0, 'page_footnote', NULL, 0, 'n ' || left(line, 10) || '1' FROM L WHERE has_m""",
+    ),
+    "block_list_edges": (
+        "",
+        """, c AS (SELECT doc_id, page_idx, idx, lead(idx) OVER (PARTITION BY doc_id, page_idx ORDER BY idx) AS nxt FROM L WHERE (doc_id + page_idx) % 3 = 0)
+           SELECT doc_id, page_idx AS src_page, idx AS src_index, page_idx AS dst_page, nxt AS dst_index FROM c WHERE nxt IS NOT NULL""",
+    ),
+    "artifact_choice": (
+        "",
+        """, c AS (SELECT doc_id, 'layout' AS kind, CASE WHEN doc_id % 2 = 0 THEN 'layout.json' WHEN doc_id % 5 = 0 THEN 'result/layout.json' WHEN doc_id % 3 = 0 THEN 'a_middle.json' ELSE 'result/b_middle.json' END AS path FROM documents
+           UNION ALL SELECT doc_id, 'full_md', 'full.md' FROM documents WHERE doc_id % 7 = 0),
+           i AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'images' ELSE 'out/images' END AS path FROM documents)
+           SELECT doc_id::varchar AS doc, kind, path, length(path) AS size FROM c UNION ALL SELECT doc_id::varchar, 'images', path, length(path) + 6 FROM i""",
+    ),
+    "media_blocks": (
+        "",
+        """, m AS (SELECT doc_id, page_idx, line_no, left(regexp_replace(line, '[^A-Za-z]', '', 'g'), 20) AS w FROM L WHERE idx = 1),
+           p AS (SELECT *, CASE WHEN line_no % 7 = 0 THEN '<table>' || w || '</table>' WHEN line_no % 3 = 0 THEN '<table><b>' || w || '</table>' END AS html, CASE WHEN line_no % 2 = 0 THEN '![](images/p' || line_no || '.jpg)' END AS image FROM m)
+           SELECT doc_id, page_idx, CASE WHEN page_idx % 2 = 0 THEN 'image' ELSE 'table' END AS type,
+                  concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 2 = 0 AND w <> '' THEN '*' || w || '*' END, html, image, CASE WHEN html IS NULL AND image IS NULL THEN nullif(w, '') END, CASE WHEN line_no % 4 = 0 AND w <> '' THEN '<small>' || w || '</small>' END) AS md FROM p""",
+    ),
+    "source_sections": (
+        _B + _N + _PAGE_TEXT,
+        """SELECT doc_id, 'body' AS section, string_agg(text, '' ORDER BY page_idx) AS text FROM ptext GROUP BY doc_id
+           UNION ALL SELECT doc_id, 'notes', string_agg(regexp_replace(text, '^[①-⑳]', ''), '' ORDER BY page_idx, ord) FROM fnote WHERE text <> '' AND text NOT LIKE '收稿日期%' GROUP BY doc_id""",
+    ),
+    "product_sections": (
+        _MD,
+        r""", q AS (SELECT doc_id, replace(body, '# C', chr(10) || ' **bold**' || chr(10) || chr(10) || '# C') || chr(10) || chr(10) || '---' || chr(10) AS body, notes FROM md),
+           s AS (SELECT doc_id, 'body' AS section, body AS text FROM q UNION ALL SELECT doc_id, 'notes', notes FROM q)
+           SELECT doc_id, section, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<!--[^>]*-->', '', 'g'), '\[\^\d+\]:?', '', 'g'), '(?m)^\s*[>#]+\s*', '', 'g'), '\*\*|---', '', 'g') AS text FROM s""",
+    ),
+    "split_notes": (
+        _N + _P,
+        r"""SELECT doc_id, pnum AS page, regexp_extract(text, '^[①-⑳]+') || ' ' || trim(regexp_replace(regexp_replace(text, '^[①-⑳]+', ''), '\s{2,}', ' ', 'g')) AS value
+           FROM fnote LEFT JOIN pnum USING (doc_id, page_idx) WHERE length(regexp_extract(text, '^[①-⑳]+')) > 1""",
+    ),
+    "page_joins": (
+        _B + _P + _E + _RENDER + _SEAMS,
+        r""", run AS (SELECT *, coalesce(string_agg(bare, '' ORDER BY k) OVER (PARTITION BY doc_id, head ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS so_far, lead(bare) OVER (PARTITION BY doc_id, head ORDER BY k) AS nxt FROM headed)
+           SELECT doc_id, regexp_extract(bare, '(-?\d+)', 1)::bigint AS page, concat_ws(' | ', right(so_far, 26), left(nxt, 26)) AS value FROM run WHERE anchor""",
+    ),
+    "tags_outside_code": (_MD, "SELECT doc_id, 'tags' AS rule, (2 * len(regexp_extract_all(text, '<sub>x</sub>')))::varchar AS detail FROM md WHERE contains(text, '<sub>x</sub>')"),
+    "missing_images": (
+        "",
+        r""", w AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS pos, unnest(r) AS word FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z]+)\.', 1) AS r FROM documents WHERE text IS NOT NULL)),
+           g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM w WHERE length(word) % 2 = 0)
+           SELECT doc_id, 'missing_image' AS rule, string_agg('images/' || word || '.png', ',' ORDER BY pos) AS detail FROM g WHERE k <= 5 GROUP BY doc_id""",
+    ),
+    "added_notes": (
+        _N + _P,
+        r""", s AS (SELECT doc_id, page_idx, ord, regexp_extract(text, '^[①-⑳]+') AS m, trim(regexp_replace(regexp_replace(text, '^[①-⑳]+', ''), '\s{2,}', ' ', 'g')) AS note FROM fnote WHERE text <> '' AND text NOT LIKE '收稿日期%'),
+           x AS (SELECT doc_id, page_idx, ord, note, unnest(CASE WHEN m = '' THEN [''] ELSE string_split(m, '') END) AS c, unnest(range(1, greatest(length(m), 1) + 1)) AS sub FROM s),
+           y AS (SELECT doc_id, page_idx, 0 AS late, ord, sub, CASE WHEN c <> '' THEN ascii(c) - 9312 END::bigint AS circ, note FROM x
+             UNION ALL SELECT doc_id, doc_id % 9, 1, 1, 0, doc_id % 20, 'lost: ' || doc_id FROM documents WHERE doc_id % 6 <> 5),
+           z AS (SELECT *, CASE WHEN bool_and(circ IS NOT NULL) OVER (PARTITION BY doc_id, page_idx) THEN circ ELSE 0 END AS k FROM y)
+           SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, k, late, ord, sub) AS n, page_idx, pnum, circ, note FROM z JOIN pnum USING (doc_id, page_idx)""",
+    ),
+    "file_keys": (
+        _FILES,
+        """SELECT file_id, left(sha256(name || '|' || bytes || '|' || file_id), 12) AS fingerprint, 'a／b-' || name || '--' AS safe, file_id % 5 IN (2, 4) AS inside,
+                  CASE WHEN file_id % 3 <> 0 THEN file_id + 9.5::double END AS rect_sum, file_id || '+7+8' AS numbers FROM files""",
+    ),
+    "fetch_actions": (
+        "",
+        """, e AS (SELECT event_id AS file, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'done' END AS state FROM events)
+           SELECT file, CASE WHEN file % 11 <> 0 THEN 'id' || file END AS data_id,
+                  CASE WHEN file % 6 = 0 THEN 'keep' WHEN state = 'failed' THEN 'failed' WHEN state = 'running' THEN 'wait' WHEN file % 4 = 0 THEN 'missing_url' ELSE 'fetch' END AS action, CASE WHEN state = 'failed' THEN 'no pages' ELSE '' END AS error FROM e""",
+    ),
 }
 
 
+#: Parts of other queries.
+_PARTS = ("split_notes", "page_joins")
+
+
 def _composed(sql: dict[str, str]) -> dict[str, str]:
     """Queries over the results of others."""
     checks = {"enumeration": "enum_runs", "misfiled": "misfiled_notes", "break": "break_candidates", "same_page": "same_page_merges", "flat_titles": "flat_titles", "truncation": "truncation", "formula": "formula_noise"}
@@ -382,7 +460,28 @@ def _composed(sql: dict[str, str]) -> dict[str, str]:
         FROM (SELECT doc_id, arg_min(pnum, page_idx) AS pnum FROM ({sql["page_number_map"]}) GROUP BY doc_id) p
         LEFT JOIN (SELECT doc_id, string_agg(md, {gap} ORDER BY pos) AS body FROM ({sql["seam_join"]}) GROUP BY doc_id) b USING (doc_id)
         LEFT JOIN (SELECT doc_id, string_agg({note}, '' ORDER BY n) AS notes FROM ({sql["footnotes_expanded"]}) GROUP BY doc_id) n USING (doc_id)"""
+    contents = r"[…·．.]{3,}\s*[(（]?\d+[)）]?\s*$|^\S{0,20}[…·．.]{3,}"
+    dotted = "dotted AS (SELECT * REPLACE (CASE WHEN (doc_id + page_idx) % 3 = 0 THEN text || ' ………12' ELSE text END AS text) FROM body)"
+    plain = f"AND NOT regexp_matches(lt, '{contents}') AND NOT regexp_matches(nt, '{contents}') AND NOT EXISTS"
+    counts = {"n_blocks": "rendered_blocks", "n_notes": "added_notes"}
+    sums = [f"SELECT doc_id, '{name}' AS name, count(*) AS n FROM ({sql[query]}) GROUP BY doc_id" for name, query in counts.items()]
+    sums += [f"SELECT doc_id, '{name}', sum(length(text) - length(regexp_replace(text, '[①-⑳]', '', 'g'))) FROM ({sql['body_blocks']}) GROUP BY doc_id" for name in ("n_marks", "n_used")]
+    names = "(VALUES ('n_blocks'), ('n_marks'), ('n_used'), ('n_notes')) t(name)"
+    added = "SELECT doc_id, doc_id % 9 AS page, substr('@C', (doc_id % 20 + 1)::int, 1) || ' lost: ' || doc_id AS value FROM documents WHERE doc_id % 6 <> 5".replace("@C", CIRCLED)
+    findings = {
+        "added": added,
+        "split": sql["split_notes"],
+        "joined": sql["page_joins"],
+        "meta": f"SELECT doc_id, pnum AS page, text AS value FROM ({sql['meta_notes']})",
+        "candidates": f"SELECT doc_id, pnum AS page, before || ' | ' || after AS value FROM ({sql['break_candidates']})",
+    }
     return {
+        "build_sections": f"""WITH s AS ({" UNION ALL ".join(sums)}), c AS (SELECT doc_id, name, coalesce(sum(n), 0)::bigint AS n FROM (SELECT DISTINCT doc_id FROM s) CROSS JOIN {names} LEFT JOIN s USING (doc_id, name) GROUP BY doc_id, name)
+            SELECT doc_id, 'counts' AS section, NULL::bigint AS page, name || '=' || n AS value FROM c
+            UNION ALL SELECT u.doc_id, 'warning', NULL, u.n || ' <> ' || x.n FROM c u JOIN c x ON x.doc_id = u.doc_id AND x.name = 'n_notes' WHERE u.name = 'n_used' AND u.n <> x.n
+            {"".join(f" UNION ALL SELECT doc_id, '{section}', page::bigint, value FROM ({query})" for section, query in findings.items())}""",
+        "contents_breaks": sql["break_candidates"].replace(", e AS (SELECT pg.", f", {dotted}, e AS (SELECT pg.").replace("FROM body WHERE type", "FROM dotted WHERE type").replace("AND NOT EXISTS", plain),
+        "fetch_status": f"SELECT CASE WHEN bool_or(action IN ('failed', 'missing_url')) THEN 2 ELSE 0 END::int AS code FROM ({sql['fetch_actions']})",
         "preflight": f"SELECT count(DISTINCT file_id) AS files, count(*) AS parts, sum(pages)::bigint AS pages, count(*) FILTER (oversize) AS oversize FROM ({sql['upload_parts']})",
         "check_summary": " UNION ALL ".join(rows),
         "assembled": assembled,
@@ -396,4 +495,5 @@ def oracle_sql() -> dict[str, str]:
         head = f"WITH RECURSIVE {_LINES}{views}"
         more = query.lstrip()
         found[name] = (head + (more if more.startswith(",") else f"\n{more}")).replace("@C", CIRCLED)
-    return found | _composed(found)
+    more = _composed(found)
+    return {name: query for name, query in (found | more).items() if name not in _PARTS}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import audit, diff, footnotes, ingest, merge, pages, render, seam, split, verify
-from vellum.profile import LATIN_PROFILE
+from vellum.profile import CONTENTS_LINE, LATIN_PROFILE
 from vellum.session import configure
-from vellum.sources import derived
+from vellum.sources import derived, inputs, layout
 from vellum.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +79,17 @@ class Corpus:
 
     @cached_property
     def seamless(self) -> DataFrame:
-        """Rendered lines with their anchors, joined across pages."""
-        lines = staged(render.anchored(staged(self.rendered, "rendered"), self.staged.numbers), "lines")
-        return seam.join_page_breaks(lines, LATIN_PROFILE)
+        """Rendered lines joined across pages."""
+        return seam.join_page_breaks(self.lines, LATIN_PROFILE)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Rendered lines with their anchors, written once."""
+        return staged(render.anchored(staged(self.rendered, "rendered"), self.staged.numbers), "lines")
+
+    @cached_property
+    def page_joins(self) -> DataFrame:
+        return seam.page_joins(self.lines, LATIN_PROFILE)
 
     @cached_property
     def files(self) -> DataFrame:
@@ -96,6 +104,21 @@ class Corpus:
         state = F.expr("CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'done' END")
         return rows.select(F.col("user_id").cast("long").alias("batch"), (F.col("event_id") % 3).alias("file"), F.col("event_id").alias("seq"), state.alias("state"))
 
+    @cached_property
+    def added(self) -> DataFrame:
+        """Notes typed in by hand."""
+        note = inputs.lost_notes(self.documents).select("doc_id", tx.parse_added_note(F.col("spec")).alias("a"))
+        return note.where("a is not null").select("doc_id", "a.page_idx", "a.circ", "a.text")
+
+    @cached_property
+    def polled(self) -> DataFrame:
+        """What a poll says of each file, and which files are down already."""
+        state = F.expr("CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'done' END")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").select(F.col("event_id").alias("file"), state.alias("state"), F.when(F.col("event_id") % 4 > 0, "u").alias("url"), F.when(F.col("event_id") % 5 == 0, "no pages").alias("error"))
+        down = rows.where("file % 3 = 0").select("file", (F.col("file") % 2 == 0).alias("downloaded"))
+        parts = rows.where("file % 11 <> 0").select("file", F.concat(F.lit("id"), F.col("file").cast("string")).alias("data_id"))
+        return ingest.reconcile(rows, down, parts)
+
     @cached_property
     def ledger(self) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
@@ -427,5 +450,105 @@ def check_summary(c: Corpus) -> DataFrame:
     return audit.checks(c.blocks, c.pages, c.numbers, c.edges, LATIN_PROFILE)
 
 
+@_query
+def layout_blocks(c: Corpus) -> DataFrame:
+    """Blocks of parser JSON."""
+    return layout.blocks_of(inputs.layouts(c.documents)).select("doc_id", F.col("page_idx").cast("long").alias("page_idx"), "zone", "ord", "index", "type", "x0", "n_lines", "text")
+
+
+@_query
+def block_list_edges(c: Corpus) -> DataFrame:
+    """Edges of connections of several blocks, from block lists."""
+    lists = inputs.block_lists(c.documents)
+    return merge.merge_edges(layout.block_positions(lists), layout.merge_connections(lists))
+
+
+@_query
+def artifact_choice(c: Corpus) -> DataFrame:
+    return layout.artifacts(inputs.listings(c.documents))
+
+
+@_query
+def media_blocks(c: Corpus) -> DataFrame:
+    parts = F.array(*render.media_markdown())
+    rows = inputs.media(c.documents)
+    return rows.select("doc_id", "page_idx", "type", F.array_join(F.filter(parts, lambda x: x != ""), "\n\n").alias("md"))
+
+
+@_query
+def contents_breaks(c: Corpus) -> DataFrame:
+    """Cut paragraphs where some blocks are lines of a table of contents, which are none."""
+    dotted = F.when(F.expr("(doc_id + page_idx) % 3 = 0"), F.concat("text", F.lit(" ………12"))).otherwise(F.col("text"))
+    return audit.break_candidates(c.pages, c.blocks.withColumn("text", dotted), c.numbers, c.edges, replace(LATIN_PROFILE, contents_line=CONTENTS_LINE))
+
+
+@_query
+def source_sections(c: Corpus) -> DataFrame:
+    return diff.source_sections(c.blocks)
+
+
+@_query
+def product_sections(c: Corpus) -> DataFrame:
+    return diff.product_sections(inputs.marked_up(c.markdown))
+
+
+@_query
+def tags_outside_code(c: Corpus) -> DataFrame:
+    return verify.problems(inputs.with_code(c.markdown)).where("rule = 'tags'")
+
+
+@_query
+def missing_images(c: Corpus) -> DataFrame:
+    """Every other length of path has a file."""
+    docs = inputs.illustrated(c.documents)
+    return verify.missing_images(docs, verify.image_references(docs).where("length(path) % 2 = 0"))
+
+
+@_query
+def added_notes(c: Corpus) -> DataFrame:
+    return footnotes.footnotes(c.blocks, c.numbers, c.added)
+
+
+@_query
+def build_sections(c: Corpus) -> DataFrame:
+    """The rebuild's report of every document."""
+    own = c.staged
+    body = pages.body(own.blocks).select("doc_id", "page_idx", "index", "text")
+    return render.report_sections(
+        render.build_report(c.rendered, render.renumber(body, ["page_idx", "index"]), footnotes.footnotes(own.blocks, own.numbers, c.added)),
+        added=c.added,
+        split=footnotes.split_notes(own.blocks, own.numbers),
+        joined=c.page_joins,
+        meta=audit.meta_notes(own.blocks, own.numbers),
+        candidates=audit.break_candidates(own.pages, own.blocks, own.numbers, own.edges, LATIN_PROFILE),
+    )
+
+
+@_query
+def file_keys(c: Corpus) -> DataFrame:
+    """Cache keys, names, archive paths and rectangles of files."""
+    text = F.col("file_id").cast("string")
+    path = F.expr("CASE file_id % 5 WHEN 0 THEN 'a/../../b' WHEN 1 THEN '/a' WHEN 2 THEN 'a/../b' WHEN 3 THEN 'C:/a' ELSE 'a/b' END")
+    rect = tx.parse_rect(F.concat(text, F.lit("， 2,"), F.when(F.col("file_id") % 3 == 0, "x").otherwise("3.5"), F.lit(",4")))
+    return c.files.select(
+        "file_id",
+        tx.fingerprint(F.col("name"), F.col("bytes").cast("string"), text).alias("fingerprint"),
+        tx.safe_name(F.concat(F.lit(" a/b:"), F.col("name"), F.lit('?"'))).alias("safe"),
+        tx.member_is_inside(path).alias("inside"),
+        F.aggregate(rect, F.lit(0.0), lambda a, x: a + x).alias("rect_sum"),
+        F.array_join(F.transform(tx.parse_numbers(F.concat(text, F.lit("，7, 8,"))), lambda x: x.cast("string")), "+").alias("numbers"),
+    )
+
+
+@_query
+def fetch_actions(c: Corpus) -> DataFrame:
+    return c.polled
+
+
+@_query
+def fetch_status(c: Corpus) -> DataFrame:
+    return ingest.exit_code(c.polled)
+
+
 def queries() -> dict[str, Query]:
     return dict(_registered)

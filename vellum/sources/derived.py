@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import mark_of
 
 
-def _lines(documents: DataFrame) -> DataFrame:
+def lines_of(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
     rows = rows.withColumns({"line_no": F.col("line_no").cast("long"), "page_idx": F.expr("cast(line_no div 5 as bigint)"), "idx": F.expr("cast(line_no % 5 as bigint)"), "has_m": F.expr("(doc_id + line_no) % 3 <> 0")})
     page = Window.partitionBy("doc_id", "page_idx").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -20,12 +20,12 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    return _lines(documents).select("doc_id", "page_idx").distinct()
+    return lines_of(documents).select("doc_id", "page_idx").distinct()
 
 
 def blocks(documents: DataFrame) -> DataFrame:
     """The canonical blocks: body, page_footnote and page_number."""
-    lines = _lines(documents)
+    lines = lines_of(documents)
     title = (F.col("idx") == 0) & (F.col("page_idx") % 2 == 0)
     shape = F.expr("(page_idx div 2) % 3")
     prefix = F.when(title, F.when(shape == 0, "第一章 ").when(shape == 1, "一、").otherwise("1. ")).otherwise("")
@@ -66,7 +66,7 @@ def blocks(documents: DataFrame) -> DataFrame:
 
 
 def edges(documents: DataFrame) -> DataFrame:
-    lines = _lines(documents)
+    lines = lines_of(documents)
     ends = lines.groupBy("doc_id", "page_idx").agg(F.max("idx").alias("last"), F.min("idx").alias("first"))
     after = ends.select("doc_id", (F.col("page_idx") - 1).alias("page_idx"), F.col("first").alias("dst_index"))
     across = ends.join(after, ["doc_id", "page_idx"]).where(F.expr("(doc_id + page_idx) % 5 in (0, 1)"))
@@ -83,7 +83,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown(documents: DataFrame) -> DataFrame:
     """doc_id, text: finished Markdown with chapters, anchors, references and notes, some of them wrong on purpose."""
-    lines = _lines(documents)
+    lines = lines_of(documents)
     page = Window.partitionBy("doc_id", "page_idx").orderBy("line_no")
     lines = lines.withColumn("_first", F.row_number().over(page) == 1)
     number = F.expr("page_idx + 1 - if((doc_id + page_idx) % 7 = 0, 1, 0)").cast("string")

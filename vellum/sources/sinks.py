@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from itertools import chain, count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,13 @@ def write_documents(rows: DataFrame, path: str) -> None:
 def write_chapters(files: DataFrame, path: str) -> None:
     """A folder for each document and file."""
     files.select("doc_id", "file", _line(files)).write.mode("overwrite").partitionBy("doc_id", "file").text(path)
+
+
+def write_report(rows: DataFrame, folder: str, at: datetime) -> str:
+    """Rows as JSON lines under a name with the time, never over an earlier report; the path."""
+    path = f"{folder.rstrip('/')}/report-{at:%Y%m%d-%H%M%S}"
+    paths = rows.sparkSession._jvm.org.apache.hadoop.fs
+    taken = lambda p: paths.Path(p).getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).exists(paths.Path(p))
+    free = next(p for p in chain([path], (f"{path}-{k}" for k in count(2))) if not taken(p))
+    rows.write.json(free)
+    return free
