@@ -28,7 +28,7 @@ SENTENCE_MARKS = "。，、；：？！"
 FORMULA_KINDS = (("inline", r"\$[^$]{1,40}\$"), ("percent", r"\\%"), ("tilde", r"\\sim"), ("operator", r"\\(?:times|approx|pm|circ|cdot)"), ("script", r"[\^_]\{"))
 NOTES_HEADING = "注释"
 PROPERTY_NAMES = (("标签", "tags"), ("别名", "aliases"), ("样式", "cssclasses"))
-FILE_NAME_FROM, FILE_NAME_TO = '/\\:*?"<>|', "／--------"
+FILE_NAME_FROM, FILE_NAME_TO = '\\/:*?"<>|', "-／-------"
 
 
 @dataclass(frozen=True)
