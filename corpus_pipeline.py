@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import attention_mil, budget, fm_index, hilbert, hyperminhash
-from vellum.llm.runtime import Scratch, unused, written
+from vellum.llm.runtime import Scratch, unused, written  # noqa: F401  written: for the tests
 
 #: Relative weights of the mixture; a value that is not named weighs 1.
 MIX_WEIGHTS: dict[str, dict[str, int]] = {"domain": {}, "lang": {"en": 4, "fr": 1, "de": 1, "es": 1}, "source": {}}
@@ -49,9 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     levels = {"domain": budget.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
-    mixed = budget.mix(docs.select("doc_id", "text", "lang", "source"), levels, MIX_WEIGHTS, tokens=budget.tokens_of(F.col("text")), budget_percent=MIX_PERCENT, epochs=1)
-    taken = written(mixed.where("copies > 0 and doc_id is not null").select("doc_id"), "mix-taken")
-    return docs.join(taken.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return budget.drawn(docs, levels, MIX_WEIGHTS, tokens=budget.tokens_of(F.col("text")), budget_percent=MIX_PERCENT)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

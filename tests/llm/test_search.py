@@ -183,6 +183,22 @@ def test_ties_and_repeated_rows_of_a_mixture(spark, monkeypatch):
         budget.mix(docs, {"n_tokens": F.lit("x")}, {}, tokens=F.lit(1))
 
 
+def test_drawn_rows_are_those_of_the_mixture(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(budget, "PIECE_ROWS", 5)
+    texts = [(k, "a " * (k % 7), None if k % 5 == 0 else "en", f"src{k % 3}", k % 2) for k in range(200)]
+    texts += [(3, "a " * 60, "en", "src0", 1), (None, "x y", "en", "src1", 0), (201, None, None, None, 0), (202, "lone", "fr", None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, Epochs int")
+    levels = {"domain": budget.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    for percent in (0, 37, 90, 100):
+        mixed = budget.mix(docs, levels, {"lang": {"en": 4}}, tokens=budget.tokens_of(F.col("text")), budget_percent=percent, epochs=1)
+        expected = sorted((r["doc_id"], r["n_tokens"]) for r in mixed.where("copies > 0 and doc_id is not null").collect())
+        found = budget.drawn(docs, levels, {"lang": {"en": 4}}, tokens=budget.tokens_of(F.col("text")), budget_percent=percent)
+        assert found.columns == docs.columns
+        assert sorted((r["doc_id"], len((r["text"] or "").split())) for r in found.collect()) == expected
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
+    assert budget.drawn(docs.where("false"), levels, {}, tokens=budget.tokens_of(F.col("text"))).count() == 0
+
+
 def test_rows_that_repeat_a_query_leave_room_for_its_neighbours():
     tree = kd_search.KDTree(np.array([1, 1, 1, 2, 3]), np.ones((5, 2), np.int64), 2)
     assert sorted(tree.search(1, np.ones(2, np.int64), 2, None)) == [(2, -3), (2, -2)]

@@ -10,9 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import attention_mil, context_mixing, fm_index, hyperminhash, patience, ppm
+from vellum.llm import attention_mil, context_mixing, fm_index, hyperminhash, keybits, patience, ppm
 from vellum.llm import textbytes as tb
-from vellum.llm.runtime import Scratch
+from vellum.llm.runtime import Scratch, written
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = [None, "", " \n\t ", "x", "Ü ß　é", "a" * 5000, "one two three four", "|||", "new\nline\n\n", "word " * 3000]
@@ -147,6 +147,42 @@ def test_one_row_of_each_component_stays(spark):
     assert hyperminhash.deduplicated(docs.where("false")).count() == 0
 
 
+def shuffled_bytes(spark, work):
+    """Bytes that the stages of this work write for shuffles."""
+    store = spark._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None))}
+    before = set(stages())
+    work()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_texts_that_are_alone_are_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 1000)) for _ in range(400)]
+    docs = frame(spark, texts + texts[:3])
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, out = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "kept")
+    moved = shuffled_bytes(spark, lambda: hyperminhash.deduplicated(docs).write.parquet(out))
+    assert sorted(r["doc_id"] for r in spark.read.parquet(out).select("doc_id").collect()) == list(range(400))
+    assert moved < sum(map(len, texts)) / 3
+
+
+@pytest.mark.parametrize("most", [1 << 13, 1 << 27])
+def test_key_bits_lose_no_key(spark, monkeypatch, most):
+    monkeypatch.setattr(keybits, "MOST_BITS", most)
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 3).alias("key"), F.lit("x").alias("chunk"))
+    keys = rows.where("id % 20 < 1").select("key")
+    bits = keybits.key_bits(written, keys, "key")
+    found = keybits.possible(rows, bits, "key")
+    assert found.columns == rows.columns
+    ids = {r["id"] for r in found.collect()}
+    assert ids >= set(range(0, 60_000, 20))
+    assert most == 1 << 13 or len(ids - set(range(0, 60_000, 7))) < 3000 + 57_000 / 20
+    nothing = keybits.key_bits(written, keys.where("false"), "key")
+    assert keybits.possible(rows, nothing, "key").count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     with Scratch(spark) as scratch:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.runtime import written
+from vellum.llm.runtime import unused, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 NULL_NAME = "(null)"
@@ -53,6 +53,15 @@ def _weight(level: Column, weights: dict[str, int]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), level), F.lit(1)).cast("long")
 
 
+def _order(seed: int, epochs: Column, doc_id: Column) -> Column:
+    """A document's place in the order of an epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epochs.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(NULL_NAME))))
+
+
+def _leaf(levels: dict[str, Column]) -> list[Column]:
+    return [F.coalesce(c.cast("string"), F.lit(NULL_NAME)).alias(n) for n, c in levels.items()]
+
+
 def _wide(x: Column) -> Column:
     return x.cast("decimal(19,0)")
 
@@ -99,7 +108,7 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, i
     names = list(levels)
     if taken := RESERVED & {n.lower() for n in names}:
         raise ValueError(f"levels may not be named {sorted(taken)}")
-    slim = df.select(F.col("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NULL_NAME)).alias(n) for n, c in levels.items()], tokens.alias("n_tokens"))
+    slim = df.select(F.col("doc_id"), *_leaf(levels), tokens.alias("n_tokens"))
     slim = written(slim, "mix-documents")
     leaves = written(slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("_rows")), "mix-leaves")
     targets = leaf_targets(leaves.drop("_rows"), names, weights, budget_percent, epochs)
@@ -107,7 +116,7 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, i
     small = targets.count() <= BROADCAST_LEAVES
     planned = slim.join(F.broadcast(targets) if small else targets, names)
     planned = planned.withColumns({"full_epochs": F.expr("coalesce(target div nullif(tokens, 0), 0)"), "_owed": F.expr("coalesce(target % nullif(tokens, 0), 0)")})
-    planned = planned.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NULL_NAME)))))
+    planned = planned.withColumn("_order", _order(seed, F.col("full_epochs"), F.col("doc_id")))
     # pieces follow the order, as equal shares of its first 32 bits
     pieces = F.ceil(F.col("_rows") / F.lit(PIECE_ROWS)).cast("long")
     planned = planned.withColumn("_piece", F.shiftright(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * pieces, 32))
@@ -121,3 +130,22 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, i
     upto = Window.partitionBy(*place).orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     planned = planned.withColumn("in_prefix", F.col("_before") + F.sum("n_tokens").over(upto) <= F.col("_owed"))
     return planned.select("doc_id", *names, "n_tokens", F.col("target").alias("leaf_target"), "full_epochs", "in_prefix", (F.col("full_epochs") + F.col("in_prefix").cast("long")).alias("copies"))
+
+
+def drawn(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], *, tokens: Column, seed: int = 7, budget_percent: int = 60) -> DataFrame:
+    """The rows with a doc_id, with all their columns, that the mixture of one epoch (mix) holds.
+
+    What a leaf gives ends at one place of its order, so each row is told by its
+    own place and that end: only the table of leaves travels. Rows of one leaf
+    that agree in doc_id and tokens stay or go together."""
+    mixed = mix(df, levels, weights, tokens=tokens, seed=seed, budget_percent=budget_percent, epochs=1)
+    names = unused(df, *levels)
+    of, end = unused(df.select("*", *[F.lit(0).alias(n) for n in names]), "epochs", "end")
+    place = F.struct(_order(seed, F.col("full_epochs"), F.col("doc_id")).alias("order"), F.col("n_tokens").alias("tokens"))
+    ends = mixed.where("copies > 0").groupBy(*[F.col(n).alias(own) for n, own in zip(levels, names, strict=True)]).agg(F.max("full_epochs").alias(of), F.max(place).alias(end))
+    ends = written(ends, "mix-ends")
+    rows = df.where("doc_id is not null").withColumns(dict(zip(names, _leaf(levels), strict=True)))
+    rows = rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_LEAVES else ends, names)
+    order, last = _order(seed, F.col(of), F.col("doc_id")), F.col(end)["order"]
+    # the tokens are counted only where they decide
+    return rows.where((order < last) | ((order == last) & (tokens <= F.col(end)["tokens"]))).select(df.columns)

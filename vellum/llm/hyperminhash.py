@@ -26,6 +26,10 @@ A pair at the threshold shares a band with probability above 1 - 1e-6. The work
 of the last step grows with members times outsiders of the same bucket that the
 shingle counts leave, which a bucket of mutually different texts does not have.
 
+Whole texts are not shuffled for the sets, which are worked out where a text is
+read; bits of the wanted keys (keybits.py) keep other rows out of the shuffles of
+band rows and sets. In deduplicated only rows whose component may hold others travel.
+
 Written tables are deleted as soon as the next ones stand.
 
 Defined results: null, empty and wordless texts have no shingle and are linked
@@ -44,6 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import textbytes as tb
+from vellum.llm.keybits import key_bits, marked, possible
 from vellum.llm.runtime import Scratch, unused, written
 
 WIDTH = 5
@@ -177,16 +182,15 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of texts, of those that have the digest which is asked for."""
+    """Sets of texts, each with its digest and size."""
     for batch in batches:
-        asked = batch.column(0).to_numpy()
-        data, offsets = tb.utf8(batch.column(1))
-        for k in range(len(asked)):
+        data, offsets = tb.utf8(batch.column(0))
+        for k in range(batch.num_rows):
             own = data[offsets[k] : offsets[k + 1]]
             codes, first, lost = shingle_sets(own, np.array([0, len(own)]))
-            if set_digests(codes, first, lost)[0] == asked[k]:
+            if len(codes):
                 shingles = pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array((codes << np.uint64(lost)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), shingles], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(codes, first, lost)), pa.array([len(codes)]), shingles], names=["cls", "size", "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +272,13 @@ def _across(key: tuple, members: pa.Table) -> pa.Table:
 
 def _shared_counts(classes: DataFrame, sets: DataFrame) -> DataFrame:
     """cls, label, size of the set, and an upper bound (shared) of its shingles that other components hold too; classes has cls and label."""
-    own = classes.join(sets, "cls")
-    shingles = own.select("cls", "label", F.explode("shingles").alias("shingle"))
+    shingles = classes.join(sets.select("cls", "shingles"), "cls").select("cls", "label", F.explode("shingles").alias("shingle"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "cls") for f in (F.min, F.max)]
     alone = shingles.groupBy("shingle").agg(*ends).where("min_label = max_label")
     # of the classes of one component that hold a shingle, two are named without a join
     alone = alone.select(F.explode(F.array_distinct(F.array("min_cls", "max_cls"))).alias("cls")).groupBy("cls").agg(F.count("*").alias("alone"))
-    size = F.size("shingles").cast("long")
-    return own.join(alone, "cls", "left").select("cls", "label", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("shared"))
+    own = classes.join(sets.select("cls", "size"), "cls").join(alone, "cls", "left")
+    return own.select("cls", "label", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def _across_links(members: DataFrame, sketch_of: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,7 +298,7 @@ def _across_links(members: DataFrame, sketch_of: DataFrame, sets: DataFrame) ->
     as_many = F.transform(each[0], lambda p: pair(p, own[1], False))
     met = member.withColumn("at", F.explode(F.concat(F.coalesce(as_few, F.array().cast("array<struct<p:int,q:int,few:boolean>>")), as_many)))
     met = met.select("bucket", "at.p", "at.q", "at.few", "outside", "cls", "label", "size", "shared")
-    met = met.join(sketch_of.join(sets, "cls"), "cls")
+    met = met.join(sketch_of.join(sets.select("cls", "shingles"), "cls"), "cls")
     return met.groupBy("bucket", "p", "q").applyInArrow(_across, "a bigint, b bigint").distinct()
 
 
@@ -309,6 +312,8 @@ def _both_ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 def _confirm(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs that reach the threshold on their full sets."""
     pairs = scratch.written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    sets = possible(sets, key_bits(scratch.written, ends, "cls"), "cls")
     found = scratch.written(_both_ends(pairs, sets, "shingles").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
     scratch.drop(pairs)
     return found
@@ -326,10 +331,11 @@ def _labels(scratch: Scratch, members: DataFrame, sketch_of: DataFrame, sets: Da
     labelled = scratch.written(members.join(labels, "cls"), "labelled")
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     unsettled = scratch.written(labelled.join(apart, "bucket", "left_semi").select("cls", "label").distinct(), "unsettled")
-    able = _shared_counts(unsettled, sets).where(100 * F.col("shared") >= THRESHOLD_PERCENT * F.col("size"))
+    able = _shared_counts(unsettled, possible(sets, key_bits(scratch.written, unsettled, "cls"), "cls")).where(100 * F.col("shared") >= THRESHOLD_PERCENT * F.col("size"))
     able = scratch.written(able, "able")
     across = labelled.select("bucket", "cls").join(able, "cls")
-    more = scratch.written(_across_links(across, sketch_of, sets), "links")
+    bits = key_bits(scratch.written, able, "cls")
+    more = scratch.written(_across_links(across, possible(sketch_of, bits, "cls"), possible(sets, bits, "cls")), "links")
     if more.isEmpty():
         return labels
     # links between components, as links between their labels
@@ -343,9 +349,9 @@ def _labels(scratch: Scratch, members: DataFrame, sketch_of: DataFrame, sets: Da
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (columns doc_id, text).
 
-    Also text_hash (xxhash64 of the text) and component, a name of the component
-    that no other has, even if repeated doc_ids give them one component_id; null
-    for what is linked with nothing by rule."""
+    Also text_hash (xxhash64 of the text), component, a name of the component
+    that no other has, even if repeated doc_ids give them one component_id, and
+    component_rows, how many rows it has; both null for what is linked with nothing by rule."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:
         hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -353,23 +359,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         own = all_rows.where("n_shingles > 0 and doc_id is not null")
         rows = own.select("cls", "sketch").mapInArrow(_band_rows, "bucket bigint, cls bigint")
         shared = rows.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
-        members = scratch.written(rows.join(shared, "bucket", "left_semi").distinct(), "members")
+        shared = scratch.written(shared, "shared-buckets")
+        bits = key_bits(scratch.written, shared, "bucket")
+        members = scratch.written(possible(rows, bits, "bucket").join(shared, "bucket", "left_semi").distinct(), "members")
+        scratch.drop(shared)
         needed = members.select("cls").distinct()
         # one row of each class before the join, so that copies do not travel
         firsts = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).join(needed, "cls", "left_semi")
         firsts = scratch.written(firsts, "class-sketches")
-        texts = docs.hint("merge").join(firsts.select("doc_id", "cls"), "doc_id").select("cls", "text")
-        sets = scratch.written(texts.mapInArrow(_sets, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]), "shingle-sets")
+        texts = possible(docs.where("doc_id is not null"), key_bits(scratch.written, firsts, "doc_id"), "doc_id").select("text")
+        sets = possible(texts.mapInArrow(_sets, "cls bigint, size bigint, shingles array<bigint>"), key_bits(scratch.written, firsts, "cls"), "cls")
+        sets = scratch.written(sets.dropDuplicates(["cls"]), "shingle-sets")
         labels = _labels(scratch, members, firsts.select("cls", "sketch"), sets)
-        classes = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("component"))
+        classes = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")).join(labels, "cls", "left").select("cls", "doc_id", "rows", F.coalesce("label", "cls").alias("component"))
         classes = scratch.written(classes, "classes")
-        smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        named = classes.join(smallest, "component").select("cls", "component_id", "component")
+        smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("component_rows"))
+        named = classes.join(smallest, "component").select("cls", "component_id", "component", "component_rows")
         ruled = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
         placed = all_rows.select("doc_id", "text_hash", "n_shingles", F.when(~ruled, F.col("cls")).alias("cls")).join(named, "cls", "left")
         placed = placed.withColumn("component_id", F.coalesce("component_id", "doc_id"))
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-        return written(placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "component"), "near-duplicates")
+        return written(placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "component", "component_rows"), "near-duplicates")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -378,11 +388,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Of rows with equal doc_id and text the one with the smallest hash of all
     columns stays. Rows without doc_id or words are linked with nothing and stay."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    doc_id, text_hash, row = unused(docs, "doc_id_of", "text_hash", "row")
+    doc_id, text_hash, row, crowded = unused(docs, "doc_id_of", "text_hash", "row", "crowded")
     stays = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
     stays = stays.select(F.col("s.doc_id").alias(doc_id), F.col("s.text_hash").alias(text_hash))
     linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    own = docs.where(linkable).withColumns({doc_id: F.col("doc_id").cast("long"), text_hash: F.xxhash64("text")}).join(stays, [doc_id, text_hash], "left_semi")
+    # a row that is alone in its component stays where it is
+    bits = key_bits(written, found.where("component_rows > 1"), "doc_id", "text_hash")
+    all_rows = docs.withColumns({doc_id: F.col("doc_id").cast("long"), text_hash: F.xxhash64("text")})
+    all_rows = marked(all_rows, bits, F.col(doc_id), F.col(text_hash), name=crowded)
+    own = all_rows.where(linkable & F.col(crowded)).join(stays, [doc_id, text_hash], "left_semi")
     number = F.row_number().over(Window.partitionBy(doc_id, text_hash).orderBy(F.xxhash64(*docs.columns)))
     once = own.withColumn(row, number).where(F.col(row) == 1)
-    return once.select(docs.columns).unionByName(docs.where(~linkable))
+    return once.select(docs.columns).unionByName(all_rows.where(~(linkable & F.col(crowded))).select(docs.columns))
